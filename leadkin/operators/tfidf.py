@@ -14,13 +14,16 @@ CUSTOMER, POTENTIAL = "c", "p"
 
 
 def gram_rows(docs: DataFrame, fields: list[str]) -> DataFrame:
-    """(side, id, field, gram, tf). Grams are counted inside each row, so nothing shuffles."""
-    text = lambda f: F.lower(F.regexp_replace(F.col(f), r"(?U)\s\s+", " "))
-    long = docs.select(
-        "side", "id", F.explode(F.array(*[F.struct(F.lit(i).alias("field"), text(f).alias("text")) for i, f in enumerate(fields)])).alias("d")
-    ).filter(F.length("d.text") >= min(fixed.GRAM_SIZES))
-    counted = long.select("side", "id", "d.field", gram_counts("d.text").alias("grams"))
-    return counted.select("side", "id", "field", F.explode("grams").alias("g")).select("side", "id", "field", "g.gram", "g.tf")
+    """(id, field, gram, tf). Grams are counted inside each row, so nothing shuffles."""
+    long = docs.select("id", F.explode(F.array(*[_field(i, f) for i, f in enumerate(fields)])).alias("d"))
+    long = long.filter(F.length("d.text") >= min(fixed.GRAM_SIZES))
+    counted = long.select("id", "d.field", F.explode(gram_counts("d.text")).alias("g"))
+    return counted.select("id", "field", "g.gram", "g.tf")
+
+
+def _field(number: int, name: str) -> Column:
+    text = F.lower(F.regexp_replace(F.col(name), r"(?U)\s\s+", " "))
+    return F.struct(F.lit(number).alias("field"), text.alias("text"))
 
 
 def vocabulary(grams: DataFrame, documents: int) -> DataFrame:
@@ -37,24 +40,28 @@ def vocabulary(grams: DataFrame, documents: int) -> DataFrame:
     return cut(kept.withColumn("idf", idf).withColumn("gid", F.monotonically_increasing_id()))
 
 
-def unit_vectors(docs: DataFrame, fields: list[str], documents: int) -> DataFrame:
-    """(side, id, g_<field>, w_<field>): the grams any customer has, weights of unit length.
+def vocabulary_of(potentials: DataFrame, customers: DataFrame, fields: list[str], documents: int) -> DataFrame:
+    sides = ((POTENTIAL, potentials), (CUSTOMER, customers))
+    rows = [gram_rows(docs, fields).withColumn("side", F.lit(side)) for side, docs in sides]
+    return vocabulary(rows[0].unionByName(rows[1]), documents)
+
+
+def unit_vectors(docs: DataFrame, fields: list[str], words: DataFrame) -> DataFrame:
+    """(id, g_<field>, w_<field>): the grams any customer has, weights of unit length.
 
     A gram that no customer has counts towards the length of a potential's
     vector but can never meet a partner, so it is not carried along.
     """
-    spread = docs.repartition("side", "id")
-    grams = gram_rows(spread, fields)
-    words = vocabulary(gram_rows(docs, fields), documents)
+    grams = gram_rows(docs, fields)
     size = words.agg(F.count("*").alias("n"), F.coalesce(F.sum("df"), F.lit(0)).alias("rows")).first()
     if size["n"] <= BROADCAST_ROWS:
         weighted = grams.join(F.broadcast(words), ["field", "gram"])
     else:
         weighted = heavy_light_lookup(
-            grams, words, ["field", "gram"], "df", size["rows"], F.struct("side", "id", "gram")
+            grams, words, ["field", "gram"], "df", size["rows"], F.struct("id", "gram")
         ).filter(F.col("gid").isNotNull())
     w = (1.0 + F.log("tf")) * F.col("idf")
-    parts, out = [], ["side", "id"]
+    parts, out = [], ["id"]
     for i, field in enumerate(fields):
         here = F.col("field") == i
         shared = here & (F.col("df_customers") > 0)
@@ -66,7 +73,7 @@ def unit_vectors(docs: DataFrame, fields: list[str], documents: int) -> DataFram
             F.col(f"_v{i}.gid").alias(f"g_{field}"),
             _scaled(f"_v{i}.w", f"_n{i}").alias(f"w_{field}"),
         ]
-    return weighted.groupBy("side", "id").agg(*parts).select(*out)
+    return weighted.groupBy("id").agg(*parts).select(*out)
 
 
 def _scaled(values: str, length: str) -> Column:

@@ -11,22 +11,24 @@ from leadkin.operators import pairs, tfidf
 from leadkin.operators.companies import companies
 from leadkin.operators.columns import col
 from leadkin.operators.ranking import number_rows, with_percentile
-from leadkin.session import cut
+from leadkin.session import cut, fill_cores
 
 COMPONENT_COLUMNS = {k: f"{k}_similarity_component" for k in pairs.COMPONENTS}
 
 
 def vectors_for(potentials: DataFrame, customers: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
     """Both sides with their unit gram vectors, and the two row counts."""
-    sides = {tfidf.POTENTIAL: potentials, tfidf.CUSTOMER: customers}
-    sizes = tuple(df.count() for df in sides.values())
-    docs = [df.select(F.lit(s).alias("side"), "id", *fields) for s, df in sides.items()]
-    vectors = tfidf.unit_vectors(docs[0].unionByName(docs[1]), fields, sum(sizes))
-    names = [f"{kind}_{f}" for f in fields for kind in "gw"]
-    empty = {n: F.coalesce(F.col(n), F.expr(f"cast(array() as array<{'bigint' if n[0] == 'g' else 'double'}>)")) for n in names}
+    sizes = (potentials.count(), customers.count())
+    docs = [fill_cores(df.select("id", *fields), "id") for df in (potentials, customers)]
+    words = tfidf.vocabulary_of(*docs, fields, sum(sizes))
+    empty = {
+        f"{kind}_{f}": F.coalesce(f"{kind}_{f}", F.expr(f"cast(array() as array<{item}>)"))
+        for f in fields
+        for kind, item in (("g", "bigint"), ("w", "double"))
+    }
     joined = [
-        df.drop(*fields).join(vectors.filter(F.col("side") == s).drop("side"), "id", "left").withColumns(empty)
-        for s, df in sides.items()
+        df.drop(*fields).join(tfidf.unit_vectors(d, fields, words), "id", "left").withColumns(empty)
+        for df, d in zip((potentials, customers), docs)
     ]
     return joined[0], joined[1], sizes
 

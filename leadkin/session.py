@@ -57,3 +57,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def fill_cores(df: DataFrame, key: str) -> DataFrame:
+    """Spread an input that is too small to give every core a task; leave large ones alone."""
+    spark = df.sparkSession
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    per_task = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    n = parallelism(spark)
+    return df.repartition(n, key) if estimate < n * per_task else df

@@ -181,7 +181,7 @@ def address_parts(address: Column, area: Column) -> tuple[Column, Column]:
     text = F.replace(nfkc(blank(address)), F.lit("臺"), F.lit("台"))
     area_text = F.replace(nfkc(blank(area)), F.lit("臺"), F.lit("台"))
     source = F.coalesce(F.nullif(text, F.lit("")), area_text)
-    city = F.get(found_words(source, fixed.CITIES), F.lit(0))
+    city = F.coalesce(*[F.when(F.contains(source, F.lit(c)), F.lit(c)) for c in fixed.CITIES])
 
     def after_city(value: Column) -> Column:
         return F.substring(value, F.instr(value, city) + F.length(city), F.length(value))

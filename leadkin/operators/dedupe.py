@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadkin.operators.columns import col
+from leadkin.operators.lookup import left_lookup
+from leadkin.session import cut
 
 
 def _one_per(df: DataFrame, keys: list[Column], pick) -> DataFrame:
@@ -29,7 +31,7 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return _one_per(df, [col(k) for k in keys], F.min_by(row, F.struct(*[col(c) for c in order])))
 
 
-def duplicate_counts(potentials: DataFrame, customers: DataFrame, name: str, number: str) -> DataFrame:
+def duplicate_counts(potentials: DataFrame, customers: DataFrame, name: str, number: str, spread: str) -> DataFrame:
     """How many customers share a potential's non-blank name key or number.
 
     Customers are counted per key before any join, and those that share both
@@ -42,8 +44,40 @@ def duplicate_counts(potentials: DataFrame, customers: DataFrame, name: str, num
         return by_both.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias(out))
 
     out = potentials.withColumns({"_n": known(name), "_c": known(number)})
+    columns = [*potentials.columns, "duplicate_customers"]
     for keys, label in ((["_n"], "_same_name"), (["_c"], "_same_number"), (["_n", "_c"], "_same_both")):
-        out = out.join(counts(keys, label), keys, "left")
+        out = left_lookup(out, counts(keys, label), keys, F.col(spread))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     shared = zero("_same_name") + zero("_same_number") - zero("_same_both")
-    return out.withColumn("duplicate_customers", shared).drop("_n", "_c", "_same_name", "_same_number", "_same_both")
+    return out.withColumn("duplicate_customers", shared).select(*[col(c) for c in columns])
+
+
+def keep_in_turn(df: DataFrame, order: str, own: str, matched: str) -> DataFrame:
+    """Rows kept when each kept row bars later rows whose own or matched key equals its matched key.
+
+    A row is settled once every earlier row that could bar it is settled: it
+    goes if one of those was kept, and stays otherwise. Each round settles at
+    least the first open row of every key, so the rounds are as many as the
+    longest chain of bars, which is two unless own and matched keys cross.
+    """
+    rest = cut(df)
+    kept: DataFrame | None = None
+    while True:
+        first_open = rest.groupBy(F.col(matched).alias("_key")).agg(F.min(order).alias("_open"))
+        firsts = first_open.withColumn("_kept", F.lit(None).cast("long"))
+        if kept is not None:
+            done = kept.select(F.col(matched).alias("_key"), F.lit(None).cast("long").alias("_open"), F.col(order).alias("_kept"))
+            firsts = firsts.unionByName(done).groupBy("_key").agg(F.min("_open").alias("_open"), F.min("_kept").alias("_kept"))
+        seen = rest
+        for key in (own, matched):
+            table = firsts.select(F.col("_key").alias(key), F.col("_open").alias(f"_open_{key}"), F.col("_kept").alias(f"_kept_{key}"))
+            seen = left_lookup(seen, table, [key], F.col(order))
+        earlier = lambda kind: F.least(F.col(f"{kind}_{own}"), F.col(f"{kind}_{matched}")) < F.col(order)
+        barred, waiting = (F.coalesce(earlier(kind), F.lit(False)) for kind in ("_kept", "_open"))
+        state = F.when(barred, "gone").when(waiting, "open").otherwise("kept")
+        settled = cut(seen.withColumn("_state", state).select(*[col(c) for c in df.columns], "_state"))
+        new = settled.filter("_state = 'kept'").drop("_state")
+        kept = new if kept is None else kept.unionByName(new)
+        rest = settled.filter("_state = 'open'").drop("_state")
+        if rest.isEmpty():
+            return kept

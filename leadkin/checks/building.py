@@ -103,8 +103,8 @@ SELECT c_custkey AS id, CASE WHEN k = 3 OR (k = 0 AND NOT area) THEN NULL ELSE c
 )
 def address_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """City and district of an address, helped by the area text."""
-    city, district = text.address_parts(F.expr(ADDRESS), F.expr(AREA))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), city.alias("city"), district.alias("district"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.expr(ADDRESS).alias("address"), F.expr(AREA).alias("area"))
+    return text.with_address_parts(rows, F.col("address"), F.col("area"), "city", "district").select("id", "city", "district")
 
 
 def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,11 +196,24 @@ def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve(run(spark, sf_dir, TARGETS), run(spark, sf_dir, REGISTRY), "id", ["official", "posted"], fuzzy=False)
 
 
-@check()
+# Names without an ideographic ending, one of two spellings with swapped letters.
+PLAIN_REGISTRY = REGISTRY.replace(", ' 有限公司') AS Company_Name", ") AS Company_Name")
+SWAPPED = """SELECT s_suppkey AS id, concat(lower(c_mktsegment), ' wroks ', CAST(c_custkey AS STRING)) AS official,
+  concat(lower(c_mktsegment), ' works ', CAST(c_custkey AS STRING)) AS posted FROM {supplier} JOIN {customer} ON c_custkey = s_suppkey * 13 % 150"""
+
+
+@check(
+    duck(
+        f"""WITH t AS ({SWAPPED}), reg AS ({PLAIN_REGISTRY}) SELECT id, reg_ord, 'core_fuzzy' AS match_tier FROM t JOIN reg ON Company_Name = posted
+WHERE Business_Accounting_NO <> '' AND Company_Status <> '02' AND contains(Company_Status_Desc, '核准設立')
+UNION ALL SELECT id, m.reg_ord, 'core_fuzzy' FROM t JOIN reg r ON r.Company_Name = posted, LATERAL (SELECT min(reg_ord) AS reg_ord FROM reg u
+  WHERE starts_with(u.Company_Name, posted) AND Business_Accounting_NO <> '' AND Company_Status <> '02' AND contains(Company_Status_Desc, '核准設立')) m
+WHERE NOT (r.Business_Accounting_NO <> '' AND r.Company_Status <> '02' AND contains(r.Company_Status_Desc, '核准設立')) AND m.reg_ord IS NOT NULL"""
+    )
+)
 def name_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As name_resolution, with the fuzzy tier; names carry a swapped letter in front of the number."""
-    swapped = run(spark, sf_dir, TARGETS).withColumn("posted", F.regexp_replace("posted", "works", "wroks"))
-    return resolve(swapped, run(spark, sf_dir, REGISTRY), "id", ["posted", "official"])
+    """Found by one spelling, judged by the first, which differs by two swapped letters."""
+    return resolve(run(spark, sf_dir, SWAPPED), run(spark, sf_dir, PLAIN_REGISTRY), "id", ["official", "posted"])
 
 
 def _landed(spark: SparkSession, sf_dir: str) -> Landed:
@@ -227,21 +240,27 @@ def _landed(spark: SparkSession, sf_dir: str) -> Landed:
     return Landed(jobs, payloads, registry, items)
 
 
+_NAMED = "SELECT reg_ord AS id, '' AS official, Company_Name AS posted FROM (" + duck(REGISTRY) + ") WHERE reg_ord < 2500"
+_SQUEEZED = "regexp_replace(regexp_replace(lower({0}), '股份有限公司|有限公司', '', 'g'), '[^0-9a-z]+', '', 'g')"
+
+
 @check(
-    duck(
-        f"""WITH reg AS ({REGISTRY}),
-ok AS (SELECT c.*, r.Company_Name AS name, r.Capital_Stock_Amount AS cap, row_number() OVER (ORDER BY c_custkey) AS cand FROM customer c JOIN reg r ON r.reg_ord = c.c_custkey),
-letters AS (SELECT *, substr('ABFIZ', CAST(c_custkey % 5 + 1 AS INT), 1) AS l FROM ok),
-kept AS (SELECT * FROM letters WHERE cand <= 2500 AND c_custkey % 13 <> 5 AND c_custkey % 10 <> 9 AND c_custkey % 11 <> 3 AND (c_custkey % 2 = 0 OR l <> 'Z') ORDER BY cand LIMIT 500)
-SELECT c_custkey - 0 AS cand, name, concat('k', CAST(c_custkey AS STRING)) AS cust_no, CASE WHEN c_custkey % 9 = 1 OR c_custkey % 4 = 0 THEN 'empty_profile' ELSE 'ok' END AS status,
-  CASE WHEN c_custkey % 9 <> 1 THEN concat('零食 ', c_mktsegment) ELSE '' END AS welfare, CASE WHEN c_custkey % 9 <> 1 THEN 'a、咖啡' END AS tags,
-  c_custkey % 9 <> 1 AS has_signal, CASE WHEN c_custkey % 9 <> 1 THEN '零食、咖啡' END AS words, CASE WHEN c_custkey % 9 <> 1 THEN '台北市' END AS city,
-  CASE WHEN c_custkey % 9 <> 1 THEN '信義區' END AS district, CASE WHEN c_custkey % 9 <> 1 THEN CAST(c_custkey AS DOUBLE) END AS employees,
-  CASE WHEN cap IS NOT NULL THEN CAST(cap AS DOUBLE) WHEN c_custkey % 9 <> 1 THEN c_custkey * 1e4 END AS capital,
+    f"""WITH RECURSIVE {_resolved_sql(_NAMED, duck(REGISTRY))},
+open AS (SELECT b.id, {_SQUEEZED.format('t.posted')} AS own, {_SQUEEZED.format('r.Company_Name')} AS matched, t.posted, r.Company_Name AS name,
+    r.Capital_Stock_Amount AS cap, r.reg_ord AS reg, substr('ABFIZ', CAST(r.reg_ord % 5 + 1 AS INT), 1) AS l
+  FROM best b JOIN t ON t.id = b.id JOIN reg r ON r.reg_ord = b.reg_ord WHERE b.r = 1),
+rows AS (SELECT *, row_number() OVER (ORDER BY id) AS i FROM open WHERE reg % 2 = 0 OR l <> 'Z'),
+turn AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS barred, false AS kept UNION ALL
+  SELECT rows.i, CASE WHEN list_contains(barred, own) OR list_contains(barred, matched) THEN barred ELSE list_append(barred, matched) END,
+    NOT (list_contains(barred, own) OR list_contains(barred, matched)) FROM turn JOIN rows ON rows.i = turn.i + 1),
+kept AS (SELECT rows.*, id % 9 <> 1 AS has FROM rows JOIN turn USING (i) WHERE kept ORDER BY id LIMIT 500)
+SELECT id AS cand, name, posted, concat('k', id) AS cust_no, CASE WHEN NOT has OR id % 4 = 0 THEN 'empty_profile' ELSE 'ok' END AS status,
+  CASE WHEN has THEN concat('零食 ', c_mktsegment) ELSE '' END AS welfare, CASE WHEN has THEN 'a、咖啡' END AS tags, has AS has_signal,
+  CASE WHEN has THEN '零食、咖啡' END AS words, CASE WHEN has THEN '台北市' END AS city, CASE WHEN has THEN '信義區' END AS district,
+  CASE WHEN has THEN id::DOUBLE END AS employees, CASE WHEN cap IS NOT NULL THEN cap::DOUBLE WHEN has THEN id * 1e4 END AS capital,
   concat_ws(',', CASE WHEN l = 'A' THEN '{fixed.INDUSTRY_FLAGS[0]}' END, CASE WHEN l = 'B' THEN '{fixed.INDUSTRY_FLAGS[1]}' END,
-    CASE WHEN l = 'F' OR c_custkey % 2 = 0 THEN '{fixed.INDUSTRY_FLAGS[5]}' END, CASE WHEN l = 'I' THEN '{fixed.INDUSTRY_FLAGS[8]}' END) AS industry
-FROM kept"""
-    )
+    CASE WHEN l = 'F' OR reg % 2 = 0 THEN '{fixed.INDUSTRY_FLAGS[5]}' END, CASE WHEN l = 'I' THEN '{fixed.INDUSTRY_FLAGS[8]}' END) AS industry
+FROM kept JOIN customer ON c_custkey = id"""
 )
 def profile_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw postings, payloads and registry responses to profiles: 500 out of the first 2,500 candidates."""
@@ -249,6 +268,7 @@ def profile_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built.select(
         F.regexp_replace(col(fixed.CUST_NO), "^k", "").cast("long").alias("cand"),
         col(fixed.NAME).alias("name"),
+        col("104_matched_company_name").alias("posted"),
         col(fixed.CUST_NO).alias("cust_no"),
         col("104_profile_status").alias("status"),
         col(fixed.WELFARE).alias("welfare"),

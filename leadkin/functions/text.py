@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadkin import fixed
@@ -176,25 +176,27 @@ def capital_amount(text: Column) -> Column:
 _DISTRICT = r"^([一-鿿]{1,6}(?:區|鄉|鎮|市))"
 
 
-def address_parts(address: Column, area: Column) -> tuple[Column, Column]:
-    """City and district; the area text helps where the address is blank or has no district."""
-    text = F.replace(nfkc(blank(address)), F.lit("臺"), F.lit("台"))
-    area_text = F.replace(nfkc(blank(area)), F.lit("臺"), F.lit("台"))
-    source = F.coalesce(F.nullif(text, F.lit("")), area_text)
-    city = F.coalesce(*[F.when(F.contains(source, F.lit(c)), F.lit(c)) for c in fixed.CITIES])
-
-    def after_city(value: Column) -> Column:
-        return F.substring(value, F.instr(value, city) + F.length(city), F.length(value))
-
-    def district_of(value: Column) -> Column:
-        return F.nullif(F.regexp_extract(value, _DISTRICT, 1), F.lit(""))
-
-    place = F.instr(area_text, city)
-    area_rest = F.when(
-        place > 0, F.concat(F.substring(area_text, F.lit(1), place - 1), after_city(area_text))
-    ).otherwise(area_text)
-    district = F.when(city.isNotNull(), F.coalesce(district_of(after_city(source)), district_of(area_rest)))
-    return city, district
+def with_address_parts(df: DataFrame, address: Column, area: Column, city: str, district: str) -> DataFrame:
+    """City and district; the area text helps where the address is blank or has no district.
+
+    Built in steps, so that the text found in one is not worked out again for
+    every place that needs it in the next.
+    """
+    folded = lambda t: F.replace(nfkc(blank(t)), F.lit("臺"), F.lit("台"))
+    district_of = lambda value: F.nullif(F.regexp_extract(value, _DISTRICT, 1), F.lit(""))
+    texts = df.select("*", folded(address).alias("_address"), folded(area).alias("_area"))
+    source = texts.withColumn("_source", first_present(F.col("_address"), F.col("_area")))
+    known = source.withColumn("_city", F.coalesce(*[F.when(F.contains("_source", F.lit(c)), F.lit(c)) for c in fixed.CITIES]))
+    # text after the city, and the area text with the first mention of the city taken out
+    rests = known.select(
+        "*",
+        F.expr("substring(_source, instr(_source, _city) + length(_city))").alias("_tail"),
+        F.expr("overlay(_area PLACING '' FROM instr(_area, _city) FOR length(_city))").alias("_cut"),
+        F.expr("instr(_area, _city) > 0").alias("_in_area"),
+    )
+    rest = F.when(F.col("_in_area"), F.col("_cut")).otherwise(F.col("_area"))
+    found = F.when(F.col("_city").isNotNull(), F.coalesce(district_of(F.col("_tail")), district_of(rest)))
+    return rests.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_city").alias(city), found.alias(district))
 
 
 def instant(text: Column) -> Column:

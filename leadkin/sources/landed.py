@@ -106,7 +106,7 @@ def _tags(name: str) -> Column:
 
 
 def flat_payload(values: DataFrame, *keep: str) -> DataFrame:
-    city, district = text.address_parts(F.col("address"), F.col("addrNoDesc"))
+    values = text.with_address_parts(values, F.col("address"), F.col("addrNoDesc"), fixed.CITY, fixed.DISTRICT)
     words = F.array_join(
         text.found_words(F.concat_ws("\n", F.lower(text.blank(F.col("welfare"))), F.lower(_tags("tagNames"))), fixed.SNACK_WORDS), "、"
     )
@@ -128,8 +128,8 @@ def flat_payload(values: DataFrame, *keep: str) -> DataFrame:
         text.present(F.col("empNo")).alias("104_employee_count"),
         text.first_number(F.col("empNo")).alias("104_employee_count_number"),
         text.present(F.col("address")).alias("104_address"),
-        city.alias(fixed.CITY),
-        district.alias(fixed.DISTRICT),
+        fixed.CITY,
+        fixed.DISTRICT,
         text.present(F.col("addrNoDesc")).alias("104_addr_no_desc"),
         text.present(F.col("custLink")).alias(fixed.WEBSITE),
         text.present(F.col("phone")).alias("104_phone"),

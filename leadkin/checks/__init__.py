@@ -2,6 +2,6 @@
 
 
 def load() -> dict:
-    from leadkin.checks import building, contacts, roles, similarity  # noqa: F401
+    from leadkin.checks import building, contacts, mail, roles, similarity  # noqa: F401
 
     return roles.REGISTRY

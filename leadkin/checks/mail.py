@@ -115,7 +115,7 @@ def pages_by_address(spark: SparkSession, sf_dir: str) -> DataFrame:
 @check(
     """WITH l AS (SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN 'own' WHEN 1 THEN 'corpus' WHEN 2 THEN 'absent' WHEN 3 THEN 'blank' WHEN 4 THEN 'landed' ELSE 'bad' END AS kind FROM customer)
 SELECT id, CASE kind WHEN 'own' THEN 'existing_email' WHEN 'corpus' THEN 'found' WHEN 'landed' THEN 'found' WHEN 'absent' THEN 'homepage_request_failed' ELSE 'missing_website' END AS email_status,
-  CASE WHEN kind = 'own' THEN 'me@own.com' WHEN kind IN ('corpus', 'landed') THEN CASE WHEN id % 5 = 0 THEN 'a.b@net.org' ELSE 'info@site' || (id // 6 % 50) || '.com' END ELSE '' END AS email,
+  CASE WHEN kind = 'own' THEN 'me@own.com' WHEN kind IN ('corpus', 'landed') THEN 'info@site' || (id // 6 % 50) || '.com' ELSE '' END AS email,
   CASE WHEN kind IN ('corpus', 'landed') THEN 'https://site' || (id // 6 % 50) || '.com' ELSE '' END AS source,
   CASE WHEN kind = 'corpus' OR kind = 'landed' THEN 'https://site' || (id // 6 % 50) || '.com' WHEN kind = 'absent' THEN 'gone.com' WHEN kind = 'bad' THEN '' ELSE '' END AS site FROM l"""
 )

@@ -19,7 +19,7 @@ COMPONENT_COLUMNS = {k: f"{k}_similarity_component" for k in pairs.COMPONENTS}
 def vectors_for(potentials: DataFrame, customers: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
     """Both sides with their unit gram vectors, and the two row counts."""
     sizes = (potentials.count(), customers.count())
-    docs = [fill_cores(df.select("id", *fields), "id") for df in (potentials, customers)]
+    docs = [df.select("id", *fields) for df in (potentials, customers)]
     words = tfidf.vocabulary_of(*docs, fields, sum(sizes))
     empty = {
         f"{kind}_{f}": F.coalesce(f"{kind}_{f}", F.expr(f"cast(array() as array<{item}>)"))
@@ -35,13 +35,14 @@ def vectors_for(potentials: DataFrame, customers: DataFrame, fields: list[str])
 
 def text_scores(potentials: DataFrame, customers: DataFrame, **options) -> DataFrame:
     """Best text matches of (id, company, text) rows: (id, v_total, b_*)."""
-    p, c, sizes = vectors_for(potentials, customers, ["text"])
+    p, c, sizes = vectors_for(fill_cores(potentials, "id"), fill_cores(customers, "id"), ["text"])
     return pairs.score_texts(p, c, sizes, **options)
 
 
 def company_scores(potentials: DataFrame, customers: DataFrame, **options) -> DataFrame:
     """Best values of every potential; stored, since several outputs read it."""
-    p, c, sizes = vectors_for(companies(potentials, "potentials"), companies(customers, "customers"), pairs.TEXT_FIELDS)
+    sides = [companies(fill_cores(df, fixed.ROW_ORD), label) for df, label in ((potentials, "potentials"), (customers, "customers"))]
+    p, c, sizes = vectors_for(*sides, pairs.TEXT_FIELDS)
     return cut(pairs.score_companies(p, c, sizes, **options))
 
 

@@ -60,9 +60,10 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def fill_cores(df: DataFrame, key: str) -> DataFrame:
-    """Spread an input that is too small to give every core a task; leave large ones alone."""
+    """Spread an input whose files are too small to give every core a task; leave large ones alone."""
     spark = df.sparkSession
-    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    per_task = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
     n = parallelism(spark)
-    return df.repartition(n, key) if estimate < n * per_task else df
+    per_task = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(n, key) if size < n * per_task else df

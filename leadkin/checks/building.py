@@ -144,8 +144,9 @@ SELECT id, concat_ws('|', shown || ' (old)-x', CASE WHEN shown || '-x' <> shown
 )
 def search_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search keywords of a name with a bracket and a branch; those below three characters go."""
-    name = F.concat(F.col("p_name"), F.lit(" (old)-x"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(keywords([name]), "|").alias("keywords"))
+    name = F.concat(F.col("p_name"), F.lit(" (old)-x")).alias("name")
+    rows = text.with_spellings(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), name), "name", "")
+    return rows.select("id", F.array_join(keywords(F.col("words")), "|").alias("keywords"))
 
 
 REGISTRY = """SELECT c_custkey AS reg_ord, concat(lower(c_mktsegment), ' works ', CAST(c_custkey AS STRING), ' 有限公司') AS Company_Name,

@@ -13,6 +13,7 @@ from leadkin.operators import pairs
 from leadkin.operators.companies import companies as company_columns
 from leadkin.operators.dedupe import duplicate_counts
 from leadkin.operators.ranking import first_rows, number_rows, with_percentile
+from leadkin.session import cut
 from leadkin.plans.scoring import COMPONENT_COLUMNS, company_scores, match_rows, rank_companies, score, text_scores
 
 TEXTS = "SELECT doc_id AS id, CAST(doc_id AS STRING) AS company, text FROM {documents}"
@@ -198,7 +199,8 @@ def top_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _component(spark: SparkSession, sf_dir: str, potentials: str, customers: str, component: str) -> DataFrame:
-    scored = company_scores(companies(spark, sf_dir, potentials), companies(spark, sf_dir, customers))
+    # the roles are joins and aggregates here; scoring reads its inputs several times
+    scored = company_scores(*[cut(companies(spark, sf_dir, side)) for side in (potentials, customers)])
     return rounded(scored.select("id", pairs.mean_of_top(f"v_{component}", 1).alias("best"), pairs.top_mix(f"v_{component}").alias("mix")))
 
 

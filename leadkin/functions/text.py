@@ -68,15 +68,6 @@ def squeezed_company_key(name: Column) -> Column:
     return _key(squeezed(name))
 
 
-def plain_name(name: Column) -> Column:
-    text = F.replace(F.lower(nfkc(F.coalesce(name, F.lit("")))), F.lit("臺"), F.lit("台"))
-    return F.regexp_replace(F.regexp_replace(text, SPACE, ""), r"[_()（）【】\[\]「」『』,，.。．·]", "")
-
-
-def without_parentheses(name: Column) -> Column:
-    return strip(F.regexp_replace(nfkc(F.coalesce(name, F.lit(""))), PARENTHESES, ""))
-
-
 def without_latin(text: Column) -> Column:
     """Latin letters go only if at least two ideographs stay."""
     rest = F.regexp_replace(F.regexp_replace(text, "[a-zA-Z]+", ""), SPACE, "")
@@ -101,24 +92,34 @@ def before_separator(text: Column) -> Column:
     return F.regexp_replace(text, f"(?s){SEPARATORS}.*$", "")
 
 
-def core_name(name: Column) -> Column:
-    """Company name without brackets, branch, Latin part and one trailing legal form."""
-    text = before_separator(best_segment(without_parentheses(name)))
-    text = plain_name(without_latin(text))
-    endings = "|".join(dict.fromkeys(s.replace("臺", "台") for s in fixed.CORE_SUFFIXES))
-    return F.regexp_replace(text, f"(?:{endings})$", "")
-
+def plain(folded: Column) -> Column:
+    """Lower-case text without white space, brackets and full stops; takes width-folded text."""
+    text = F.replace(F.lower(folded), F.lit("臺"), F.lit("台"))
+    return F.regexp_replace(F.regexp_replace(text, SPACE, ""), r"[_()（）【】\[\]「」『』,，.。．·]", "")
 
-def search_variants(name: Column) -> Column:
-    """Up to five ordered, distinct, non-empty spellings to look a company up with."""
-    shown = best_segment(without_parentheses(name))
-    first = before_separator(shown)
-    variants = F.array(strip(name), shown, first, without_latin(first), core_name(name))
-    return F.array_distinct(F.filter(variants, lambda v: v != ""))
 
+def with_spellings(df: DataFrame, name: str, prefix: str) -> DataFrame:
+    """Add <prefix>plain, <prefix>core and <prefix>words for a company name.
 
-def long_enough(keyword: Column) -> Column:
-    return F.length(squeezed(keyword)) >= fixed.MIN_KEYWORD_LENGTH
+    core: the name without brackets, branch, Latin part and one trailing legal form.
+    words: up to five ordered spellings to look the company up with, as
+    (k, n) with n the length without white space.
+    Built in steps, each of which is worked out once.
+    """
+    at = lambda c: F.col(prefix + c)
+    add = lambda d, c, value: d.withColumn(prefix + c, value)
+    out = add(df, "folded", nfkc(F.coalesce(F.col(name), F.lit(""))))
+    out = add(out, "open", strip(F.regexp_replace(at("folded"), PARENTHESES, "")))
+    out = add(out, "shown", best_segment(at("open")))
+    out = add(out, "first", before_separator(at("shown")))
+    out = add(out, "bare", without_latin(at("first")))
+    endings = "|".join(dict.fromkeys(s.replace("臺", "台") for s in fixed.CORE_SUFFIXES))
+    out = add(out, "core", F.regexp_replace(plain(at("bare")), f"(?:{endings})$", ""))
+    out = add(out, "plain", plain(at("folded")))
+    sized = lambda k, folded: F.struct(k.alias("k"), F.length(F.regexp_replace(folded, SPACE, "")).alias("n"))
+    others = [sized(at(c), at(c)) for c in ("shown", "first", "bare", "core")]
+    out = add(out, "words", F.array(sized(strip(F.col(name)), at("folded")), *others))
+    return out.drop(*[prefix + c for c in ("folded", "open", "shown", "first", "bare")])
 
 
 def joined_text(*texts: Column) -> Column:

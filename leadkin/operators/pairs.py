@@ -62,6 +62,10 @@ def dot_products(p_grams, p_weights, c_grams, c_weights) -> np.ndarray:
     return out.reshape(n_p, n_c)
 
 
+def text_products(p: pd.DataFrame, c: pd.DataFrame, field: str) -> np.ndarray:
+    return dot_products(*[side[f"{kind}_{field}"].tolist() for side in (p, c) for kind in "gw"])
+
+
 def top_values(scores: np.ndarray, k: int = fixed.TOP_VALUES) -> list[np.ndarray]:
     if scores.shape[1] > k:
         scores = -np.partition(-scores, k - 1, axis=1)[:, :k]
@@ -69,10 +73,16 @@ def top_values(scores: np.ndarray, k: int = fixed.TOP_VALUES) -> list[np.ndarray
 
 
 def best_columns(total: np.ndarray, order: np.ndarray, k: int = fixed.TOP_MATCHES) -> np.ndarray:
-    """Column numbers of the k best cells of each row; the higher row number wins a tie."""
-    by_order = np.argsort(-order, kind="stable")
-    ranked = np.argsort(-total[:, by_order], axis=1, kind="stable")[:, :k]
-    return by_order[ranked]
+    """Column numbers of the k best cells of each row; the higher row number wins a tie.
+
+    Totals have twelve decimals, so total and place make one whole number.
+    """
+    n = total.shape[1]
+    place = np.empty(n, dtype=np.int64)
+    place[np.argsort(order, kind="stable")] = np.arange(n)
+    keys = np.rint(total * 1e12).astype(np.int64) * max(n, 1) + place[None, :]
+    best = np.argpartition(-keys, k - 1, axis=1)[:, :k] if n > k else np.broadcast_to(np.arange(n), total.shape)
+    return np.take_along_axis(best, np.argsort(-np.take_along_axis(keys, best, axis=1), axis=1), axis=1)
 
 
 def jaccard(p_mask: np.ndarray, c_mask: np.ndarray) -> np.ndarray:
@@ -114,7 +124,7 @@ def signal(p: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def component_scores(p: pd.DataFrame, c: pd.DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """The six component matrices of one block pair and the same-company mask."""
-    text = {f: dot_products(p[f"g_{f}"], p[f"w_{f}"], c[f"g_{f}"], c[f"w_{f}"]) for f in TEXT_FIELDS}
+    text = {f: text_products(p, c, f) for f in TEXT_FIELDS}
     numbers = ["employees", "capital"]
     scores = {
         "profile": text["profile"],
@@ -156,7 +166,7 @@ def _company_block(p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
 
 
 def _text_block(p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-    total = np.round(dot_products(p["g_text"], p["w_text"], c["g_text"], c["w_text"]), 12)
+    total = np.round(text_products(p, c, "text"), 12)
     order = c["id"].to_numpy()
     best = best_columns(total, order)
     rows = np.arange(len(p))[:, None]

@@ -50,16 +50,10 @@ def tier(target: Column, target_core: Column, name: Column, core: Column, fuzzy:
     return F.coalesce(found, F.when(ratio >= fixed.FUZZY_RATIO, 4))
 
 
-def keywords(names: list[Column]) -> Column:
-    """Ordered, distinct keywords of all spellings of a name that are long enough to search for.
-
-    Length is measured without white space, on the width-folded text.
-    """
-    listed = F.array_distinct(F.filter(F.concat(*[F.when(text.blank(n) != "", text.search_variants(n)).otherwise(F.expr("cast(array() as array<string>)")) for n in names]), lambda k: k != ""))
-    joined = F.array_join(listed, "\x1f")
-    folded = F.split(text.nfkc(joined), "\x1f")
-    sized = F.zip_with(listed, folded, lambda k, f: F.struct(k.alias("k"), F.length(F.regexp_replace(f, r"(?U)\s+", "")).alias("n")))
-    return F.transform(F.filter(sized, lambda s: s.n >= fixed.MIN_KEYWORD_LENGTH), lambda s: s.k)
+def keywords(*words: Column) -> Column:
+    """Ordered, distinct keywords out of several spellings that are long enough to search for."""
+    usable = F.filter(F.concat(*words), lambda w: (w.k != "") & (w.n >= fixed.MIN_KEYWORD_LENGTH))
+    return F.array_distinct(F.transform(usable, lambda w: w.k))
 
 
 def _grams(value: Column, size: int) -> Column:
@@ -91,23 +85,14 @@ def resolve(targets: DataFrame, registry: DataFrame, id: str, names: list[str],
     first spelling that matches, order of the registry. `registry` needs a
     unique `reg_ord`. Equal targets are resolved once.
     """
-    known = (
-        usable(registry)
-        .groupBy(text.blank(F.col("Company_Name")).alias("name"))
-        .agg(F.min("reg_ord").alias("reg_ord"))
-        .select("name", "reg_ord", text.plain_name(F.col("name")).alias("plain"), text.core_name(F.col("name")).alias("core"))
-    )
+    known = usable(registry).groupBy(text.blank(F.col("Company_Name")).alias("name")).agg(F.min("reg_ord").alias("reg_ord"))
+    known = text.with_spellings(known, "name", "").drop("words")
     spelled = targets.select(id, *[text.blank(F.col(n)).alias(f"_n{i}") for i, n in enumerate(names)])
     spellings = [f"_n{i}" for i in range(len(names))]
-    distinct = spelled.select(*spellings).distinct().withColumn("tid", F.monotonically_increasing_id())
-    wanted = cut(
-        distinct.select(
-            "*",
-            *[text.plain_name(F.col(c)).alias(f"{c}_plain") for c in spellings],
-            *[text.core_name(F.col(c)).alias(f"{c}_core") for c in spellings],
-            keywords([F.col(c) for c in spellings]).alias("keywords"),
-        )
-    )
+    wanted = spelled.select(*spellings).distinct().withColumn("tid", F.monotonically_increasing_id())
+    for c in spellings:
+        wanted = text.with_spellings(wanted, c, f"{c}_")
+    wanted = cut(wanted.withColumn("keywords", keywords(*[F.col(f"{c}_words") for c in spellings])).drop(*[f"{c}_words" for c in spellings]))
     asked = wanted.select("tid", F.posexplode("keywords").alias("kw_ord", "keyword"))
 
     def judged(pairs: DataFrame, op: int) -> DataFrame:

@@ -1,18 +1,22 @@
 """Scores of all pairs of potentials and customers, a bounded block at a time.
 
 Every component but the texts is dense, so each potential has to meet each
-customer. The pairs are never rows of a DataFrame: Spark cuts both sides into
-blocks of a fixed number of rows, shuffles one potential block and one customer
-block to each task, and the task returns only the best values per potential.
-Blocks are cut by a hash of the unique row number, so no company, text or gram
-can make one of them large. The best values of several customer blocks are
-merged in levels, each of which sees a bounded number of values.
+customer. The pairs are never rows of a DataFrame; only the best values per
+potential leave a task. There are two ways to bring the sides together:
+
+* The customers' features are measured, and if they are small they are sent to
+  every worker once. The potentials then stay where they are: no shuffle.
+* Otherwise Spark cuts both sides into blocks of a fixed number of rows and
+  shuffles one potential block and one customer block to each task. Blocks are
+  cut by a hash of the unique row number, so no company, text or gram can make
+  one of them large. The best values of several customer blocks are merged in
+  levels, each of which sees a bounded number of values.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,56 +24,67 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadkin import fixed
-from leadkin.session import parallelism
+from leadkin.session import cut, parallelism
 
 COMPONENTS = list(fixed.COMPONENT_WEIGHTS)
 CUSTOMER_BLOCK = 2048
-POTENTIAL_BLOCK = 2048
+POTENTIAL_BLOCK = 8192
+BROADCAST_BYTES = 64 * 1024 * 1024
 MERGE_FAN_IN = 64
 _CELLS = 2_000_000
 
 
-def dot_products(p_grams, p_weights, c_grams, c_weights) -> np.ndarray:
-    """Dense (potentials x customers) products of two lists of sparse rows."""
-    n_p, n_c = len(p_grams), len(c_grams)
-    out = np.zeros(n_p * n_c)
-    c_len = np.array([len(g) for g in c_grams], dtype=np.int64)
-    p_len = np.array([len(g) for g in p_grams], dtype=np.int64)
-    if not c_len.sum() or not p_len.sum():
-        return out.reshape(n_p, n_c)
-    c_all = np.concatenate(c_grams).astype(np.int64)
-    order = np.argsort(c_all, kind="stable")
-    c_row = np.repeat(np.arange(n_c), c_len)[order]
-    c_w = np.concatenate(c_weights).astype(float)[order]
-    known, start, count = np.unique(c_all[order], return_index=True, return_counts=True)
-    p_all = np.concatenate(p_grams).astype(np.int64)
-    place = np.minimum(np.searchsorted(known, p_all), len(known) - 1)
-    hit = known[place] == p_all
-    p_row = np.repeat(np.arange(n_p), p_len)[hit]
-    p_w = np.concatenate(p_weights).astype(float)[hit]
-    first, meets = start[place[hit]], count[place[hit]]
-    edges = np.concatenate([[0], np.cumsum(meets)])
-    lo = 0
-    while lo < len(meets):
-        hi = max(int(np.searchsorted(edges, edges[lo] + _CELLS, side="right")) - 1, lo + 1)
-        m = meets[lo:hi]
-        at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[lo:hi], m)
-        cells = np.repeat(p_row[lo:hi] * n_c, m) + c_row[at]
-        base = int(p_row[lo]) * n_c
-        sums = np.bincount(cells - base, weights=np.repeat(p_w[lo:hi], m) * c_w[at])
-        out[base : base + len(sums)] += sums
-        lo = hi
-    return out.reshape(n_p, n_c)
-
-
-def text_products(p: pd.DataFrame, c: pd.DataFrame, field: str) -> np.ndarray:
-    return dot_products(*[side[f"{kind}_{field}"].tolist() for side in (p, c) for kind in "gw"])
-
-
-def top_values(scores: np.ndarray, k: int = fixed.TOP_VALUES) -> list[np.ndarray]:
+class GramIndex:
+    """The rows of one text field of a customer block, by gram."""
+
+    def __init__(self, grams: list, weights: list):
+        lengths = np.array([len(g) for g in grams], dtype=np.int64)
+        self.rows = len(grams)
+        self.known = np.empty(0, dtype=np.int64)
+        if lengths.sum():
+            flat = np.concatenate(grams).astype(np.int64)
+            order = np.argsort(flat, kind="stable")
+            self.row = np.repeat(np.arange(self.rows), lengths)[order]
+            self.weight = np.concatenate(weights).astype(float)[order]
+            self.known, self.start, self.count = np.unique(flat[order], return_index=True, return_counts=True)
+
+    def products(self, grams: list, weights: list) -> np.ndarray:
+        """Dense (given rows x rows of the block) products."""
+        out = np.zeros(len(grams) * self.rows)
+        lengths = np.array([len(g) for g in grams], dtype=np.int64)
+        if not len(self.known) or not lengths.sum():
+            return out.reshape(len(grams), self.rows)
+        flat = np.concatenate(grams).astype(np.int64)
+        place = np.minimum(np.searchsorted(self.known, flat), len(self.known) - 1)
+        hit = self.known[place] == flat
+        row = np.repeat(np.arange(len(grams)), lengths)[hit]
+        weight = np.concatenate(weights).astype(float)[hit]
+        first, meets = self.start[place[hit]], self.count[place[hit]]
+        ends = np.cumsum(meets)
+        lo, done = 0, 0
+        while lo < len(meets):
+            # as many grams as meet at most _CELLS customer entries, at least one
+            hi = max(int(np.searchsorted(ends, done + _CELLS, side="right")), lo + 1)
+            m = meets[lo:hi]
+            at = np.arange(m.sum()) + np.repeat(first[lo:hi] - (ends[lo:hi] - m - done), m)
+            base = int(row[lo]) * self.rows
+            cells = np.repeat(row[lo:hi] * self.rows - base, m) + self.row[at]
+            sums = np.bincount(cells, weights=np.repeat(weight[lo:hi], m) * self.weight[at])
+            out[base : base + len(sums)] += sums
+            lo, done = hi, int(ends[hi - 1])
+        return out.reshape(len(grams), self.rows)
+
+
+def indexed(c: pd.DataFrame) -> tuple[pd.DataFrame, dict[str, GramIndex]]:
+    """A customer block with its text fields indexed once for all potentials."""
+    fields = [n[2:] for n in c.columns if n.startswith("g_")]
+    return c, {f: GramIndex(c[f"g_{f}"].tolist(), c[f"w_{f}"].tolist()) for f in fields}
+
+
+def top_values(scores: np.ndarray, k: int = fixed.TOP_VALUES) -> np.ndarray:
     if scores.shape[1] > k:
         scores = -np.partition(-scores, k - 1, axis=1)[:, :k]
-    return list(-np.sort(-scores, axis=1))
+    return -np.sort(-scores, axis=1)
 
 
 def best_columns(total: np.ndarray, order: np.ndarray, k: int = fixed.TOP_MATCHES) -> np.ndarray:
@@ -122,9 +137,9 @@ def signal(p: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.where(p[:, None], with_customer, without)
 
 
-def component_scores(p: pd.DataFrame, c: pd.DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray]:
+def component_scores(p: pd.DataFrame, c: pd.DataFrame, index: dict[str, GramIndex]) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """The six component matrices of one block pair and the same-company mask."""
-    text = {f: text_products(p, c, f) for f in TEXT_FIELDS}
+    text = {f: i.products(p[f"g_{f}"].tolist(), p[f"w_{f}"].tolist()) for f, i in index.items()}
     numbers = ["employees", "capital"]
     scores = {
         "profile": text["profile"],
@@ -147,87 +162,113 @@ BLOCK_COLUMNS = [
 ]
 
 
-def _company_block(p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-    parts, duplicate = component_scores(p, c)
-    total = sum(fixed.COMPONENT_WEIGHTS[k] * parts[k] for k in COMPONENTS) / sum(fixed.COMPONENT_WEIGHTS.values())
-    total = np.round(total, 12)
-    order = c["id"].to_numpy()
-    best = best_columns(total, order)
-    rows = np.arange(len(p))[:, None]
-    out = {"id": p["id"].to_numpy(), "duplicate": duplicate.any(axis=1), "v_total": top_values(total)}
-    for k in COMPONENTS:
-        out[f"v_{k}"] = top_values(np.round(parts[k], 12))
-    out["b_total"] = list(total[rows, best])
-    out["b_id"] = list(order[best])
-    out["b_company"] = list(c["company"].to_numpy(dtype=object)[best])
-    for k in COMPONENTS:
-        out[f"b_{k}"] = list(parts[k][rows, best])
-    return pd.DataFrame(out)
-
-
-def _text_block(p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-    total = np.round(text_products(p, c, "text"), 12)
-    order = c["id"].to_numpy()
+Block = dict[str, np.ndarray]
+
+
+def _best(c: pd.DataFrame, total: np.ndarray, parts: dict[str, np.ndarray]) -> Block:
+    order = c["id"].to_numpy(dtype=np.int64)
     best = best_columns(total, order)
-    rows = np.arange(len(p))[:, None]
-    return pd.DataFrame(
-        {
-            "id": p["id"].to_numpy(),
-            "duplicate": np.zeros(len(p), dtype=bool),
-            "v_total": top_values(total),
-            "b_total": list(total[rows, best]),
-            "b_id": list(order[best]),
-            "b_company": list(c["company"].to_numpy(dtype=object)[best]),
-        }
-    )
+    rows = np.arange(len(total))[:, None]
+    out = {"v_total": top_values(total), "b_total": total[rows, best], "b_id": order[best]}
+    out["b_company"] = c["company"].to_numpy(dtype=object)[best]
+    for k, scores in parts.items():
+        out[f"v_{k}"] = top_values(np.round(scores, 12))
+        out[f"b_{k}"] = scores[rows, best]
+    return out
+
+
+def _company_block(p: pd.DataFrame, c: pd.DataFrame, index: dict[str, GramIndex]) -> Block:
+    parts, duplicate = component_scores(p, c, index)
+    total = sum(fixed.COMPONENT_WEIGHTS[k] * parts[k] for k in COMPONENTS) / sum(fixed.COMPONENT_WEIGHTS.values())
+    return {"duplicate": duplicate.any(axis=1), **_best(c, np.round(total, 12), parts)}
+
+
+def _text_block(p: pd.DataFrame, c: pd.DataFrame, index: dict[str, GramIndex]) -> Block:
+    total = index["text"].products(p["g_text"].tolist(), p["w_text"].tolist())
+    return {"duplicate": np.zeros(len(p), dtype=bool), **_best(c, np.round(total, 12), {})}
+
+
+def _joined(blocks: list[Block]) -> Block:
+    """Best values of the same potentials over several customer blocks."""
+    if len(blocks) == 1:
+        return blocks[0]
+    whole = {k: np.concatenate([b[k] for b in blocks], axis=1) for k in blocks[0] if k != "duplicate"}
+    order = np.lexsort((-whole["b_id"], -whole["b_total"]), axis=1)[:, : fixed.TOP_MATCHES]
+    out = {k: top_values(v) if k.startswith("v_") else np.take_along_axis(v, order, axis=1) for k, v in whole.items()}
+    return {"duplicate": np.any([b["duplicate"] for b in blocks], axis=0), **out}
+
+
+def _scored(p: pd.DataFrame, customers: list, kernel: Callable, names: list[str]) -> pd.DataFrame:
+    """All potentials of a batch against some indexed customer blocks, in steps of bounded size."""
+    widest = max(len(c) for c, _ in customers)
+    step = max(1, _CELLS // max(widest, 1))
+    frames = [pd.DataFrame(columns=names)] if not len(p) else []
+    for at in range(0, len(p), step):
+        part = p.iloc[at : at + step]
+        block = _joined([kernel(part, c, index) for c, index in customers])
+        values = {k: list(v) if v.ndim == 2 else v for k, v in block.items()}
+        frames.append(pd.DataFrame({"id": part["id"].to_numpy(), **values})[names])
+    return pd.concat(frames, ignore_index=True)
 
 
 def _schema(components: list[str]) -> str:
-    fields = ["cb int", "id bigint", "duplicate boolean", "v_total array<double>"]
+    fields = ["id bigint", "duplicate boolean", "v_total array<double>"]
     fields += [f"v_{k} array<double>" for k in components]
     fields += ["b_total array<double>", "b_id array<bigint>", "b_company array<string>"]
     fields += [f"b_{k} array<double>" for k in components]
     return ", ".join(fields)
 
 
-def blocked(
+def _feature_bytes(customers: DataFrame) -> int:
+    """Rough size of the features in a worker: two numbers per gram and a fixed part per row."""
+    grams = [F.size(n) for n in customers.columns if n.startswith("g_")]
+    size = F.sum(sum(grams[1:], grams[0]) * 16 + 512)
+    return int(customers.agg(F.coalesce(size, F.lit(0))).first()[0])
+
+
+def compared(
     potentials: DataFrame,
     customers: DataFrame,
     columns: list[str],
     components: list[str],
-    kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
+    kernel: Callable[[pd.DataFrame, pd.DataFrame, dict], Block],
     sizes: tuple[int, int],
     blocks: tuple[int, int] = (POTENTIAL_BLOCK, CUSTOMER_BLOCK),
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Run `kernel` on every (potential block, customer block) and merge the best values.
+    """Run `kernel` on all potentials and customers and keep the best values per potential.
 
-    `sizes` are the two row counts. The last `blocks` rows per side bound what
-    one task holds; each side is sent once per block of the other.
+    `sizes` are the two row counts, `blocks` the rows of a block on either side.
     """
+    schema = _schema(components)
+    names = [f.split(" ")[0] for f in schema.split(", ")]
+    customers = cut(customers.select(*columns))
+    if _feature_bytes(customers) <= broadcast_bytes:
+        table = customers.toPandas()
+        parts = [table.iloc[i : i + blocks[1]].reset_index(drop=True) for i in range(0, max(len(table), 1), blocks[1])]
+        sent = potentials.sparkSession.sparkContext.broadcast(parts)
+
+        def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known = [indexed(c) for c in sent.value]
+            for batch in batches:
+                yield _scored(batch, known, kernel, names)
+
+        return potentials.select(*columns).mapInPandas(local, schema)
+
     n_p, n_c = sizes
-    spark = potentials.sparkSession
     c_blocks = max(1, math.ceil(n_c / blocks[1]))
-    wanted = math.ceil(2 * parallelism(spark) / c_blocks)
+    wanted = math.ceil(2 * parallelism(potentials.sparkSession) / c_blocks)
     p_blocks = max(1, math.ceil(n_p / blocks[0]), min(wanted, n_p))
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = potentials.select(
-        block(p_blocks).alias("pb"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"), *columns
-    )
-    right = customers.select(
-        F.explode(F.sequence(F.lit(0), F.lit(p_blocks - 1))).alias("pb"), block(c_blocks).alias("cb"), *columns
-    )
-
-    def run(p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        # keep the dense matrices of one step below a fixed number of cells
-        step = max(1, _CELLS // max(len(c), 1))
-        parts = [kernel(p.iloc[i : i + step], c) for i in range(0, len(p), step)]
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=names[1:])
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = potentials.select(block(p_blocks).alias("pb"), every(c_blocks).alias("cb"), *columns)
+    right = customers.select(every(p_blocks).alias("pb"), block(c_blocks).alias("cb"), *columns)
 
-    schema = _schema(components)
-    names = [f.split(" ")[0] for f in schema.split(", ")]
-    scored = left.groupBy("pb", "cb").cogroup(right.groupBy("pb", "cb")).applyInPandas(
-        lambda key, p, c: run(p, c).assign(cb=key[1])[names], schema
-    )
+    def shuffled(key: tuple, p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        return _scored(p, [indexed(c)], kernel, names).assign(cb=key[1])
+
+    grouped = left.groupBy("pb", "cb").cogroup(right.groupBy("pb", "cb"))
+    scored = grouped.applyInPandas(shuffled, schema + ", cb int")
     if c_blocks == 1:
         return scored.drop("cb")
     return _merged(scored, ["v_total", *[f"v_{k}" for k in components]], [c for c in names if c.startswith("b_")], c_blocks)
@@ -255,11 +296,11 @@ def _largest(values: Column, k: int) -> Column:
 
 
 def score_companies(potentials: DataFrame, customers: DataFrame, sizes: tuple[int, int], **options) -> DataFrame:
-    return blocked(potentials, customers, BLOCK_COLUMNS, COMPONENTS, _company_block, sizes, **options)
+    return compared(potentials, customers, BLOCK_COLUMNS, COMPONENTS, _company_block, sizes, **options)
 
 
 def score_texts(potentials: DataFrame, customers: DataFrame, sizes: tuple[int, int], **options) -> DataFrame:
-    return blocked(potentials, customers, ["id", "company", "g_text", "w_text"], [], _text_block, sizes, **options)
+    return compared(potentials, customers, ["id", "company", "g_text", "w_text"], [], _text_block, sizes, **options)
 
 
 def mean_of_top(values: str, k: int) -> Column:

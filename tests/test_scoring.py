@@ -51,9 +51,10 @@ def test_sample_matches(ranked):
     assert rows[0]["total_similarity"] == pytest.approx(0.589432, abs=1e-6)
 
 
-def test_blocks_and_partitions_do_not_change_the_result(samples, ranked):
+@pytest.mark.parametrize("broadcast_bytes", [-1, pairs.BROADCAST_BYTES])
+def test_blocks_and_partitions_do_not_change_the_result(samples, ranked, broadcast_bytes):
     customers, potentials = samples
-    again, matches = score(customers.repartition(3), potentials.repartition(5), blocks=(3, 2))
+    again, matches = score(customers.repartition(3), potentials.repartition(5), blocks=(3, 2), broadcast_bytes=broadcast_bytes)
     assert sorted(again.collect()) == sorted(ranked[0].collect())
     assert sorted(matches.collect()) == sorted(ranked[1].collect())
 
@@ -61,7 +62,7 @@ def test_blocks_and_partitions_do_not_change_the_result(samples, ranked):
 def test_many_blocks_are_merged_in_levels(samples, ranked, monkeypatch):
     monkeypatch.setattr(pairs, "MERGE_FAN_IN", 2)
     customers, potentials = samples
-    again, _ = score(customers, potentials, blocks=(8, 1))
+    again, _ = score(customers, potentials, blocks=(8, 1), broadcast_bytes=-1)
     assert sorted(again.collect()) == sorted(ranked[0].collect())
 
 
@@ -101,7 +102,7 @@ def test_kernel_against_plain_loops():
     want = [[sum(a * dict(zip(cg[j], cw[j])).get(g, 0.0) for g, a in zip(pg[i], pw[i])) for j in range(n_c)] for i in range(n_p)]
     old, pairs._CELLS = pairs._CELLS, 7
     try:
-        assert np.allclose(pairs.dot_products(pg, pw, cg, cw), want)
+        assert np.allclose(pairs.GramIndex(cg, cw).products(pg, pw), want)
     finally:
         pairs._CELLS = old
     total = np.round(rng.integers(0, 4, size=(n_p, n_c)) / 4, 12)

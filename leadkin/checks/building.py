@@ -11,6 +11,7 @@ from leadkin.functions import text
 from leadkin.operators.columns import col
 from leadkin.operators.industries import codes_in, one_hot
 from leadkin.operators.resolve import keywords, resolve
+from leadkin.session import fill_cores
 from leadkin.plans.profiles import Landed, build_profiles, fresh_candidates
 from leadkin.sources.landed import business_items, candidates, payload_records, posting_rows, registry_rows
 
@@ -218,7 +219,7 @@ def name_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _landed(spark: SparkSession, sf_dir: str) -> Landed:
-    customers = table(spark, sf_dir, "customer")
+    customers = fill_cores(table(spark, sf_dir, "customer"), "c_custkey")
     key = F.col("c_custkey")
     payload = F.format_string(
         '{"data": {"custName": "", "profile": "%s", "welfare": "零食 %s", "tagNames": ["a", " ", "咖啡"], "legalTagNames": "b", '
@@ -226,7 +227,7 @@ def _landed(spark: SparkSession, sf_dir: str) -> Landed:
         F.when(key % 4 == 0, "").otherwise("about"), "c_mktsegment", key, key, key, key,
     )
     payloads = payload_records(customers.filter("c_custkey % 9 <> 1").select(F.format_string("k%d", key).alias("cust_no"), payload.alias("payload")), "payload", "cust_no")
-    rows = run(spark, sf_dir, REGISTRY)
+    rows = fill_cores(run(spark, sf_dir, REGISTRY), "reg_ord")
     fields = [c for c in rows.columns if c != "reg_ord"]
     shapes = [F.to_json(F.array(F.struct(*fields))), F.to_json(F.struct(F.array(F.struct(*fields)).alias("records"))), F.to_json(F.struct(*fields))]
     response = F.when(F.col("reg_ord") % 3 == 0, shapes[0]).when(F.col("reg_ord") % 3 == 1, shapes[1]).otherwise(shapes[2])

@@ -145,7 +145,7 @@ def contains_any(text: Column, words: list[str]) -> Column:
 
 def found_words(text: Column, words: list[str]) -> Column:
     """Words contained in the text, in list order."""
-    return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
+    return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in words]))
 
 
 def is_won(*texts: Column, whole_words: bool = False) -> Column:

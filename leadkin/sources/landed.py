@@ -42,9 +42,10 @@ def fields(json: Column) -> Column:
 
 def posting_rows(pages: DataFrame, payload: str, order: str) -> DataFrame:
     """One row per posting of search result pages; `data` is a list or holds one under `list`."""
-    data = fields(F.col(payload))["data"]
-    found = F.coalesce(members(data), members(fields(data)["list"]))
-    rows = pages.select(F.col(order).alias("page_ord"), F.posexplode(found).alias("place", "json"))
+    pages = pages.select(F.col(order).alias("page_ord"), fields(F.col(payload))["data"].alias("_data"))
+    pages = pages.select("page_ord", "_data", fields(F.col("_data"))["list"].alias("_list"))
+    found = F.coalesce(members(F.col("_data")), members(F.col("_list")))
+    rows = pages.select("page_ord", F.posexplode(found).alias("place", "json"))
     return rows.filter(is_object(F.col("json"))).select("page_ord", "place", F.from_json("json", POSTING).alias("job")).select(
         "page_ord", "place", "job.*"
     )
@@ -66,38 +67,39 @@ def candidates(postings: DataFrame) -> DataFrame:
 def response_rows(responses: DataFrame, payload: str, *keep: str) -> DataFrame:
     """One row per object of a registry response: a list, a list under a known key, or one object."""
     json = F.col(payload)
-    inner = [members(fields(json)[key]) for key in ("data", "records", "result", "results")]
+    responses = responses.select(*keep, payload, fields(json).alias("_fields"))
+    inner = [members(F.col("_fields")[key]) for key in ("data", "records", "result", "results")]
     found = F.coalesce(members(json), *inner, F.when(is_object(json), F.array(json)))
     rows = responses.select(*keep, F.posexplode(found).alias("place", "json"))
     return rows.filter(is_object(F.col("json")))
 
 
 def registry_rows(responses: DataFrame, payload: str, *keep: str) -> DataFrame:
-    values = fields(F.col("json"))
-    rows = response_rows(responses, payload, *keep)
-    return rows.select(*keep, "place", *[values[f].alias(f) for f in REGISTRY_FIELDS])
+    rows = response_rows(responses, payload, *keep).select(*keep, "place", fields(F.col("json")).alias("_fields"))
+    return rows.select(*keep, "place", *[F.col("_fields")[f].alias(f) for f in REGISTRY_FIELDS])
 
 
 def business_items(responses: DataFrame, payload: str, *keep: str) -> DataFrame:
     """(keep…, place, item): every text that may hold business codes, in reading order."""
-    rows = response_rows(responses, payload, *keep)
-    values = fields(F.col("json"))
-    listed = values["Cmp_Business"]
+    rows = response_rows(responses, payload, *keep).select(*keep, "place", fields(F.col("json")).alias("_fields"))
+    rows = rows.select(*keep, "place", F.col("_fields")["Cmp_Business"].alias("_listed"), F.col("_fields")["Business_Item"].alias("_own"))
+    listed = F.col("_listed")
     entries = F.coalesce(members(listed), F.when(is_object(listed), F.array(listed)), F.expr("cast(array() as array<string>)"))
     texts = F.transform(
         entries,
         lambda e: F.when(is_object(e), F.concat_ws("\n", fields(e)["Business_Item"], fields(e)["Business_Item_Desc"])).otherwise(e),
     )
-    whole = F.concat(texts, F.array(F.coalesce(values["Business_Item"], F.lit(""))))
+    whole = F.concat(texts, F.array(F.coalesce("_own", F.lit(""))))
     return rows.select(*keep, "place", F.posexplode(whole).alias("item_place", "item"))
 
 
 def payload_records(payloads: DataFrame, payload: str, *keep: str) -> DataFrame:
     """The 22 fields of a raw company payload; blanks are null except in the two long texts."""
-    outer = fields(F.col(payload))
-    body = F.when(is_object(outer["data"]), fields(outer["data"])).otherwise(outer)
-    values = payloads.select(*keep, body.alias("_v")).select(*keep, *[F.col("_v")[f].alias(f) for f in PAYLOAD_FIELDS])
-    return flat_payload(values, *keep)
+    rows = payloads.select(*keep, fields(F.col(payload)).alias("_outer"))
+    rows = rows.select(*keep, "_outer", F.col("_outer")["data"].alias("_data"))
+    body = F.when(is_object(F.col("_data")), fields(F.col("_data"))).otherwise(F.col("_outer"))
+    rows = rows.select(*keep, body.alias("_v"))
+    return flat_payload(rows.select(*keep, *[F.col("_v")[f].alias(f) for f in PAYLOAD_FIELDS]), *keep)
 
 
 def _tags(name: str) -> Column:
@@ -107,17 +109,18 @@ def _tags(name: str) -> Column:
 
 def flat_payload(values: DataFrame, *keep: str) -> DataFrame:
     values = text.with_address_parts(values, F.col("address"), F.col("addrNoDesc"), fixed.CITY, fixed.DISTRICT)
-    words = F.array_join(
-        text.found_words(F.concat_ws("\n", F.lower(text.blank(F.col("welfare"))), F.lower(_tags("tagNames"))), fixed.SNACK_WORDS), "、"
-    )
+    values = values.select("*", _tags("tagNames").alias("_tags"), _tags("legalTagNames").alias("_legal"), text.blank(F.col("welfare")).alias("_welfare"))
+    values = values.withColumn("_told", F.concat_ws("\n", F.lower("_welfare"), F.lower("_tags")))
+    values = values.withColumn("_words", F.array_join(text.found_words(F.col("_told"), fixed.SNACK_WORDS), "、"))
+    words = F.col("_words")
     none = lambda c: F.nullif(c, F.lit(""))
     return values.select(
         *keep,
         text.present(F.col("custName")).alias("104_official_company_name"),
         text.blank(F.col("profile")).alias(fixed.PROFILE),
-        text.blank(F.col("welfare")).alias(fixed.WELFARE),
-        none(_tags("tagNames")).alias(fixed.WELFARE_TAGS),
-        none(_tags("legalTagNames")).alias(fixed.LEGAL_TAGS),
+        F.col("_welfare").alias(fixed.WELFARE),
+        none(F.col("_tags")).alias(fixed.WELFARE_TAGS),
+        none(F.col("_legal")).alias(fixed.LEGAL_TAGS),
         (words != "").alias(fixed.SIGNAL),
         none(words).alias(fixed.SIGNAL_WORDS),
         text.present(F.col("capital")).alias("104_capital"),

@@ -201,5 +201,11 @@ def with_address_parts(df: DataFrame, address: Column, area: Column, city: str,
 
 
 def instant(text: Column) -> Column:
-    """ISO text as a point in time (UTC session), or null."""
-    return F.try_to_timestamp(F.nullif(clean(text), F.lit("")))
+    """ISO text as a point in time, or null; without an offset it is UTC in any session."""
+    iso = clean(text)
+    whole = (
+        F.when(iso.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.concat(iso, F.lit("T00:00:00Z")))
+        .when(iso.rlike(r":\d{2}(?:\.\d+)?$") & ~iso.rlike(r"[+-]\d{1,2}:\d{2}$"), F.concat(iso, F.lit("Z")))
+        .otherwise(iso)
+    )
+    return F.try_to_timestamp(F.nullif(whole, F.lit("")))

@@ -64,6 +64,6 @@ def fill_cores(df: DataFrame, key: str) -> DataFrame:
     spark = df.sparkSession
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    n = parallelism(spark)
+    n = 2 * spark.sparkContext.defaultParallelism
     per_task = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     return df.repartition(n, key) if size < n * per_task else df

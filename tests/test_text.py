@@ -141,3 +141,16 @@ def test_gram_counts_match_a_plain_count(spark):
     for value, grams in zip(texts, got):
         want = Counter(value[i : i + n] for n in (2, 3, 4) for i in range(len(value) - n + 1))
         assert {g["gram"]: g["tf"] for g in grams} == dict(want)
+
+
+def test_instant_does_not_depend_on_the_session_zone(spark):
+    values = ["2024-01-02", "2024-01-02T03:04:05", "2024-01-02 03:04:05.5", "2024-01-02T03:04:05+08:00", "2024-01-02T03:04:05Z", "2024-01-02T03:04:05-02:30", "soon", "", None]
+    seconds = lambda c: F.unix_millis(text.instant(c))
+    want = apply(spark, values, seconds)
+    day = 1704153600000
+    assert want == [day, day + 11045000, day + 11045500, day + 11045000 - 28800000, day + 11045000, day + 11045000 + 9000000, None, None, None]
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Taipei")
+    try:
+        assert apply(spark, values, seconds) == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

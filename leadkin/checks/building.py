@@ -218,7 +218,7 @@ def name_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve(run(spark, sf_dir, SWAPPED), run(spark, sf_dir, PLAIN_REGISTRY), "id", ["official", "posted"])
 
 
-def _landed(spark: SparkSession, sf_dir: str) -> Landed:
+def landed(spark: SparkSession, sf_dir: str) -> Landed:
     customers = fill_cores(table(spark, sf_dir, "customer"), "c_custkey")
     key = F.col("c_custkey")
     payload = F.format_string(
@@ -242,7 +242,7 @@ def _landed(spark: SparkSession, sf_dir: str) -> Landed:
     return Landed(jobs, payloads, registry, items)
 
 
-_NAMED = "SELECT reg_ord AS id, '' AS official, Company_Name AS posted FROM (" + duck(REGISTRY) + ") WHERE reg_ord < 2500"
+_NAMED = "SELECT reg_ord AS id, '' AS official, Company_Name AS posted FROM (" + duck(REGISTRY) + ")"
 _SQUEEZED = "regexp_replace(regexp_replace(lower({0}), '股份有限公司|有限公司', '', 'g'), '[^0-9a-z]+', '', 'g')"
 
 
@@ -255,7 +255,7 @@ rows AS (SELECT *, row_number() OVER (ORDER BY id) AS i FROM open WHERE reg % 2
 turn AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS barred, false AS kept UNION ALL
   SELECT rows.i, CASE WHEN list_contains(barred, own) OR list_contains(barred, matched) THEN barred ELSE list_append(barred, matched) END,
     NOT (list_contains(barred, own) OR list_contains(barred, matched)) FROM turn JOIN rows ON rows.i = turn.i + 1),
-kept AS (SELECT rows.*, id % 9 <> 1 AS has FROM rows JOIN turn USING (i) WHERE kept ORDER BY id LIMIT 500)
+kept AS (SELECT rows.*, id % 9 <> 1 AS has FROM rows JOIN turn USING (i) WHERE kept)
 SELECT id AS cand, name, posted, concat('k', id) AS cust_no, CASE WHEN NOT has OR id % 4 = 0 THEN 'empty_profile' ELSE 'ok' END AS status,
   CASE WHEN has THEN concat('零食 ', c_mktsegment) ELSE '' END AS welfare, CASE WHEN has THEN 'a、咖啡' END AS tags, has AS has_signal,
   CASE WHEN has THEN '零食、咖啡' END AS words, CASE WHEN has THEN '台北市' END AS city, CASE WHEN has THEN '信義區' END AS district,
@@ -265,8 +265,8 @@ SELECT id AS cand, name, posted, concat('k', id) AS cust_no, CASE WHEN NOT has O
 FROM kept JOIN customer ON c_custkey = id"""
 )
 def profile_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw postings, payloads and registry responses to profiles: 500 out of the first 2,500 candidates."""
-    built = build_profiles(_landed(spark, sf_dir), target=500, max_candidates=2500, fuzzy=False)
+    """Raw postings, payloads and registry responses of the whole table to profiles."""
+    built = build_profiles(landed(spark, sf_dir), target=None, fuzzy=False)
     return built.select(
         F.regexp_replace(col(fixed.CUST_NO), "^k", "").cast("long").alias("cand"),
         col(fixed.NAME).alias("name"),

@@ -67,13 +67,20 @@ def build_profiles(
     raw: Landed,
     excluded_keys: DataFrame | None = None,
     excluded_numbers: DataFrame | None = None,
-    target: int = fixed.CRAWL_TARGET,
+    target: int | None = fixed.CRAWL_TARGET,
     max_candidates: int | None = None,
     fuzzy: bool = True,
 ) -> DataFrame:
-    """At most `target` profiles out of the first `max_candidates` candidates, with `row_ord`."""
+    """At most `target` profiles out of the first `max_candidates` candidates, with `row_ord`.
+
+    No target means all of them. A kept row depends on earlier ones only, so
+    the limits do not change which rows are kept before them.
+    """
     rows = fresh_candidates(raw.candidates, excluded_keys, excluded_numbers)
-    rows = rows.filter(F.col("cand_ord") <= (max_candidates or max(5 * target, target)))
+    if max_candidates is None and target is not None:
+        max_candidates = max(5 * target, target)
+    if max_candidates is not None:
+        rows = rows.filter(F.col("cand_ord") <= max_candidates)
     rows = left_lookup(rows, first_wins(raw.payloads, ["cust_no"], raw.payloads.columns), ["cust_no"], F.col("cand_ord"))
     match = resolve(
         rows.select("cand_ord", F.coalesce("104_official_company_name", F.lit("")).alias("official"), "name"),
@@ -91,4 +98,4 @@ def build_profiles(
     industries = company_industries(raw.items.withColumn("_number", text.blank(F.col("Business_Accounting_NO"))), "_number")
     rows = rows.join(industries.filter(F.col(fixed.INDUSTRY) != ""), "_number")
     kept = keep_in_turn(rows, "cand_ord", "own_key", "matched_key")
-    return final_records(kept.orderBy("cand_ord").limit(target))
+    return final_records(kept if target is None else kept.orderBy("cand_ord").limit(target))

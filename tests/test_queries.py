@@ -28,5 +28,19 @@ def test_document_emails_against_plain_python(spark):
     assert got == want
 
 
+def test_profile_limits_cut_without_changing_what_is_kept(spark):
+    from leadkin.checks.building import landed
+    from leadkin.plans.profiles import build_profiles
+
+    raw = landed(spark, SF_DIR)
+    whole = build_profiles(raw, target=None, max_candidates=60).orderBy("row_ord").collect()
+    some = build_profiles(raw, target=7, max_candidates=60).orderBy("row_ord").collect()
+    assert len(whole) > 7 and some == whole[:7]
+    assert all(r["row_ord"] <= 60 for r in whole)
+    names = spark.createDataFrame([(whole[0]["企業名稱"].replace(" ", "").replace("有限公司", ""),)], "company_key string")
+    barred = build_profiles(raw, excluded_keys=names, target=None, max_candidates=60)
+    assert whole[0]["企業名稱"] not in {r["企業名稱"] for r in barred.collect()}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

@@ -70,3 +70,15 @@ class Kept(dict):
 def hash_share(column: str, seed: int, rate: float) -> Column:
     """True for about `rate` of the keys, always the same ones."""
     return F.pmod(F.xxhash64(F.lit(seed), F.col(column)), F.lit(1_000_000)) < int(round(rate * 1_000_000))
+
+
+def keep_where(docs: DataFrame, rows: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose text the function keeps (null: empty)."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = rows()
+        for batch in batches:
+            yield batch.filter(pa.array(each([t or "" for t in batch.column(at).to_pylist()]), type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

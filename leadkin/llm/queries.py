@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadkin.llm import bpe, decontamination, language_id, pii, simhash, token_counts, toxicity
+from leadkin.llm import ann, bpe, decontamination, language_id, line_dedup, pii, quotes, simhash, token_counts, toxicity
 from leadkin.llm.common import crc_mod, table
 
 QUERIES: dict = {}
@@ -63,3 +63,21 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0)[0]
+
+
+@query
+def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+SQL["op10_line_dedup"] = line_dedup.SQL

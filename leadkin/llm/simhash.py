@@ -175,3 +175,15 @@ def groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 def digests(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """One document of each group, the one with the smallest doc_id, with all its columns.
+
+    Rows with the same doc_id are one document and stay or go together; it
+    stays if any of them names its group. Rows without doc_id stay.
+    """
+    found = groups(docs, size).filter("doc_id is not null").groupBy("doc_id")
+    gone = found.agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone")).filter("gone").select("doc_id")
+    gone = cut(gone).withColumnRenamed("doc_id", "gone_id")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadkin.llm.common import Kept, hash_share, per_text, texts
+from leadkin.llm.common import Kept, hash_share, keep_where, per_text, texts
 
 BUCKETS = 1 << 20
 MAX_TRAIN = 12000
@@ -130,22 +130,39 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, max_train: int = M
     return Model(found["place"].to_numpy(dtype=np.int64), found["weight"].to_numpy(dtype=float))
 
 
+def _scorer(parts: tuple):
+    """Text -> score, from the parts of a model."""
+    known = Model(*parts)
+    dense, tool = known.dense(), Features()
+    if not len(known.places):
+        return lambda text: 0.0
+    bias = float(dense[0])
+
+    def each(text: str) -> float:
+        at = tool.places(text)
+        told = np.unique(at[dense[at] != 0])  # only these can matter
+        return _logistic(bias * (0 not in told) + dense[told].sum(dtype=float))
+
+    return each
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score for every whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
     def rows():
-        known = Model(*sent.value)
-        dense, tool = known.dense(), Features()
-        if not len(known.places):
-            return lambda text: (0.0,)
-        bias = float(dense[0])
+        each = _scorer(sent.value)
+        return lambda text: (each(text),)
+
+    return per_text(texts(docs), "doc_id long, score double", rows)
 
-        def each(text: str) -> tuple:
-            at = tool.places(text)
-            told = np.unique(at[dense[at] != 0])  # only these can matter
-            return (_logistic(bias * (0 not in told) + dense[told].sum(dtype=float)),)
 
-        return each
+def keep_clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """The documents that score below the limit, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
-    return per_text(texts(docs), "doc_id long, score double", rows)
+    def rows():
+        each = _scorer(sent.value)
+        return lambda batch: [each(text) < limit for text in batch]
+
+    return keep_where(docs, rows)

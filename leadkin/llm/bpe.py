@@ -34,7 +34,7 @@ _COMMON = re.compile("[a-z]*[a-z\u1061-\u107a]")
 
 
 class Encoder:
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary

@@ -33,7 +33,7 @@ def per_text(df: DataFrame, schema: str, rows: Callable[[], Callable[[str], tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = rows()
-        for batch in batches:
+        for batch in _pieces(batches):
             values = [each(t or "") for t in batch.column(1).to_pylist()]
             columns = list(zip(*values)) if values else [[] for _ in out.names[1:]]
             yield pa.RecordBatch.from_arrays(
@@ -72,13 +72,20 @@ def hash_share(column: str, seed: int, rate: float) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col(column)), F.lit(1_000_000)) < int(round(rate * 1_000_000))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def keep_where(docs: DataFrame, rows: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
     """The rows of `docs`, with all their columns, whose text the function keeps (null: empty)."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = rows()
-        for batch in batches:
+        for batch in _pieces(batches):
             yield batch.filter(pa.array(each([t or "" for t in batch.column(at).to_pylist()]), type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from leadkin.llm.common import keep_where, texts
 
 WINDOW = 10
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 BLOCK_BYTES = 32 << 20
 
 _WORD_BYTES = bytes(
@@ -178,7 +178,7 @@ class _Opened:
             yield made
 
 
-def _shards(documents: list[list[bytes]]) -> Iterator[list[list[bytes]]]:
+def _shards(documents: Iterator[list[bytes]]) -> Iterator[list[list[bytes]]]:
     shard, n = [], 0
     for d in documents:
         if shard and n + len(d) > SHARD_WORDS:
@@ -192,7 +192,7 @@ def _shards(documents: list[list[bytes]]) -> Iterator[list[list[bytes]]]:
 
 def _searched(batch: list[str | None], benchmarks: _Opened) -> Iterator[tuple[int, int, set[str]]]:
     """(words, hit words, items) of every text."""
-    for shard in _shards([words(t or "") for t in batch]):
+    for shard in _shards(words(t or "") for t in batch):
         hit, items = None, [set() for _ in shard]
         for b in benchmarks:
             found = Shard(shard, b)
@@ -242,7 +242,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
         opened = _Opened(blocks, window)
         for batch in batches:
             ids, first = batch.column(0).to_pylist(), 0
-            for shard in _shards([words(t or "") for t in batch.column(1).to_pylist()]):
+            for shard in _shards(words(t or "") for t in batch.column(1).to_pylist()):
                 for b in opened:
                     rows = [(ids[first + d], w, b.names[i], k, n) for d, w, i, k, n in Shard(shard, b).longest()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)

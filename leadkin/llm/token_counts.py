@@ -35,7 +35,7 @@ TOKEN_LIMIT = 2048
 
 
 class Transducer:
-    LIMIT = 100_000
+    LIMIT = 50_000
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -104,7 +104,7 @@ class Map(NamedTuple):
 
 
 class Counter:
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __init__(self, vocabulary: Vocabulary, chunk: int = CHUNK):
         self.vocabulary, self.chunk = vocabulary, chunk

@@ -44,7 +44,7 @@ class Features:
     """Text -> different feature numbers; place 0 is the bias."""
 
     def __init__(self):
-        self.codes = Kept(lambda word: zlib.crc32(word.encode()) + 1, 200_000)
+        self.codes = Kept(lambda word: zlib.crc32(word.encode()) + 1, 100_000)
 
     def places(self, text: str) -> np.ndarray:
         words = np.array(list(map(self.codes.__getitem__, _WORD.findall(text.lower()))), dtype=np.uint64)

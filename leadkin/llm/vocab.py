@@ -93,7 +93,7 @@ class Compatible:
     its own merge until the merge that takes it in.
     """
 
-    LIMIT = 1_000_000
+    LIMIT = 150_000
 
     def __init__(self, vocabulary: Vocabulary):
         never = len(vocabulary.merges) + 1
@@ -102,7 +102,7 @@ class Compatible:
         self.never, self.made = never, made
         self.last: dict[int, list[tuple[int, int]]] = {}
         self.first: dict[int, list[tuple[int, int]]] = {}
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
 
     def _border(self, token: int, side: int, cache: dict) -> list[tuple[int, int]]:
         """(part, rank of the merge that takes it in), smallest part first."""
@@ -118,7 +118,7 @@ class Compatible:
         return cache[token]
 
     def __call__(self, left: int, right: int) -> bool:
-        key = (left, right)
+        key = left << 32 | right
         known = self.known.get(key)
         if known is None:
             if len(self.known) >= self.LIMIT:

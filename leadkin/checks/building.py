@@ -159,7 +159,7 @@ TARGETS = """SELECT s.s_suppkey AS id, CASE WHEN s.s_suppkey % 6 = 0 THEN '' WHE
   ELSE concat(lower(c.c_mktsegment), ' works ', CAST(c.c_custkey AS STRING), ' 有限公司') END AS official,
   CASE WHEN s.s_suppkey % 4 = 0 THEN concat(upper(c.c_mktsegment), ' works ', CAST(c.c_custkey AS STRING)) WHEN s.s_suppkey % 4 = 1 THEN concat('zz', CAST(s.s_suppkey AS STRING))
   ELSE concat(lower(c.c_mktsegment), ' works ', CAST(c.c_custkey AS STRING), ' 股份有限公司') END AS posted
-  FROM {supplier} s JOIN {customer} c ON c.c_custkey = s.s_suppkey * 13 % 150"""
+  FROM {supplier} s CROSS JOIN (SELECT count(*) AS n FROM {customer}) m JOIN {customer} c ON c.c_custkey = s.s_suppkey * 13 % m.n"""
 
 # These names hold no brackets, underscores or separators; an ideographic ending keeps
 # only digits once Latin letters go, other names keep all their letters.
@@ -201,7 +201,7 @@ def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Names without an ideographic ending, one of two spellings with swapped letters.
 PLAIN_REGISTRY = REGISTRY.replace(", ' 有限公司') AS Company_Name", ") AS Company_Name")
 SWAPPED = """SELECT s_suppkey AS id, concat(lower(c_mktsegment), ' wroks ', CAST(c_custkey AS STRING)) AS official,
-  concat(lower(c_mktsegment), ' works ', CAST(c_custkey AS STRING)) AS posted FROM {supplier} JOIN {customer} ON c_custkey = s_suppkey * 13 % 150"""
+  concat(lower(c_mktsegment), ' works ', CAST(c_custkey AS STRING)) AS posted FROM {supplier} CROSS JOIN (SELECT count(*) AS n FROM {customer}) m JOIN {customer} ON c_custkey = s_suppkey * 13 % m.n"""
 
 
 @check(

@@ -102,28 +102,29 @@ def page_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @check(
-    """WITH hits AS (SELECT c.c_custkey AS id, p.url FROM customer c JOIN pages p ON p.page_id = c.c_custkey % 400)
+    """WITH hits AS (SELECT c.c_custkey AS id, p.url FROM customer c JOIN pages p ON p.page_id = c.c_custkey % (SELECT count(*) FROM pages))
 SELECT url, length(html) AS size FROM pages WHERE url IN (SELECT url FROM hits)"""
 )
 def pages_by_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of the corpus for the addresses many leads ask for, each page once."""
     pages = table(spark, sf_dir, "pages")
-    ask = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 400).alias("page_id")).join(pages.select("page_id", "url"), "page_id")
+    number = pages.agg(F.count("*").alias("n"))  # one row
+    ask = table(spark, sf_dir, "customer").crossJoin(number).select((F.col("c_custkey") % F.col("n")).alias("page_id")).join(pages.select("page_id", "url"), "page_id")
     return pages_at(ask, pages).select("url", F.length("html").cast("long").alias("size"))
 
 
 @check(
     """WITH l AS (SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN 'own' WHEN 1 THEN 'corpus' WHEN 2 THEN 'absent' WHEN 3 THEN 'blank' WHEN 4 THEN 'landed' ELSE 'bad' END AS kind FROM customer)
 SELECT id, CASE kind WHEN 'own' THEN 'existing_email' WHEN 'corpus' THEN 'found' WHEN 'landed' THEN 'found' WHEN 'absent' THEN 'homepage_request_failed' ELSE 'missing_website' END AS email_status,
-  CASE WHEN kind = 'own' THEN 'me@own.com' WHEN kind IN ('corpus', 'landed') THEN 'info@site' || (id // 6 % 50) || '.com' ELSE '' END AS email,
-  CASE WHEN kind IN ('corpus', 'landed') THEN 'https://site' || (id // 6 % 50) || '.com' ELSE '' END AS source,
-  CASE WHEN kind = 'corpus' OR kind = 'landed' THEN 'https://site' || (id // 6 % 50) || '.com' WHEN kind = 'absent' THEN 'gone.com' WHEN kind = 'bad' THEN '' ELSE '' END AS site FROM l"""
+  CASE WHEN kind = 'own' THEN 'me@own.com' WHEN kind IN ('corpus', 'landed') THEN 'info@site' || (id // 6) || '.com' ELSE '' END AS email,
+  CASE WHEN kind IN ('corpus', 'landed') THEN 'https://site' || (id // 6) || '.com' ELSE '' END AS source,
+  CASE WHEN kind = 'corpus' OR kind = 'landed' THEN 'https://site' || (id // 6) || '.com' WHEN kind = 'absent' THEN 'gone.com' WHEN kind = 'bad' THEN '' ELSE '' END AS site FROM l"""
 )
 def email_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leads with an address of their own, with a site in the corpus, with a missing or blank site."""
     key = F.col("c_custkey")
     kind = key % 6
-    site = F.concat(F.lit("https://site"), (F.floor(key / 6) % 50).cast("string"), F.lit(".com"))
+    site = F.concat(F.lit("https://site"), F.floor(key / 6).cast("string"), F.lit(".com"))
     customers = table(spark, sf_dir, "customer")
     leads = customers.select(
         key.alias(fixed.ROW_ORD),
@@ -132,7 +133,7 @@ def email_status(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == 1, site).when(kind == 2, "gone.com").when(kind == 5, "facebook.com/x").otherwise("").alias(fixed.WEBSITE),
     )
     payloads = customers.filter(kind == 4).select(F.format_string("k%d", key).alias("cust_no"), site.alias("website"))
-    homes = customers.select((F.floor(key / 6) % 50).alias("page_id"), site.alias("url")).distinct()
+    homes = customers.select(F.floor(key / 6).alias("page_id"), site.alias("url")).distinct()
     local = F.concat(F.lit("info@site"), F.col("page_id").cast("string"), F.lit(".com"))
     corpus = homes.select("page_id", "url", F.concat(F.lit("<p>boss@other.org 聯絡信箱: "), local, F.lit("</p>")).alias("html"))
     out = enrich_emails(leads, corpus, payloads)

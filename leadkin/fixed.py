@@ -331,3 +331,9 @@ CONTACT_WORDS = [
     "公司",
 ]
 SKIPPED_SCHEMES = ["mailto:", "tel:", "javascript:", "#"]
+
+# Links, hosts and web addresses in texts; (?U) counts all white space.
+HREF = r"(?i)<a\b[^>]*?\bhref=[\"']([^\"']+)[\"'][^>]*>"
+HOST = r"(?i)^[a-z][a-z0-9+.-]*://([^/?#]*)"
+LINK = r"(?iU)https?://[^\s,，;；]+"
+DOMAIN = r"(?U)(?:www\.)?[A-Za-z0-9][A-Za-z0-9.-]+\.[A-Za-z]{2,}(?:/[^\s,，;；]*)?"

@@ -201,8 +201,12 @@ def with_address_parts(df: DataFrame, address: Column, area: Column, city: str,
 
 
 def instant(text: Column) -> Column:
-    """ISO text as a point in time, or null; without an offset it is UTC in any session."""
-    iso = clean(text)
+    """ISO text as a point in time, or null; without an offset it is UTC in any session.
+
+    Dates may be written with slashes or full stops instead of hyphens.
+    """
+    iso = F.regexp_replace(clean(text), r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})", "$1-$2-$3")
+    iso = F.regexp_replace(iso, r"^(\S+[ T]\d{1,2}:\d{2})$", "$1:00")
     whole = (
         F.when(iso.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.concat(iso, F.lit("T00:00:00Z")))
         .when(iso.rlike(r":\d{2}(?:\.\d+)?$") & ~iso.rlike(r"[+-]\d{1,2}:\d{2}$"), F.concat(iso, F.lit("Z")))

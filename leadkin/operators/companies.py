@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leadkin import fixed
 from leadkin.functions import text
-from leadkin.operators.columns import col, fill_missing_columns, number, require_columns
+from leadkin.operators.columns import col, conform, number
 
 
 def active_flags() -> list[Column]:
@@ -30,12 +30,10 @@ def industry_text() -> Column:
 
 def companies(df: DataFrame, label: str) -> DataFrame:
     """(id, company, keys, texts, numbers, place, signal, coverage) for each row."""
-    require_columns(df, [fixed.NAME, fixed.ROW_ORD], label)
     has_numbers = [c for c in (fixed.EMPLOYEES, fixed.CAPITAL) if c in df.columns]
-    df = fill_missing_columns(
-        df, [fixed.CUST_NO, fixed.PROFILE, fixed.INDUSTRY, fixed.SIGNAL, fixed.CITY, fixed.DISTRICT, *fixed.WELFARE_TEXT]
-    )
-    df = fill_missing_columns(df, [fixed.EMPLOYEES, fixed.CAPITAL, *fixed.INDUSTRY_FLAGS], None)
+    texts = [fixed.CUST_NO, fixed.PROFILE, fixed.INDUSTRY, fixed.SIGNAL, fixed.CITY, fixed.DISTRICT, *fixed.WELFARE_TEXT]
+    numbers = [fixed.EMPLOYEES, fixed.CAPITAL, *fixed.INDUSTRY_FLAGS]
+    df = conform(df, dict.fromkeys(texts, "") | dict.fromkeys(numbers), needed=[fixed.NAME, fixed.ROW_ORD], what=label)
     out = df.select(
         F.col(fixed.ROW_ORD).cast("long").alias("id"),
         col(fixed.NAME).cast("string").alias("company"),

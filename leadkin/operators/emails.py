@@ -12,14 +12,10 @@ from leadkin.functions import text
 from leadkin.functions.udfs import absolute_links, find_emails
 from leadkin.operators.columns import col
 
-HREF = r"(?i)<a\b[^>]*?\bhref=[\"']([^\"']+)[\"'][^>]*>"
-HOST = r"(?i)^[a-z][a-z0-9+.-]*://([^/?#]*)"
-LINK = r"(?i)https?://[^\s,，;；]+"
-DOMAIN = r"(?:www\.)?[A-Za-z0-9][A-Za-z0-9.-]+\.[A-Za-z]{2,}(?:/[^\s,，;；]*)?"
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, HOST, 1))
+    return F.lower(F.regexp_extract(url, fixed.HOST, 1))
 
 
 def bare_host(url: Column) -> Column:
@@ -29,7 +25,7 @@ def bare_host(url: Column) -> Column:
 def website(value: Column) -> Column:
     """First link or domain in a text as a web address; blank for hosts that are no company site."""
     raw = text.blank(value)
-    link, domain = F.regexp_extract(raw, LINK, 0), F.regexp_extract(raw, DOMAIN, 0)
+    link, domain = F.regexp_extract(raw, fixed.LINK, 0), F.regexp_extract(raw, fixed.DOMAIN, 0)
     found = F.when(link != "", link).otherwise(domain)
     url = F.when(found.rlike("(?i)^https?://"), found).otherwise(F.concat(F.lit("https://"), found))
     host = host_of(url)
@@ -39,7 +35,7 @@ def website(value: Column) -> Column:
 
 
 def page_links(base: Column, html: Column) -> Column:
-    return absolute_links(base, F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(HREF), F.lit(1)))
+    return absolute_links(base, F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(fixed.HREF), F.lit(1)))
 
 
 def is_contact_link(link: Column, home: Column) -> Column:

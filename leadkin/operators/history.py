@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leadkin import fixed
 from leadkin.functions import text
-from leadkin.operators.columns import col, compact_leads, fill_missing_columns, fixed_layout
+from leadkin.operators.columns import col, compact_leads, conform, fixed_layout
 from leadkin.operators.dedupe import keep_last
 from leadkin.operators.lookup import left_lookup
 
@@ -25,7 +25,7 @@ def empty(spark: SparkSession) -> DataFrame:
 
 def layout(df: DataFrame) -> DataFrame:
     """The eleven history columns as text plus the stored order; absent columns are null."""
-    df = fixed_layout(fill_missing_columns(df, ORDER, 0), LAYOUT)
+    df = fixed_layout(conform(df, dict.fromkeys(ORDER, 0)), LAYOUT)
     return df.select(*[col(c).cast("string").alias(c) for c in fixed.HISTORY_COLUMNS], *[F.col(c).cast("long") for c in ORDER])
 
 

@@ -101,26 +101,23 @@ def best_columns(total: np.ndarray, order: np.ndarray, k: int = fixed.TOP_MATCHE
 
 
 def jaccard(p_mask: np.ndarray, c_mask: np.ndarray) -> np.ndarray:
-    bits = np.arange(len(fixed.INDUSTRY_FLAGS))
-    p = (p_mask[:, None] >> bits & 1).astype(float)
-    c = (c_mask[:, None] >> bits & 1).astype(float)
-    common = p @ c.T
-    union = p.sum(axis=1)[:, None] + c.sum(axis=1)[None, :] - common
-    return np.divide(common, union, out=np.zeros_like(common), where=union > 0)
+    """Shared flags as a part of all flags of either row; the flags are bits."""
+    p, c = p_mask.astype(np.int64)[:, None], c_mask.astype(np.int64)[None, :]
+    return np.bitwise_count(p & c) / np.maximum(np.bitwise_count(p | c), 1)
+
+
+def _logs(numbers: np.ndarray) -> np.ndarray:
+    """log(1 + x); no number where x is absent, negative or infinite."""
+    usable = np.isfinite(numbers) & (numbers >= 0)
+    return np.where(usable, np.log1p(np.where(usable, numbers, 0.0)), np.nan)
 
 
 def closeness(p: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Mean of exp(-|log gap| / scale) over the number columns both rows have."""
-    total = np.zeros((len(p), len(c)))
-    seen = np.zeros_like(total)
-    for column in range(p.shape[1]):
-        with np.errstate(invalid="ignore", divide="ignore"):
-            logs = [np.where(np.isfinite(v) & (v >= 0), np.log1p(v), np.nan) for v in (p[:, column], c[:, column])]
-        gap = np.abs(logs[0][:, None] - logs[1][None, :])
-        there = np.isfinite(gap)
-        total += np.where(there, np.exp(-np.where(there, gap, 0.0) / fixed.SIZE_SCALE), 0.0)
-        seen += there
-    return np.divide(total, seen, out=np.zeros_like(total), where=seen > 0)
+    a, b = _logs(p), _logs(c)
+    near = np.exp(np.abs(a[:, None, :] - b[None, :, :]) / -fixed.SIZE_SCALE)
+    columns = np.isfinite(a).astype(float) @ np.isfinite(b).astype(float).T
+    return np.nansum(near, axis=2) / np.maximum(columns, 1.0)
 
 
 def same(p: pd.Series, c: pd.Series) -> np.ndarray:

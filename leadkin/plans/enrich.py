@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadkin import fixed
 from leadkin.functions import text
-from leadkin.operators.columns import col, fill_missing_columns
+from leadkin.operators.columns import col, conform
 from leadkin.operators.emails import bare_host, best_email, emails_in, existing_email, page_links, pages_to_read, website
 from leadkin.operators.lookup import left_lookup
 
@@ -48,7 +48,7 @@ def enrich_emails(
     request. `payloads` is (cust_no, website) and fills in missing websites.
     """
     key = fixed.ROW_ORD
-    leads = fill_missing_columns(leads, ["Email", fixed.WEBSITE, "email_source_url", "email_status", "email_candidates"])
+    leads = conform(leads, dict.fromkeys(["Email", fixed.WEBSITE, "email_source_url", "email_status", "email_candidates"], ""))
     number = text.blank(col(fixed.CUST_NO)) if fixed.CUST_NO in leads.columns else F.lit("")
     state = leads.select(key, number.alias("cust_no"), website(col(fixed.WEBSITE)).alias("own"))
     state = left_lookup(state, _websites(payloads, leads), ["cust_no"], F.col(key))

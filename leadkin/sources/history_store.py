@@ -1,13 +1,22 @@
-"""Stored contact history: a base and the batches added since.
+"""Stored contact history: folders of added rows, and a base into which some are folded.
 
-Adding contacts writes only the new rows, into a folder named after the batch,
-so writing the same batch again replaces it. Reading takes the newest finished
-base and all later batches and keeps the last row per key. `compact` folds the
-batches into a new base; nothing that is being read is ever overwritten.
+Every writer has folders of its own (`added-<key>`): an append takes a fresh
+key, a stream the same key for the same micro-batch, so a repeated write
+replaces itself and no writer can touch another's rows. Rows carry the time of
+their commit, which orders them; a repeated write keeps its first time.
+
+`compact` writes a new base and then a manifest that names exactly the folders
+it holds. Reading takes the newest finished manifest with its base, and every
+folder it does not name. Nothing that is being read is ever overwritten.
+
+A history in a CSV file is read as it is. The first append takes it over into
+a store beside it, the path without `.csv`; the file itself is never changed.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,40 +26,76 @@ from leadkin.operators import history as rules
 from leadkin.operators.dedupe import keep_last
 from leadkin.sources.tables import exists, read_table, subfolders
 
+_TAKEN_OVER = "added-0-file"
 
-def _numbered(spark: SparkSession, path: str, kind: str) -> list[int]:
-    prefix = f"{kind}="
-    return sorted(int(n[len(prefix) :]) for n in subfolders(spark, path) if n.startswith(prefix))
 
+def _store(path: str) -> tuple[str, str | None]:
+    """(folder of the store, CSV file it began with)."""
+    return (path[: -len(".csv")], path) if path.lower().endswith(".csv") else (path, None)
 
-def last_batch(spark: SparkSession, path: str) -> int:
-    return max([0, *_numbered(spark, path, "base"), *_numbered(spark, path, "added")])
 
+def _folders(spark: SparkSession, store: str, kind: str) -> list[str]:
+    return sorted(n for n in subfolders(spark, store) if n.startswith(f"{kind}-"))
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Current history; an absent table is empty, a plain CSV file is read as it is."""
-    if path.lower().endswith(".csv"):
-        return rules.layout(read_table(spark, path)) if exists(spark, path) else rules.empty(spark)
-    bases = _numbered(spark, path, "base")
-    start = bases[-1] if bases else 0
-    parts = [f"{path}/base={start}"] if bases else []
-    parts += [f"{path}/added={b}" for b in _numbered(spark, path, "added") if b > start]
+
+def folded(spark: SparkSession, path: str) -> tuple[str | None, set[str]]:
+    """The base that counts and the folders it holds."""
+    store, _ = _store(path)
+    manifests = _folders(spark, store, "manifest")
+    if not manifests:
+        return None, set()
+    number = manifests[-1].removeprefix("manifest-")
+    names = spark.read.schema("folder string").parquet(f"{store}/manifest-{number}").collect()
+    return f"{store}/base-{number}", {r["folder"] for r in names}
+
+
+def _stored(spark: SparkSession, store: str, folders: list[str], base: str | None) -> DataFrame:
+    parts = [f"{store}/{n}" for n in folders] + ([base] if base else [])
     if not parts:
         return rules.empty(spark)
-    stored = spark.read.schema(rules.SCHEMA).parquet(*parts)
-    return keep_last(stored, fixed.HISTORY_DEDUPE_KEYS, rules.ORDER)
+    return keep_last(spark.read.schema(rules.SCHEMA).parquet(*parts), fixed.HISTORY_DEDUPE_KEYS, rules.ORDER)
 
 
-def append(leads: DataFrame, path: str, *, now: datetime, run_id: str | None = None, batch: int | None = None, **defaults) -> DataFrame:
-    """Add contacts and return the history with them; the same batch number replaces that batch."""
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Current history; an absent one is empty."""
+    store, file = _store(path)
+    added = _folders(spark, store, "added")
+    if file and _TAKEN_OVER not in added and exists(spark, file):
+        return rules.layout(read_table(spark, file))
+    base, held = folded(spark, path)
+    return _stored(spark, store, [n for n in added if n not in held], base)
+
+
+def add(leads: DataFrame, path: str, *, now: datetime, run_id: str | None = None, key: str | None = None, **defaults) -> None:
+    """Add contacts; writing the same key again replaces what it wrote."""
     spark = leads.sparkSession
-    batch = last_batch(spark, path) + 1 if batch is None else batch
-    rows = rules.records(leads, now=now, run_id=run_id or rules.run_id_of(now), batch=batch, **defaults)
-    rules.layout(rows).write.mode("overwrite").parquet(f"{path}/added={batch}")
-    return read(spark, path)
+    store, file = _store(path)
+    if file and _TAKEN_OVER not in _folders(spark, store, "added") and exists(spark, file):
+        rules.layout(read_table(spark, file)).write.mode("overwrite").parquet(f"{store}/{_TAKEN_OVER}")
+    commit = time.time_ns() // 1000
+    folder = f"added-{commit}-{uuid.uuid4().hex}" if key is None else f"added-{key}"
+    if key is not None and folder in subfolders(spark, store):
+        first = spark.read.schema(rules.SCHEMA).parquet(f"{store}/{folder}").agg({"batch": "min"}).first()[0]
+        commit = commit if first is None else first
+    rows = rules.records(leads, now=now, run_id=run_id or rules.run_id_of(now), batch=commit, **defaults)
+    rules.layout(rows).write.mode("overwrite").parquet(f"{store}/{folder}")
+
+
+def append(leads: DataFrame, path: str, **options) -> DataFrame:
+    """Add contacts and return the history with them."""
+    add(leads, path, **options)
+    return read(leads.sparkSession, path)
 
 
 def compact(spark: SparkSession, path: str) -> None:
-    last = last_batch(spark, path)
-    if last and last not in _numbered(spark, path, "base"):
-        read(spark, path).write.mode("overwrite").parquet(f"{path}/base={last}")
+    """Fold all finished folders into a new base."""
+    store, _ = _store(path)
+    base, held = folded(spark, path)
+    added = _folders(spark, store, "added")
+    fresh = [n for n in added if n not in held]
+    if not fresh:
+        return
+    number = f"{time.time_ns() // 1000}"
+    _stored(spark, store, fresh, base).write.parquet(f"{store}/base-{number}")
+    names = spark.createDataFrame([(n,) for n in sorted(held | set(fresh))], "folder string")
+    names.coalesce(1).write.parquet(f"{store}/manifest-{number}")

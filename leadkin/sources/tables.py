@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadkin import fixed
+from leadkin.session import cut
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -26,18 +27,25 @@ def subfolders(spark: SparkSession, path: str, done_only: bool = True) -> list[s
 def read_table(spark: SparkSession, path: str, row_ord: str = fixed.ROW_ORD) -> DataFrame:
     """CSV with header (all text, byte-order mark allowed) or Parquet.
 
-    A table without a row number of its own gets one at the scan, which follows
-    the order of the lines of a single file.
+    Quoted fields may hold line breaks, so a CSV file is read whole by one task;
+    keep large tables in Parquet. A table without a row number of its own gets
+    one, which follows the order of the lines of a single file; the numbered rows
+    are stored, as another scan could cut the files differently.
     """
     if not exists(spark, path):
         raise FileNotFoundError(path)
-    if path.lower().rstrip("/").endswith((".csv", ".csv.gz")):
-        df = spark.read.option("header", True).option("multiLine", False).option("escape", '"').csv(path)
+    csv = path.lower().rstrip("/").endswith((".csv", ".csv.gz"))
+    if csv:
+        df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     elif path.lower().endswith((".xlsx", ".xls")):
         raise ValueError("convert workbooks to CSV or Parquet first")
     else:
         df = spark.read.parquet(path)
-    return df if row_ord in df.columns else df.withColumn(row_ord, F.monotonically_increasing_id())
+    if row_ord in df.columns:
+        return df
+    numbered = df.withColumn(row_ord, F.monotonically_increasing_id())
+    # one CSV file is always one task, so its numbers are the same at every scan
+    return numbered if csv and len(df.inputFiles()) == 1 else cut(numbered)
 
 
 def read_leads(spark: SparkSession, path: str, limit: int = 0, order: str = fixed.ROW_ORD) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -17,18 +18,21 @@ def ingest(
     *,
     now: datetime | None = None,
     trigger: dict | None = None,
-    first_batch: int = 1,
     **defaults,
 ) -> StreamingQuery:
-    """Append every micro-batch of contact rows; a repeated micro-batch replaces itself.
+    """Add every micro-batch of contact rows; a repeated micro-batch replaces itself.
 
+    The checkpoint folder names the stream: its rows never meet those of
+    appends or of other streams into the same history.
     `now` fills in rows without a time of their own; left out, it is the time
     of the micro-batch.
     """
 
+    writer = hashlib.md5(checkpoint.encode()).hexdigest()
+
     def write(rows: DataFrame, epoch: int) -> None:
         moment = now or datetime.now().astimezone()
-        history_store.append(rows, path, now=moment, batch=first_batch + epoch, **defaults)
+        history_store.add(rows, path, now=moment, key=f"stream-{writer}-{epoch}", **defaults)
 
     return (
         events.writeStream.foreachBatch(write)

@@ -12,6 +12,7 @@ from leadkin.plans import weekly
 from leadkin.plans.enrich import enrich_emails
 from leadkin.session import scratch_path
 from leadkin.sources import history_store
+from leadkin.sources.tables import read_table
 from leadkin.sources.landed import payload_records, posted_number, posting_rows, registry_rows
 from leadkin.streaming.history import ingest
 
@@ -55,13 +56,62 @@ def test_store_append_replay_and_compaction(spark):
     assert history_store.append(first, path, now=NOW).count() == 2
     again = contacts(spark, [("2024-06-01", "a", "1", "", ""), ("2024-06-02", "c", "3", "", "")])
     assert history_store.append(again, path, now=NOW, run_id="x").count() == 3
-    assert history_store.append(again, path, now=NOW, run_id="x", batch=2).count() == 3
+    assert history_store.append(again, path, now=NOW, run_id="x", key="again").count() == 3
+    assert history_store.append(again, path, now=NOW, run_id="x", key="again").count() == 3
     before = sorted(history_store.read(spark, path).collect(), key=str)
     history_store.compact(spark, path)
     assert sorted(history_store.read(spark, path).collect(), key=str) == before
     assert {r.run_id for r in before if r.company_name == "a"} == {"x"}
 
 
+def test_appends_and_streams_share_a_history(spark):
+    path, source = scratch_path(spark, "history"), scratch_path(spark, "in")
+    row = lambda i: contacts(spark, [(f"2024-06-{i:02d}", f"c{i}", str(i), "", "")])
+    history_store.append(row(1), path, now=NOW)
+    rows = row(2)
+    rows.write.parquet(source)
+
+    def go():
+        ingest(spark.readStream.schema(rows.schema).parquet(source), path, f"{path}-progress", now=NOW, run_id="r").awaitTermination()
+        return history_store.read(spark, path).count()
+
+    assert go() == 2
+    history_store.compact(spark, path)
+    history_store.compact(spark, path)
+    row(3).write.mode("append").parquet(source)
+    assert go() == 3
+    assert history_store.append(row(4), path, now=NOW).count() == 4
+    history_store.compact(spark, path)
+    assert go() == 4
+    # two writers at once never share a folder
+    base, held = history_store.folded(spark, path)
+    assert base and len(held) == 4
+
+
+def test_csv_history_is_taken_over(spark):
+    path = f"{scratch_path(spark, 'history')}.csv"
+    contacts(spark, [("2024-06-01", "a", "1", "", "line\nbreak")]).drop(fixed.ROW_ORD).coalesce(1).write.option("header", True).option("escape", '"').csv(path)
+    assert history_store.read(spark, path).count() == 1
+    assert history_store.append(contacts(spark, [("2024-06-02", "b", "2", "", "")]), path, now=NOW).count() == 2
+    assert history_store.append(contacts(spark, [("2024-06-03", "c", "3", "", "")]), path, now=NOW).count() == 3
+
+
+def test_row_numbers_outlive_other_splits(spark):
+    path = f"{scratch_path(spark, 'many')}.csv"
+    spark.range(5000).select(F.col("id"), F.lit("two\nlines").alias("t")).repartition(6).write.option("header", True).csv(path)
+    table = read_table(spark, path)
+    first = {r.id: r[fixed.ROW_ORD] for r in table.collect()}
+    settings = {"spark.sql.files.maxPartitionBytes": "4k", "spark.sql.files.openCostInBytes": "1", "spark.sql.leafNodeDefaultParallelism": "3"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        again = {r.id: r[fixed.ROW_ORD] for r in table.select("id", fixed.ROW_ORD).collect()}
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert first == again and len(first) == 5000 == len(set(first.values()))
+
+
 def test_stream_equals_batch(spark):
     source, path, batch_path = (scratch_path(spark, n) for n in ("in", "stream", "batch"))
     rows = contacts(spark, [("2024-06-01", f"c{i % 7}", str(i % 5), "x" if i % 2 else "", "") for i in range(60)])

@@ -154,3 +154,27 @@ def test_instant_does_not_depend_on_the_session_zone(spark):
         assert apply(spark, values, seconds) == want
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_dates_with_slashes_and_full_stops(spark):
+    from leadkin.functions.text import instant
+
+    texts = ["2024/06/09", "2024/06/09 10:00", "2024.6.9", "2024-06-09T00:00:00+08:00", "soon", "2024/13/01"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(instant(F.col("t")).cast("string").alias("x"))
+    assert [r.x for r in df.collect()] == ["2024-06-09 00:00:00", "2024-06-09 10:00:00", "2024-06-09 00:00:00", "2024-06-08 16:00:00", None, None]
+
+
+def test_full_width_space_ends_an_address_and_bad_links_are_skipped(spark):
+    from leadkin.functions.udfs import joined
+    from leadkin.operators.emails import website
+
+    df = spark.createDataFrame([("https://a.com\u3000台北",)], "t string").select(website(F.col("t")).alias("x"))
+    assert df.first().x == "https://a.com"
+    assert joined("https://a.com/", "http://[x") is None and joined("https://a.com/", "/b") == "https://a.com/b"
+
+
+def test_nested_numbers_are_safe_in_json(spark):
+    from leadkin.operators.columns import as_json
+
+    df = spark.sql("SELECT array(double('NaN'), 1D) AS a, named_struct('x', double('Infinity')) AS s, map('k', double('NaN')) AS m")
+    assert df.transform(as_json).first().json == '{"a":[null,1.0],"s":{"x":null},"m":{"k":null}}'

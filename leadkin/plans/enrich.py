@@ -10,28 +10,33 @@ from leadkin.functions import text
 from leadkin.operators.columns import col, conform
 from leadkin.operators.emails import bare_host, best_email, emails_in, existing_email, page_links, pages_to_read, website
 from leadkin.operators.lookup import left_lookup
+from leadkin.session import cut
 
 
 def pages_at(urls: DataFrame, pages: DataFrame) -> DataFrame:
     """(url, html) of the corpus for the wanted addresses, the first copy of each."""
-    wanted = pages.join(urls.select("url").distinct(), "url", "left_semi")
-    first = wanted.groupBy("url").agg(F.min("page_id").alias("page_id"))
-    return wanted.join(first, ["url", "page_id"]).select("url", "html")
+    # chosen by the narrow columns, so that the texts are read once and only where wanted
+    narrow = pages.select("url", "page_id").join(urls.select("url").distinct(), "url", "left_semi")
+    first = narrow.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    return pages.join(first, ["url", "page_id"]).select("url", "html")
 
 
 def site_emails(sites: DataFrame, pages: DataFrame, max_pages: int = fixed.PAGES_PER_SITE, gmail_only: bool = False) -> DataFrame:
     """(site, reached, email, url, candidates) for distinct home page addresses.
 
-    Each site and each page is worked on once, however many leads share it.
+    Each site and each page is worked on once, however many leads share it; the
+    corpus is read for home pages and once more for the other pages of the sites.
     """
     homes = sites.select("site").distinct()
-    reached = homes.join(pages_at(homes.withColumnRenamed("site", "url"), pages), F.col("site") == F.col("url")).drop("url")
-    wanted = reached.withColumn("links", page_links(F.col("site"), F.col("html"))).select(
+    front = homes.join(pages_at(homes.withColumnRenamed("site", "url"), pages), F.col("site") == F.col("url"))
+    reached = cut(front.select("site", page_links(F.col("site"), F.col("html")).alias("links")))
+    wanted = reached.select(
         "site", F.posexplode(pages_to_read(F.col("site"), F.col("links"), max_pages)).alias("page_ord", "url")
     )
     found = emails_in(pages_at(wanted, pages), "url", "html", gmail_only)
     best = best_email(wanted.join(found, "url"), "site", bare_host(F.col("site")))
-    return homes.join(reached.select("site", F.lit(True).alias("reached")), "site", "left").join(best, "site", "left")
+    out = homes.join(reached.select("site", F.lit(True).alias("reached")), "site", "left").join(best, "site", "left")
+    return cut(out)  # a few values per site, which the caller reads several times
 
 
 def enrich_emails(

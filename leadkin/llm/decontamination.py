@@ -260,3 +260,30 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
         return lambda batch: [hit == 0 for _, hit, _ in _searched(batch, opened)]
 
     return keep_where(docs, rows)
+
+
+_SQL_WORDS = (
+    r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+SQL = f"""
+WITH items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, {_SQL_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), windows AS (
+  SELECT DISTINCT item, least(len(w), {WINDOW}) AS n, w, unnest(range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1)) AS k FROM items WHERE len(w) > 0
+), keys AS (
+  SELECT DISTINCT item, n, array_to_string(w[k : k + n - 1], ' ') AS key FROM windows
+), docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce({_SQL_WORDS}, []) AS w FROM documents
+), starts AS (
+  SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM docs, (SELECT DISTINCT n FROM keys)
+), found AS (
+  SELECT r, k, s.n, item FROM (SELECT r, k, n, array_to_string(w[k : k + n - 1], ' ') AS key FROM starts) s JOIN keys USING (n, key)
+), hit AS (
+  SELECT r, count(DISTINCT word) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS word FROM found) GROUP BY r
+), named AS (
+  SELECT r, list_sort(list(DISTINCT item)) AS items FROM found GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""

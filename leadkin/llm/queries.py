@@ -81,3 +81,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op10_line_dedup"] = line_dedup.SQL
+SQL["op4_decontamination"] = decontamination.SQL

@@ -37,6 +37,7 @@ from leadkin.llm.common import keep_where, texts
 WINDOW = 10
 SHARD_WORDS = 1 << 19
 BLOCK_BYTES = 32 << 20
+_PAIRS = 1 << 20
 
 _WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
@@ -48,6 +49,28 @@ def words(text: str) -> list[bytes]:
     return text.encode().translate(_WORD_BYTES).split()
 
 
+class Windows:
+    """All different windows of n words of the items that have such, sorted, each with its items.
+
+    Flat arrays, so a block of items takes a small multiple of its text.
+    """
+
+    def __init__(self, items: list[np.ndarray], n: int, window: int):
+        of = [i for i, x in enumerate(items) if min(window, len(x)) == n]
+        rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(items[i], n) for i in of]).astype(">u4")
+        keys = np.ascontiguousarray(rows).view(f"S{4 * n}").ravel()
+        owner = np.repeat(of, [len(items[i]) - n + 1 for i in of])
+        order = np.argsort(keys, kind="stable")  # items stay in order within a window
+        keys, owner = keys[order], owner[order]
+        new_key = np.append(True, keys[1:] != keys[:-1])
+        new = new_key | np.append(True, owner[1:] != owner[:-1])
+        self.n, self.keys, self.items = n, keys[new_key], owner[new]
+        self.offsets = np.append(np.flatnonzero(new_key[new]), new.sum())
+        last = np.full((len(self.keys), 4 * window), 0xFF, dtype=np.uint8)
+        last[:, : 4 * n] = self.keys.view(np.uint8).reshape(-1, 4 * n)
+        self.last = last.view(f"S{4 * window}").ravel()  # beyond every suffix that begins with the window
+
+
 class Benchmark:
     """One block of items: numbered words, windows by length, and which items have them."""
 
@@ -63,13 +86,7 @@ class Benchmark:
         self.base = len(self.number) + 1
         pairs = [x[:-1] * self.base + x[1:] for x in self.items]
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, dtype=np.int64)
-        self.windows: dict[int, dict[bytes, set[int]]] = {}
-        for i, x in enumerate(self.items):
-            n = min(window, len(x))
-            table = self.windows.setdefault(n, {})
-            raw = x.astype(">u4").tobytes()
-            for at in range(len(x) - n + 1):
-                table.setdefault(raw[4 * at : 4 * (at + n)], set()).add(i)
+        self.windows = {n: Windows(self.items, n, window) for n in sorted({min(window, len(x)) for x in self.items})}
         self.shortest = min(self.windows, default=0)
 
 
@@ -121,17 +138,23 @@ class Shard:
     def hits(self) -> tuple[np.ndarray, np.ndarray]:
         """Mask of hit words, and (document, item) pairs as two columns."""
         change = np.zeros(len(self.ids) + 1, dtype=np.int64)
-        pairs = [np.empty((0, 2), dtype=np.int64)]
-        if len(self.suffixes):
-            for n, table in self.benchmark.windows.items():
-                for window, items in table.items():
-                    at = self.places(window)
-                    if len(at):
-                        np.add.at(change, at, 1)
-                        np.add.at(change, at + n, -1)
-                        document = np.unique(np.searchsorted(self.starts, at, side="right") - 1)
-                        pairs += [np.stack([document, np.full(len(document), i)], axis=1) for i in items]
-        return np.cumsum(change)[:-1] > 0, np.unique(np.concatenate(pairs), axis=0)
+        n_items = max(1, len(self.benchmark.items))
+        found, waiting = [np.empty(0, dtype=np.int64)], 0
+        for windows in self.benchmark.windows.values() if len(self.suffixes) else ():
+            low = np.searchsorted(self.keys, windows.keys, side="left")
+            high = np.searchsorted(self.keys, windows.last, side="right")
+            for k in np.flatnonzero(high > low):
+                at = self.suffixes[low[k] : high[k]]
+                change[at] += 1  # the places of one window are all different
+                change[at + windows.n] -= 1
+                document = np.unique(np.searchsorted(self.starts, at, side="right") - 1)
+                items = windows.items[windows.offsets[k] : windows.offsets[k + 1]]
+                found.append((document[:, None] * n_items + items).ravel())
+                waiting += len(found[-1])
+                if waiting > _PAIRS:  # neighbouring windows mostly tell the same
+                    found, waiting = [np.unique(np.concatenate(found))], 0
+        codes = np.unique(np.concatenate(found))
+        return np.cumsum(change)[:-1] > 0, np.stack([codes // n_items, codes % n_items], axis=1)
 
     def longest(self) -> Iterator[tuple[int, int, int, int, int]]:
         """(document, first word in it, item, first word in it, words) of every match that cannot be extended."""

@@ -28,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadkin.operators.lookup import heavy_light_lookup
 from leadkin.session import cut
 
 CHUNK = 3
@@ -71,8 +72,11 @@ def removed(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     large = parts.select("doc_id", F.posexplode("parts").alias("place", "part")).filter("part.n_lines > 1")
     # equal bytes, not only equal hashes; copies are summed up before anything is shuffled
     same = large.groupBy(F.col("part.text").alias("text")).agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper")).filter("n > 1")
-    repeated = cut(same.select(_key(F.col("text")).alias("key"), "keeper"))
-    places = large.select("doc_id", "place", _key(F.col("part.text")).alias("key")).join(repeated, "key")
+    repeated = cut(same.select(_key(F.col("text")).alias("key"), "keeper", "n"))
+    total = repeated.agg(F.sum("n")).first()[0] or 0
+    keyed = large.select("doc_id", "place", _key(F.col("part.text")).alias("key"))
+    # the few chunks that a large share of all places can have are sent to the workers, so no task gets all places of one
+    places = heavy_light_lookup(keyed, repeated, ["key"], "n", total, F.xxhash64("doc_id", "place")).filter("keeper is not null")
     per_document = places.groupBy("doc_id", "key").agg(F.min("place").alias("first"), F.collect_set("place").alias("places"), F.first("keeper").alias("keeper"))
     lost = F.when(F.col("doc_id") == F.col("keeper"), F.array_except("places", F.array("first"))).otherwise(F.col("places"))
     return per_document.groupBy("doc_id").agg(F.flatten(F.collect_list(lost)).alias("places")).filter(F.size("places") > 0)

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from leadkin.llm.common import per_text, texts
 from leadkin.llm.graph import components
+from leadkin.operators.lookup import heavy_light_lookup
 from leadkin.session import cut
 
 SHINGLE = 3
@@ -163,14 +164,16 @@ def links(prints: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, print, component_id for every row of `docs`."""
     prints = cut(per_text(texts(docs), "doc_id long, print long", lambda: lambda text: (fingerprint(text, size),)))
-    different = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
+    different = prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     roots = components(links(different)).select(F.col("node").alias("print"), "root")
     linked = roots.join(different, "print")
     smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     named = linked.select("print", "root").join(smallest, "root").select("print", "component_id")
-    named = different.join(named, "print", "left").select("print", F.coalesce("component_id", "first").alias("component_id"))
-    # stored, so that both sides of the last join are plain shuffles, which Spark can split where a fingerprint is frequent
-    return prints.join(cut(named), "print").select("doc_id", "print", "component_id")
+    named = cut(different.join(named, "print", "left").select("print", F.coalesce("component_id", "first").alias("component_id"), "n"))
+    total = named.agg(F.sum("n")).first()[0] or 0
+    # the few fingerprints that a large share of all rows can have are sent to the workers, so no task gets all rows of one
+    found = heavy_light_lookup(prints, named, ["print"], "n", total, F.xxhash64("doc_id", "print"))
+    return found.select("doc_id", "print", "component_id")
 
 
 def digests(docs: DataFrame) -> DataFrame:

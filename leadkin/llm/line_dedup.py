@@ -4,12 +4,13 @@ Every line has a 32-bit hash. A rolling hash over a line and the one before it
 decides whether a chunk ends there, on average after CHUNK lines. So boundaries
 depend on two lines only: what is added or taken away elsewhere in a document
 does not move them, and a passage that several documents share falls into the
-same chunks in all of them, but for its edges.
+same chunks in all of them, but for its edges. A line of over LONG words is a
+passage by itself: boundaries lie before and after it.
 
-Chunks of two or more lines are grouped by their whole text, so only chunks
-with the same bytes count as equal. The first document (smallest doc_id) keeps
+Chunks of two or more lines and long lines are grouped by their whole text, so
+only chunks with the same bytes count as equal. The first document (smallest doc_id) keeps
 a repeated chunk at its first place; everywhere else it is removed. A chunk of
-one line is never removed. Rejoined lines give exactly the text that was.
+one line that is not long is never removed. Rejoined lines give exactly the text that was.
 
 Copies of a chunk are counted before the shuffle, so a chunk that a third of
 all documents have is a few rows. From there on only chunk keys travel; a
@@ -32,6 +33,7 @@ from leadkin.operators.lookup import heavy_light_lookup
 from leadkin.session import cut
 
 CHUNK = 3
+LONG = 50
 _MULTIPLIER = 31
 
 
@@ -40,25 +42,33 @@ def line_hashes(lines: Column) -> Column:
     return F.transform(lines, lambda line: F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("bigint"))
 
 
+def is_long(line: Column) -> Column:
+    """Over LONG words, parted by blanks or tabs."""
+    return F.regexp_count(line, F.lit("[^ \\t]+")) > LONG
+
+
 def chunks(text: Column, chunk: int = CHUNK) -> Column:
-    """Array of (n_lines, text) that, joined by line feeds, are the text again."""
+    """Array of (n_lines, passage, text) that, joined by line feeds, are the text again; passages may be removed."""
     lines = F.split(text, "\n", -1)
 
     def cut_lines(both: Column) -> Column:
-        lines, hashes = both["lines"], both["hashes"]
+        lines, hashes, long = both["lines"], both["hashes"], both["long"]
         n = F.size(lines)
-        ends = F.filter(
-            F.sequence(F.lit(1), n),
-            lambda i: (i == n) | ((i > 1) & ((F.get(hashes, i - 2) * _MULTIPLIER + F.get(hashes, i - 1)) % 1000003 % chunk == 0)),
-        )
+        rolled = lambda i: (i > 1) & ((F.get(hashes, i - 2) * _MULTIPLIER + F.get(hashes, i - 1)) % 1000003 % chunk == 0)
+        ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | F.get(long, i - 1) | F.get(long, i) | rolled(i))
         starts = F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1))
         return F.transform(
             F.arrays_zip(starts.alias("a"), ends.alias("b")),
-            lambda x: F.struct((x["b"] - x["a"]).alias("n_lines"), F.array_join(F.slice(lines, x["a"] + 1, x["b"] - x["a"]), "\n").alias("text")),
+            lambda x: F.struct(
+                (x["b"] - x["a"]).alias("n_lines"),
+                ((x["b"] - x["a"] > 1) | F.get(long, x["a"])).alias("passage"),
+                F.array_join(F.slice(lines, x["a"] + 1, x["b"] - x["a"]), "\n").alias("text"),
+            ),
         )
 
-    # a one-element array, so that lines and hashes are worked out once for all uses
-    both = F.array(F.struct(lines.alias("lines"), line_hashes(lines).alias("hashes")))
+    # one-element arrays, so that lines and what is known of them are worked out once for all uses
+    known = lambda lines: F.struct(lines.alias("lines"), line_hashes(lines).alias("hashes"), F.transform(lines, is_long).alias("long"))
+    both = F.transform(F.array(lines), known)
     return F.get(F.transform(both, cut_lines), 0)
 
 
@@ -69,7 +79,7 @@ def _key(text: Column) -> Column:
 def removed(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """doc_id, places: the chunks (counted from 0) that a document loses."""
     parts = docs.filter("doc_id is not null and text is not null").select("doc_id", chunks(F.col("text"), chunk).alias("parts"))
-    large = parts.select("doc_id", F.posexplode("parts").alias("place", "part")).filter("part.n_lines > 1")
+    large = parts.select("doc_id", F.posexplode("parts").alias("place", "part")).filter("part.passage")
     # equal bytes, not only equal hashes; copies are summed up before anything is shuffled
     same = large.groupBy(F.col("part.text").alias("text")).agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper")).filter("n > 1")
     repeated = cut(same.select(_key(F.col("text")).alias("key"), "keeper", "n"))
@@ -109,18 +119,19 @@ SQL = f"""
 WITH lined AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents
 ), hashed AS (
-  SELECT *, list_transform(lines, lambda x: CAST(('0x' || substr(md5(x), 1, 8)) AS BIGINT)) AS hs FROM lined
+  SELECT *, list_transform(lines, lambda x: CAST(('0x' || substr(md5(x), 1, 8)) AS BIGINT)) AS hs,
+      list_transform(lines, lambda x: len(regexp_extract_all(x, '[^ \t]+')) > {LONG}) AS long FROM lined
 ), ended AS (
-  SELECT *, list_filter(range(1, len(lines) + 1), lambda i: i = len(lines)
+  SELECT *, list_filter(range(1, len(lines) + 1), lambda i: i = len(lines) OR long[i] OR long[i + 1]
       OR (i > 1 AND (hs[i - 1] * {_MULTIPLIER} + hs[i]) % 1000003 % {CHUNK} = 0)) AS ends FROM hashed
 ), cut_up AS (
   SELECT doc_id, text, list_transform(range(1, len(ends) + 1), lambda k: {{'place': k,
-      'n': ends[k] - (CASE WHEN k = 1 THEN 0 ELSE ends[k - 1] END),
+      'passage': ends[k] - (CASE WHEN k = 1 THEN 0 ELSE ends[k - 1] END) > 1 OR long[ends[k]],
       't': array_to_string(lines[(CASE WHEN k = 1 THEN 1 ELSE ends[k - 1] + 1 END) : ends[k]], chr(10))}}) AS parts FROM ended
 ), flat AS (
   SELECT doc_id, unnest(parts) AS p FROM cut_up
 ), large AS (
-  SELECT doc_id, p.place AS place, p.t AS t FROM flat WHERE p.n > 1
+  SELECT doc_id, p.place AS place, p.t AS t FROM flat WHERE p.passage
 ), repeated AS (
   SELECT t, min(doc_id) AS keeper FROM large GROUP BY t HAVING count(*) > 1
 ), firsts AS (

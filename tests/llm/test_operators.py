@@ -267,23 +267,25 @@ def test_components(spark):
 def brute_lines(rows):
     """Texts by row after line dedup, in plain Python."""
     h = lambda line: int(hashlib.md5(line.encode()).hexdigest()[:8], 16)
+    long = lambda line: len(re.split("[ \t]+", line.strip(" \t"))) > 50
+    passage = lambda part: len(part) > 1 or long(part[0])
     cut = []
     for i, t in rows:
         parts, part = [], []
         for k, line in enumerate(lines := t.split("\n") if t is not None else []):
             part.append(line)
-            if k == len(lines) - 1 or k and (h(lines[k - 1]) * 31 + h(line)) % 1000003 % 3 == 0:
+            if k == len(lines) - 1 or long(line) or long(lines[k + 1]) or k and (h(lines[k - 1]) * 31 + h(line)) % 1000003 % 3 == 0:
                 parts.append(part)
                 part = []
         cut.append(parts)
     where = collections.defaultdict(list)
     for (i, _), parts in zip(rows, cut):
         for k, p in enumerate(parts):
-            if len(p) > 1 and i is not None:
+            if passage(p) and i is not None:
                 where["\n".join(p)].append((i, k))
     out = []
     for (i, t), parts in zip(rows, cut):
-        keep = [p for k, p in enumerate(parts) if i is None or len(p) < 2 or (i, k) == min(where["\n".join(p)])]
+        keep = [p for k, p in enumerate(parts) if i is None or not passage(p) or (i, k) == min(where["\n".join(p)])]
         out.append((i, None if t is None else "\n".join("\n".join(p) for p in keep)))
     return collections.Counter(out)
 
@@ -291,14 +293,18 @@ def brute_lines(rows):
 def test_line_dedup(spark, odd):
     r = random.Random(6)
     shared = [f"shared line {i}" for i in range(12)]
+    passage, almost = " ".join(f"w{i}" for i in range(51)), " \t".join(f"w{i}" for i in range(50))
     texts = []
     for d in range(40):
         own = [f"line {r.randint(0, 200)}" for _ in range(r.randint(0, 8))]
+        own += ([passage] if d % 3 == 0 else []) + ([f"alone {d}", almost] if d % 5 == 0 else [])
         texts.append("\n".join(own[:3] + (shared if r.random() < 0.6 else []) + own[3:] + (shared[:6] * 2 if r.random() < 0.2 else [])))
     docs = spark.createDataFrame([*enumerate(texts, 100), (None, texts[0])], "doc_id long, text string").unionByName(odd.select("doc_id", "text"))
     got = line_dedup.dedup(docs)
     rows = [tuple(x) for x in docs.collect()]
     assert collections.Counter(tuple(x) for x in got.collect()) == brute_lines(rows)
+    texts = dict(got.filter("doc_id >= 100").select("doc_id", "text").collect())
+    assert [d for d, t in texts.items() if passage in t.split("\n")] == [100]
     wide = line_dedup.dedup(odd)
     assert wide.columns == odd.columns and wide.count() == odd.count()
     assert line_dedup.dedup(odd.limit(0)).count() == 0

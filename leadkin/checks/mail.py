@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadkin import fixed
 from leadkin.checks.roles import check, duck, run, table
 from leadkin.operators.columns import col
-from leadkin.operators.emails import best_email, email_points, emails_in, page_links, pages_to_read, website
+from leadkin.operators.emails import best_email, email_points, emails_in, page_key, page_links, pages_to_read, website
 from leadkin.plans.enrich import enrich_emails, pages_at
 
 # Words of the test pages stand beside the real ones, which do not occur in them.
@@ -90,20 +92,92 @@ def address_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), points.cast("int").alias("points"))
 
 
-@check()
+def _any_of(values: list[str]) -> str:
+    return "(" + "|".join(re.escape(v) for v in values) + ")"
+
+
+def emails_sql(source: str, id: str, gmail_only: bool = False) -> str:
+    """Addresses in the texts of `source` (id, text); named entities are the only escapes that it decodes.
+
+    Addresses are put between guard characters, in two steps because two of
+    them may share the character between them; the text between is the context.
+    """
+    email, edge = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}", "\\p{L}\\p{N}_.+\\-"
+    guarded = f"regexp_replace(text, '(^|[^{edge}])({email})($|[^{edge}])', '\\1' || chr(1) || '\\2' || chr(2) || '\\3', 'g')"
+    again = f"regexp_replace(t, '([^{edge}\\x01])({email})($|[^{edge}\\x02])', '\\1' || chr(1) || '\\2' || chr(2) || '\\3', 'g')"
+    points = " + ".join(
+        f"CASE WHEN regexp_matches(shown, '{_any_of(words)}') THEN {fixed.CONTEXT_POINTS[kind]} ELSE 0 END"
+        for kind, words in (("strong", fixed.STRONG_CONTEXTS), ("weak", fixed.WEAK_CONTEXTS), ("negative", fixed.NEGATIVE_CONTEXTS))
+    )
+    return f"""WITH plain AS (SELECT {id}, replace(replace(replace(replace(text, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS text FROM ({source})),
+marked AS (SELECT {id}, {again} AS t FROM (SELECT {id}, {guarded} AS t FROM plain)),
+parts AS (SELECT {id}, string_split(t, chr(1)) AS p FROM marked WHERE contains(t, chr(1))),
+each AS (SELECT {id}, unnest(range(2, len(p) + 1)) AS k, p FROM parts),
+cut AS (SELECT {id}, k, lower(trim(split_part(p[k], chr(2), 1), '.,;:()[]{{}}<>"''')) AS email,
+  lower(right(CASE WHEN k = 2 THEN p[1] ELSE split_part(p[k - 1], chr(2), 2) END, {fixed.CONTEXT_CHARS})) AS low FROM each),
+valid AS (SELECT *, regexp_replace(regexp_replace(low, '<[^>]+>|\\s+', ' ', 'g'), ' +', ' ', 'g') AS shown FROM cut
+  WHERE NOT regexp_matches(email, '^{_any_of(fixed.BAD_LOCAL_PREFIXES)}') AND NOT regexp_matches(split_part(email, '@', 1), '(%|u00)[0-9a-f]{{2}}|{_any_of(fixed.BAD_LOCAL_PARTS)}')
+  AND NOT regexp_matches(split_part(email, '@', 2), '(^|\\.){_any_of(fixed.BAD_TLDS)}$|{_any_of(fixed.BAD_DOMAIN_ENDS)}$') AND NOT starts_with(email, '@')),
+rated AS (SELECT {id}, email, min(k) AS k, max({points} + CASE WHEN contains(right(low, {fixed.MAILTO_CHARS}), 'mailto:') THEN {fixed.CONTEXT_POINTS["mailto"]} ELSE 0 END) AS context FROM valid GROUP BY ALL),
+placed AS (SELECT {id}, CAST(row_number() OVER (PARTITION BY {id} ORDER BY k) - 1 AS INT) AS ord, email, CAST(context AS INT) AS context FROM rated)
+SELECT * FROM placed{" WHERE ends_with(email, '@gmail.com')" if gmail_only else ""}"""
+
+
+@check(emails_sql("SELECT doc_id, text FROM documents", "doc_id"))
 def document_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid addresses in all documents with the points of their context."""
     return emails_in(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@check()
+@check(emails_sql("SELECT page_id, html AS text FROM pages", "page_id"))
 def page_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for all pages."""
     return emails_in(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
+# Every document with addresses of many forms put into it, by its number.
+MIXED = """SELECT doc_id, concat(coalesce(text, ''), CASE doc_id % 8 WHEN 0 THEN ' contact email: a.b@gmail.com c@gmail.com' WHEN 1 THEN ' <a href="mailto:Info@Gmail.com">mail</a> 退訂 info@gmail.com'
+  WHEN 2 THEN ' noreply@gmail.com x@shop.test, y@img.png; z%2f@b.com' WHEN 3 THEN ' 客服信箱 <b>help@firm.com.tw</b>' WHEN 4 THEN ' (.dot@gmail.com) end@gmail.com.'
+  WHEN 5 THEN ' 公司聯絡信箱me@gmail.com' WHEN 6 THEN concat(' mail u', CAST(doc_id AS STRING), '@gmail.com,u', CAST(doc_id AS STRING), '@gmail.com;v@other.org') ELSE ' a@b a@@gmail.com' END) AS text FROM {documents}"""
+
+
+@check(emails_sql(duck(MIXED), "doc_id"))
+def mixed_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses in documents that all have some: valid and refused, with and without words before them."""
+    return emails_in(run(spark, sf_dir, MIXED), "doc_id", "text")
+
+
+@check(emails_sql(duck(MIXED), "doc_id", gmail_only=True))
+def gmail_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only addresses at Gmail."""
+    return emails_in(run(spark, sf_dir, MIXED), "doc_id", "text", gmail_only=True)
+
+
+# The address of every page as a lead might write it.
+ASKED = """SELECT page_id AS id, CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN regexp_replace(url, '^http://', 'https://') WHEN 2 THEN concat(url, '#contact')
+  WHEN 3 THEN CASE WHEN contains(url, 'www.') THEN replace(url, 'www.', '') ELSE replace(url, '//', '//www.') END
+  ELSE CASE WHEN contains(url, '?') OR contains(url, '#') THEN url ELSE concat(url, '/') END END AS asked FROM {pages}"""
+_KEY = """regexp_replace(regexp_replace(lower(regexp_extract(url, '//([^/?#]*)', 1)), '^www\\.', '') || regexp_replace(regexp_extract(url, '//[^/?#]*([^?#]*)', 1), '/+$', ''), '$',
+  regexp_extract(url, '^[^?#]*(\\?[^#]*)', 1))"""
+
+
+@check(
+    f"""WITH asked AS ({duck(ASKED)}), k AS (SELECT page_id, html, {_KEY} AS key FROM pages), a AS (SELECT id, {_KEY.replace("url", "asked")} AS key FROM asked),
+first AS (SELECT key, min(page_id) AS page_id, arg_min(html, page_id) AS html FROM k GROUP BY key)
+SELECT id, length(html) AS size FROM a JOIN first USING (key)"""
+)
+def site_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page found by another spelling of its address: scheme, www., last slash, fragment."""
+    asked = run(spark, sf_dir, ASKED)
+    found = pages_at(asked.select(F.col("asked").alias("url")), table(spark, sf_dir, "pages"))
+    sizes = found.select("key", F.length("html").cast("long").alias("size"))
+    return asked.select("id", page_key(F.col("asked")).alias("key")).join(sizes, "key").select("id", "size")
+
+
 @check(
-    """WITH hits AS (SELECT c.c_custkey AS id, p.url FROM customer c JOIN pages p ON p.page_id = c.c_custkey % (SELECT count(*) FROM pages))
-SELECT url, length(html) AS size FROM pages WHERE url IN (SELECT url FROM hits)"""
+    f"""WITH k AS (SELECT page_id, url, html, {_KEY} AS key FROM pages), hits AS (SELECT key FROM k WHERE page_id IN (SELECT c_custkey % (SELECT count(*) FROM pages) FROM customer)),
+first AS (SELECT arg_min(url, page_id) AS url, arg_min(html, page_id) AS html FROM k WHERE key IN (SELECT key FROM hits) GROUP BY key)
+SELECT url, length(html) AS size FROM first"""
 )
 def pages_by_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of the corpus for the addresses many leads ask for, each page once."""

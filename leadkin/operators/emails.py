@@ -22,6 +22,12 @@ def bare_host(url: Column) -> Column:
     return F.regexp_replace(host_of(url), r"^www\.", "")
 
 
+def page_key(url: Column) -> Column:
+    """What an address asks a site for: host without www., path without a last slash, query."""
+    path = F.regexp_extract(url, "^[^/?#]*//[^/?#]*([^?#]*)", 1)
+    return F.concat(bare_host(url), F.regexp_replace(path, "/+$", ""), F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1))
+
+
 def website(value: Column) -> Column:
     """First link or domain in a text as a web address; blank for hosts that are no company site."""
     raw = text.blank(value)
@@ -52,8 +58,8 @@ def pages_to_read(home: Column, links: Column, limit: int) -> Column:
 
 def emails_in(df: DataFrame, id: str, value: str, gmail_only: bool = False) -> DataFrame:
     """(id, ord, email, context): valid addresses of each text, each once."""
-    # find_emails needs an @, spelled out or escaped; other texts stay in the JVM
-    maybe = F.col(value).rlike("(?i)@|%40|u0040|&#|&commat")
+    # find_emails needs an @; any escape might be one, other texts stay in the JVM
+    maybe = F.col(value).rlike("@|%[0-9A-Fa-f]|u0040|&[#a-zA-Z]")
     found = df.filter(maybe).select(id, F.explode(find_emails(F.col(value))).alias("e")).select(id, "e.ord", "e.email", "e.context")
     return found.filter(F.col("email").endswith("@gmail.com")) if gmail_only else found
 

@@ -8,17 +8,23 @@ from pyspark.sql import functions as F
 from leadkin import fixed
 from leadkin.functions import text
 from leadkin.operators.columns import col, conform
-from leadkin.operators.emails import bare_host, best_email, emails_in, existing_email, page_links, pages_to_read, website
+from leadkin.operators.emails import bare_host, best_email, emails_in, existing_email, page_key, page_links, pages_to_read, website
 from leadkin.operators.lookup import left_lookup
 from leadkin.session import cut
 
 
 def pages_at(urls: DataFrame, pages: DataFrame) -> DataFrame:
-    """(url, html) of the corpus for the wanted addresses, the first copy of each."""
+    """(key, url, html) of the corpus for the wanted addresses, the first page of each.
+
+    Addresses are compared by host, path and query: scheme, `www.`, a last
+    slash and what follows # do not decide which page a site returns.
+    """
     # chosen by the narrow columns, so that the texts are read once and only where wanted
-    narrow = pages.select("url", "page_id").join(urls.select("url").distinct(), "url", "left_semi")
-    first = narrow.groupBy("url").agg(F.min("page_id").alias("page_id"))
-    return pages.join(first, ["url", "page_id"]).select("url", "html")
+    keyed = pages.withColumn("key", page_key(F.col("url")))
+    wanted = urls.select(page_key(F.col("url")).alias("key")).distinct()
+    first = keyed.join(wanted, "key", "left_semi").groupBy("key").agg(F.min_by(F.struct("page_id", "url"), F.struct("page_id", "url")).alias("page"))
+    first = first.select("key", "page.page_id", "page.url")
+    return keyed.join(first, ["key", "page_id", "url"]).select("key", "url", "html")
 
 
 def site_emails(sites: DataFrame, pages: DataFrame, max_pages: int = fixed.PAGES_PER_SITE, gmail_only: bool = False) -> DataFrame:
@@ -28,13 +34,13 @@ def site_emails(sites: DataFrame, pages: DataFrame, max_pages: int = fixed.PAGES
     corpus is read for home pages and once more for the other pages of the sites.
     """
     homes = sites.select("site").distinct()
-    front = homes.join(pages_at(homes.withColumnRenamed("site", "url"), pages), F.col("site") == F.col("url"))
+    front = homes.withColumn("key", page_key(F.col("site"))).join(pages_at(homes.withColumnRenamed("site", "url"), pages), "key")
     reached = cut(front.select("site", page_links(F.col("site"), F.col("html")).alias("links")))
     wanted = reached.select(
         "site", F.posexplode(pages_to_read(F.col("site"), F.col("links"), max_pages)).alias("page_ord", "url")
-    )
-    found = emails_in(pages_at(wanted, pages), "url", "html", gmail_only)
-    best = best_email(wanted.join(found, "url"), "site", bare_host(F.col("site")))
+    ).withColumn("key", page_key(F.col("url")))
+    found = emails_in(pages_at(wanted, pages), "key", "html", gmail_only)
+    best = best_email(wanted.join(found, "key"), "site", bare_host(F.col("site")))
     out = homes.join(reached.select("site", F.lit(True).alias("reached")), "site", "left").join(best, "site", "left")
     return cut(out)  # a few values per site, which the caller reads several times
 

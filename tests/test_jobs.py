@@ -246,3 +246,15 @@ def test_lead_emails(spark):
     gmail = enrich_emails(leads, pages, landed, gmail_only=True)
     assert gmail.filter("email_status = 'found'").count() == 0
     assert enrich_emails(leads, pages, max_pages=5).filter("email_candidates like '%too@late.com%'").count() == 1
+
+
+def test_pages_are_found_by_host_path_and_query(spark):
+    sites = ["https://a.com", "http://A.com/", "https://www.a.com#top", "https://a.com/x?y=1", "https://b.com", "https://c.com/?q"]
+    leads = spark.createDataFrame([(i, "", s) for i, s in enumerate(sites)], f"{fixed.ROW_ORD} long, Email string, {fixed.WEBSITE} string")
+    pages = spark.createDataFrame(
+        [(2, "https://www.a.com/", "mail info@a.com ."), (1, "http://a.com", "mail first@a.com . <a href='http://[x'>bad</a>"), (3, "http://a.com/x/?y=1", "sales@a.com"), (4, None, "x@y.com"), (5, "https://b.com:8080/", "b@b.com")],
+        "page_id long, url string, html string",
+    )
+    got = enrich_emails(leads, pages).orderBy(fixed.ROW_ORD).collect()
+    assert [r["Email"] for r in got] == ["first@a.com"] * 3 + ["sales@a.com", "", ""]
+    assert [r["email_status"] for r in got] == ["found"] * 4 + ["homepage_request_failed"] * 2

@@ -86,7 +86,7 @@ def resolve(targets: DataFrame, registry: DataFrame, id: str, names: list[str],
     unique `reg_ord`. Equal targets are resolved once.
     """
     known = usable(registry).groupBy(text.blank(F.col("Company_Name")).alias("name")).agg(F.min("reg_ord").alias("reg_ord"))
-    known = text.with_spellings(known, "name", "").drop("words")
+    known = cut(text.with_spellings(known, "name", "").drop("words"))  # read by every step below
     spelled = targets.select(id, *[text.blank(F.col(n)).alias(f"_n{i}") for i, n in enumerate(names)])
     spellings = [f"_n{i}" for i in range(len(names))]
     wanted = spelled.select(*spellings).distinct().withColumn("tid", F.monotonically_increasing_id())

@@ -41,7 +41,8 @@ def text_scores(potentials: DataFrame, customers: DataFrame, **options) -> DataF
 
 def company_scores(potentials: DataFrame, customers: DataFrame, **options) -> DataFrame:
     """Best values of every potential; stored, since several outputs read it."""
-    sides = [companies(fill_cores(df, fixed.ROW_ORD), label) for df, label in ((potentials, "potentials"), (customers, "customers"))]
+    # stored, as the vocabulary, the vectors and the scores all read them
+    sides = [cut(companies(fill_cores(df, fixed.ROW_ORD), label)) for df, label in ((potentials, "potentials"), (customers, "customers"))]
     p, c, sizes = vectors_for(*sides, pairs.TEXT_FIELDS)
     return cut(pairs.score_companies(p, c, sizes, **options))
 

@@ -17,6 +17,13 @@ all documents have is a few rows. From there on only chunk keys travel; a
 second join brings each document its removed places. Texts are shuffled twice
 in all and never collected.
 
+`dedup_runs`, which the pipeline uses, takes out more: besides those chunks,
+every run of lines of over LONG words in all that stands, byte for byte, at an earlier
+place (smaller doc_id, or further up without overlap). From each line the shortest run of over LONG
+words goes down and another goes up; together these windows cover every line
+of any longer run that is repeated. Windows are compared by MD5 over the MD5s
+of their lines. Every line that goes has an equal one at an earlier place, so the first stays.
+
 Cases. Null text stays null. A document that consists of repeated chunks only
 keeps its row and becomes empty. Rows with the same doc_id count as one
 document and keep the same chunks; rows without doc_id stay as they are and do not
@@ -26,7 +33,7 @@ with clashing names; `n_chars`, if there is one, follows the new text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadkin.operators.lookup import heavy_light_lookup
@@ -35,6 +42,7 @@ from leadkin.session import cut
 CHUNK = 3
 LONG = 50
 _MULTIPLIER = 31
+_LINES = 1 << 31  # over the lines of any text
 
 
 def line_hashes(lines: Column) -> Column:
@@ -48,7 +56,7 @@ def is_long(line: Column) -> Column:
 
 
 def chunks(text: Column, chunk: int = CHUNK) -> Column:
-    """Array of (n_lines, passage, text) that, joined by line feeds, are the text again; passages may be removed."""
+    """Array of (start, n_lines, passage, text) that, joined by line feeds, are the text again; passages may be removed."""
     lines = F.split(text, "\n", -1)
 
     def cut_lines(both: Column) -> Column:
@@ -60,6 +68,7 @@ def chunks(text: Column, chunk: int = CHUNK) -> Column:
         return F.transform(
             F.arrays_zip(starts.alias("a"), ends.alias("b")),
             lambda x: F.struct(
+                x["a"].alias("start"),
                 (x["b"] - x["a"]).alias("n_lines"),
                 ((x["b"] - x["a"] > 1) | F.get(long, x["a"])).alias("passage"),
                 F.array_join(F.slice(lines, x["a"] + 1, x["b"] - x["a"]), "\n").alias("text"),
@@ -107,6 +116,62 @@ def dedup(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return joined.select(*[F.col(f"c{i}") for i in range(len(names))]).toDF(*names)
 
 
+def windows(docs: DataFrame) -> DataFrame:
+    """doc_id, body, key, start, n: shortest runs of over LONG words from each line down and up.
+
+    `body` is the MD5 of the whole text, so rows of one doc_id with different texts are told apart.
+    """
+    given = docs.filter("doc_id is not null and text is not null").select("doc_id", F.md5("text").alias("body"), F.split("text", "\n", -1).alias("lines"))
+    given = given.dropDuplicates(["doc_id", "body"])
+    words = lambda line: F.regexp_count(line, F.lit("[^ \\t]+")).cast("long")
+    lines = given.select("doc_id", "body", F.posexplode("lines").alias("at", "line")).select("doc_id", "body", "at", F.md5("line").alias("hash"), words(F.col("line")).alias("words"))
+    row = Window.partitionBy("doc_id", "body")
+    summed = lines.withColumn("through", F.sum("words").over(row.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+    summed = summed.withColumns({"down": (F.col("through") - F.col("words")) * _LINES + F.col("at"), "up": F.col("through") * _LINES + F.col("at")})
+    # a frame reaches as far as the lines between its two ends, without the far one, have LONG words at most
+    reach = (LONG + 1) * _LINES - 1
+    down, up = row.orderBy("down").rangeBetween(0, reach), row.orderBy("up").rangeBetween(-reach, 0)
+    of = lambda frame: F.struct(F.min("at").over(frame).alias("start"), F.count("*").over(frame).alias("n"), F.sum("words").over(frame).alias("words"), F.collect_list("hash").over(frame).alias("hashes"))
+    both = summed.select("doc_id", "body", of(down).alias("d"), of(up).alias("u")).select("doc_id", "body", F.explode(F.array("d", "u")).alias("w")).filter(f"w.words > {LONG}")
+    runs = both.select("doc_id", "body", _key(F.array_join("w.hashes", "")).alias("key"), F.col("w.start").cast("int").alias("start"), F.col("w.n").cast("int").alias("n"))
+    return runs
+
+
+def covered(docs: DataFrame) -> DataFrame:
+    """doc_id, body, runs (start, n): the lines that an earlier place has as part of the same window."""
+    found = cut(windows(docs).distinct())
+    earliest = F.min(F.struct("doc_id", "start")).alias("keeper")
+    repeated = cut(found.groupBy("key").agg(F.count("*").alias("times"), earliest).filter("times > 1"))
+    total = repeated.agg(F.sum("times")).first()[0] or 0
+    places = heavy_light_lookup(found, repeated, ["key"], "times", total, F.xxhash64("doc_id", "body", "start")).filter("keeper is not null")
+    later = places.filter((F.col("doc_id") != F.col("keeper.doc_id")) | (F.col("start") >= F.col("keeper.start") + F.col("n")))
+    return later.groupBy("doc_id", "body").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
+
+
+def dedup_runs(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """`docs` without repeated chunks and repeated runs of over LONG words; same columns, same rows."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    id_, text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
+    slim = plain.select(F.col(id_).alias("doc_id"), F.col(text).alias("text"))
+    lost = cut(removed(slim, chunk)).withColumnsRenamed({"doc_id": "lost_id"})
+    runs = cut(covered(slim)).withColumnsRenamed({"doc_id": "run_id"})
+    joined = plain.withColumn("hash", F.md5(text)).join(lost, F.col(id_) == F.col("lost_id"), "left")
+    joined = joined.join(runs, (F.col(id_) == F.col("run_id")) & (F.col("hash") == F.col("body")), "left")
+    numbers = lambda spans: F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))
+    whole = F.filter(chunks(F.col(text), chunk), lambda part, i: F.col("places").isNull() | ~F.array_contains("places", i))
+    kept = numbers(F.transform(whole, lambda p: F.struct(p["start"].alias("start"), p["n_lines"].alias("n"))))
+    left = F.array_except(kept, F.when(F.col("runs").isNull(), F.array().cast("array<int>")).otherwise(numbers(F.col("runs"))))
+    # one-element array, so that the text is split once
+    taken = F.transform(F.array(F.split(text, "\n", -1)), lambda lines: F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    same = F.col("places").isNull() & F.col("runs").isNull()
+    joined = joined.withColumn(text, F.when(same, F.col(text)).otherwise(F.get(taken, 0)))
+    if "n_chars" in names:
+        n = f"c{names.index('n_chars')}"
+        joined = joined.withColumn(n, F.when(same, F.col(n)).otherwise(F.length(text)).cast(plain.schema[n].dataType))
+    return joined.select(*[F.col(f"c{i}") for i in range(len(names))]).toDF(*names)
+
+
 def report(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Per document: doc_id, text without repeated chunks, n_chars_before, n_chars_after."""
     slim = docs.select("doc_id", F.col("text"), F.length("text").alias("before"))

@@ -19,7 +19,8 @@ in all and never collected.
 
 `dedup_runs`, which the pipeline uses, takes out more: besides those chunks,
 every run of lines of over LONG words in all that stands, byte for byte, at an earlier
-place (smaller doc_id, or further up without overlap). From each line the shortest run of over LONG
+place (smaller doc_id, or further up without overlap), and whole texts of
+several lines that an earlier document has. From each line the shortest run of over LONG
 words goes down and another goes up; together these windows cover every line
 of any longer run that is repeated. Windows are compared by MD5 over the MD5s
 of their lines. Every line that goes has an equal one at an earlier place, so the first stays.
@@ -117,7 +118,7 @@ def dedup(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """doc_id, body, key, start, n: shortest runs of over LONG words from each line down and up.
+    """doc_id, body, key, start, n: shortest runs of over LONG words from each line down and up, and whole texts of several lines.
 
     `body` is the MD5 of the whole text, so rows of one doc_id with different texts are told apart.
     """
@@ -134,7 +135,8 @@ def windows(docs: DataFrame) -> DataFrame:
     of = lambda frame: F.struct(F.min("at").over(frame).alias("start"), F.count("*").over(frame).alias("n"), F.sum("words").over(frame).alias("words"), F.collect_list("hash").over(frame).alias("hashes"))
     both = summed.select("doc_id", "body", of(down).alias("d"), of(up).alias("u")).select("doc_id", "body", F.explode(F.array("d", "u")).alias("w")).filter(f"w.words > {LONG}")
     runs = both.select("doc_id", "body", _key(F.array_join("w.hashes", "")).alias("key"), F.col("w.start").cast("int").alias("start"), F.col("w.n").cast("int").alias("n"))
-    return runs
+    whole = given.filter("size(lines) > 1").select("doc_id", "body", F.concat(F.lit("whole "), "body").alias("key"), F.lit(0).alias("start"), F.size("lines").alias("n"))
+    return runs.unionByName(whole)
 
 
 def covered(docs: DataFrame) -> DataFrame:
@@ -149,7 +151,7 @@ def covered(docs: DataFrame) -> DataFrame:
 
 
 def dedup_runs(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """`docs` without repeated chunks and repeated runs of over LONG words; same columns, same rows."""
+    """`docs` without repeated chunks, repeated runs of over LONG words and repeated whole texts of several lines; same columns, same rows."""
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     id_, text = f"c{names.index('doc_id')}", f"c{names.index('text')}"

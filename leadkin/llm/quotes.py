@@ -7,7 +7,9 @@ left without quoted lines and without the line that announces a quotation
 
 Passages and own texts are normalised (lower case, white space as one space)
 and hashed; a message is known by its whole own text and by each of its
-paragraphs. A passage joins the first message of the conversation that has
+paragraphs. It is known as well by each of its runs of lines and of sentences
+as long as some passage (or paragraph of one) quoted in the conversation, so a trimmed quotation
+and one of a part between two quotations are found. A passage joins the first message of the conversation that has
 that text and came before. A message replies to the latest message whose
 passage it quotes at level 1, or else at its lowest linked level. Following
 replies up gives the thread; a conversation in the order (thread, turn) has
@@ -37,6 +39,7 @@ from leadkin.session import cut
 
 _MARKS = re.compile(r"\s*((?:>[ \t]?)+)(.*)", re.S)
 _SPACE = re.compile(r"\s+")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _PARAGRAPH = re.compile(r"\n\s*\n")
 
 
@@ -74,36 +77,66 @@ def units(text: str) -> list[str]:
     return list(dict.fromkeys(key(t) for t in [text, *_PARAGRAPH.split(text)] if normalised(t)))
 
 
+def pieces(text: str) -> dict[str, list[str]]:
+    """Keys of the lines and of the sentences of a text, in order."""
+    split = {"lines": text.split("\n"), "sentences": _SENTENCE.split(normalised(text))}
+    return {kind: [key(t) for t in parts if normalised(t)] for kind, parts in split.items()}
+
+
+def runs(text: str) -> list[dict]:
+    """A passage and its paragraphs as runs of lines and of sentences: kind, number of pieces, key."""
+    found = {}
+    for t in [text, *_PARAGRAPH.split(text)]:
+        for kind, keys in pieces(t).items():
+            if keys:
+                found[kind, len(keys), hashlib.md5("".join(keys).encode()).hexdigest()] = None
+    return [{"kind": kind, "n": n, "key": k} for kind, n, k in found]
+
+
 def _parsed(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, content, keys, quoted (level and keys per passage), n_passages, depth."""
+    """conv_id, turn, role, content, keys, pieces, quoted (level, keys and runs per passage), depth."""
+
+    run_type = pa.struct([("kind", pa.string()), ("n", pa.int32()), ("key", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [parse(t or "") for t in batch.column(3).to_pylist()]
-            quoted = [[{"level": level, "keys": units(t)} for level, t in passages] for _, passages in found]
+            quoted = [[{"level": level, "keys": units(t), "runs": runs(t)} for level, t in passages] for _, passages in found]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3],
                  pa.array([own for own, _ in found], type=pa.string()),
                  pa.array([units(own) for own, _ in found], type=pa.list_(pa.string())),
-                 pa.array(quoted, type=pa.list_(pa.struct([("level", pa.int32()), ("keys", pa.list_(pa.string()))]))),
+                 pa.array([list(pieces(own).items()) for own, _ in found], type=pa.map_(pa.string(), pa.list_(pa.string()))),
+                 pa.array(quoted, type=pa.list_(pa.struct([("level", pa.int32()), ("keys", pa.list_(pa.string())), ("runs", pa.list_(run_type))]))),
                  pa.array([max([level for level, _ in p], default=0) for _, p in found], type=pa.int32())],
-                names=["conv_id", "turn", "role", "content", "keys", "quoted", "depth"],
+                names=["conv_id", "turn", "role", "content", "keys", "pieces", "quoted", "depth"],
             )
 
     slim = messages.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"),
     )
-    schema = "conv_id long, turn long, role string, content string, keys array<string>, quoted array<struct<level int, keys array<string>>>, depth int"
+    schema = (
+        "conv_id long, turn long, role string, content string, keys array<string>, pieces map<string, array<string>>, "
+        "quoted array<struct<level int, keys array<string>, runs array<struct<kind string, n int, key string>>>>, depth int"
+    )
     return slim.mapInArrow(run, schema)
 
 
 def replies(parsed: DataFrame) -> DataFrame:
     """conv_id, turn, reply_to for messages that quote an earlier one."""
     quoting = parsed.filter("size(quoted) > 0 and conv_id is not null and turn is not null")
-    passages = quoting.select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.level", F.explode("q.keys").alias("key")).distinct()
+    quoted = quoting.select("conv_id", "turn", F.explode("quoted").alias("q"))
+    part = quoted.select("conv_id", "turn", "q.level", F.explode("q.runs").alias("r")).select("conv_id", "turn", "level", "r.kind", "r.n", "r.key")
+    named = F.concat_ws(" ", "kind", "key").alias("key")
+    passages = quoted.select("conv_id", "turn", "q.level", F.explode("q.keys").alias("key")).unionByName(part.select("conv_id", "turn", "level", named)).distinct()
     wanted = passages.select("conv_id", "key").distinct()
     told = parsed.filter("turn is not null").select("conv_id", "turn", F.explode("keys").alias("key"))
+    # only runs as long as some quoted one of the conversation
+    of_kind = parsed.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("pieces").alias("kind", "parts"))
+    sized = of_kind.join(part.select("conv_id", "kind", "n").distinct(), ["conv_id", "kind"]).filter("size(parts) >= n")
+    at = sized.select("conv_id", "turn", "kind", "n", "parts", F.explode(F.sequence(F.lit(1), F.size("parts") - F.col("n") + 1)).alias("at"))
+    told = told.unionByName(at.withColumn("key", F.md5(F.array_join(F.slice("parts", F.col("at"), F.col("n")), ""))).select("conv_id", "turn", named))
     first = told.join(wanted, ["conv_id", "key"], "left_semi").groupBy("conv_id", "key").agg(F.min("turn").alias("source"))
     linked = passages.join(first, ["conv_id", "key"]).filter("source < turn")
     # lowest level first, then the latest source

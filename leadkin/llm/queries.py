@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadkin.llm import ann, bpe, decontamination, language_id, line_dedup, pii, quotes, simhash, token_counts, toxicity
+from leadkin.llm import ann, bpe, decontamination, language_id, line_dedup, merkle, periodic, pii, quotes, secret_scan, simhash, token_counts, toxicity
 from leadkin.llm.common import crc_mod, table
 
 QUERIES: dict = {}
@@ -80,5 +80,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(table(spark, sf_dir, "documents"), word_bpe())
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digests(table(spark, sf_dir, "documents"), merkle.tampered())
+
+
 SQL["op10_line_dedup"] = line_dedup.SQL
+SQL["op13_merkle"] = merkle.SQL
 SQL["op4_decontamination"] = decontamination.SQL

@@ -7,6 +7,17 @@ from pyspark.sql import functions as F
 
 HEAVY_SHARE = 2000
 BROADCAST_ROWS = 1_000_000
+SCATTER = 1_000_000
+
+
+def _scattered(to_look_up: Column, spread: Column) -> Column:
+    """Zero for rows that may find something, a place of their own for all others."""
+    return F.when(to_look_up, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(spread), F.lit(SCATTER)) + 1)
+
+
+def _zero(on: list[str]) -> Column:
+    """Always 0, worked out from the key: of a literal the optimiser would make a filter, and rows would be dealt by the key alone."""
+    return F.pmod(F.xxhash64(*on), F.lit(1).cast("long"))
 
 
 def left_lookup(probe: DataFrame, table: DataFrame, on: list[str], spread: Column) -> DataFrame:
@@ -19,10 +30,9 @@ def left_lookup(probe: DataFrame, table: DataFrame, on: list[str], spread: Colum
     usable = F.lit(True)
     for key in on:
         usable = usable & F.coalesce(F.col(key).cast("string"), F.lit("")).__ne__("")
-    scatter = F.when(usable, F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.lit(1_000_000)) + 1)
     return (
-        probe.withColumn("_scatter", scatter)
-        .join(table.withColumn("_scatter", F.lit(0).cast("long")), [*on, "_scatter"], "left")
+        probe.withColumn("_scatter", _scattered(usable, spread))
+        .join(table.withColumn("_scatter", _zero(on)), [*on, "_scatter"], "left")
         .drop("_scatter")
     )
 
@@ -41,12 +51,11 @@ def heavy_light_lookup(
     values = [c for c in table.columns if c not in on]
     heavy = table.filter(F.col(weight) > limit).select(*on, F.struct(*values).alias("_heavy"))
     light = table.filter(F.col(weight) <= limit).select(
-        *on, F.struct(*values).alias("_light"), F.lit(0).cast("long").alias("_scatter")
+        *on, F.struct(*values).alias("_light"), _zero(on).alias("_scatter")
     )
-    scatter = F.when(F.col("_heavy").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.lit(1_000_000)) + 1)
     joined = (
         probe.join(F.broadcast(heavy), on, "left")
-        .withColumn("_scatter", scatter.cast("long"))
+        .withColumn("_scatter", _scattered(F.col("_heavy").isNull(), spread))
         .join(light, [*on, "_scatter"], "left")
     )
     found = F.coalesce("_heavy", "_light")

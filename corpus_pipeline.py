@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leadkin.llm import bpe, decontamination, line_dedup, near_copies, toxicity
+from leadkin.llm import bpe, decontamination, line_dedup, simhash, toxicity
 from leadkin.llm.common import crc_mod, table
 from leadkin.session import cut
 
@@ -30,8 +30,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
-    return near_copies.one_of_each(docs)
+    """One document of each group whose fingerprints of three-word shingles are linked by at most 3 differing bits."""
+    return simhash.one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -279,17 +279,23 @@ def brute_lines(rows):
                 part = []
         cut.append(parts)
     where = collections.defaultdict(list)
-    for (i, _), parts in zip(rows, cut):
+    body = lambda t: hashlib.md5(t.encode()).hexdigest()
+    for (i, t), parts in zip(rows, cut):
         for k, p in enumerate(parts):
             if passage(p) and i is not None:
-                where["\n".join(p)].append((i, k))
+                where["\n".join(p)].append((i, body(t), k))
     out = []
     for (i, t), parts in zip(rows, cut):
-        keep = [p for k, p in enumerate(parts) if i is None or not passage(p) or (i, k) == min(where["\n".join(p)])]
+        keep = [p for k, p in enumerate(parts) if i is None or not passage(p) or (i, body(t), k) == min(where["\n".join(p)])]
         out.append((i, None if t is None else "\n".join("\n".join(p) for p in keep)))
     return collections.Counter(out)
 
 
+def texts_of(seed):
+    r = random.Random(seed)
+    return "\n".join(" ".join(f"w{seed}x{r.randint(0, 999)}" for _ in range(9)) for _ in range(12))
+
+
 def test_line_dedup(spark, odd):
     r = random.Random(6)
     shared = [f"shared line {i}" for i in range(12)]
@@ -305,6 +311,13 @@ def test_line_dedup(spark, odd):
     assert collections.Counter(tuple(x) for x in got.collect()) == brute_lines(rows)
     texts = dict(got.filter("doc_id >= 100").select("doc_id", "text").collect())
     assert [d for d, t in texts.items() if passage in t.split("\n")] == [100]
+    both = spark.createDataFrame([(1, texts_of(1)), (2, texts_of(1)), (2, texts_of(2)), (3, texts_of(3)), (3, texts_of(4) + "\n" + texts_of(3))], "doc_id long, text string")
+    rows = [tuple(x) for x in both.collect()]
+    assert collections.Counter(tuple(x) for x in line_dedup.dedup(both).collect()) == brute_lines(rows)
+    for way in (line_dedup.dedup, line_dedup.dedup_runs):  # what occurs in one text of a repeated id only is never lost
+        left = way(both).collect()
+        assert texts_of(2) in [x.text for x in left] and texts_of(1) in [x.text for x in left if x.doc_id == 1]
+        assert {line for x in left for line in x.text.split("\n") if line} == {line for _, t in rows for line in t.split("\n")}
     wide = line_dedup.dedup(odd)
     assert wide.columns == odd.columns and wide.count() == odd.count()
     assert line_dedup.dedup(odd.limit(0)).count() == 0

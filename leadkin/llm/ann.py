@@ -1,6 +1,6 @@
 """Approximate nearest neighbours (operator 1): a tree of k-means cells, searched best bin first.
 
-Tree. A bounded sample of at most SAMPLE vectors is split by k-means into
+Tree. A bounded sample of at most SAMPLE vectors and SAMPLE_NUMBERS numbers is split by k-means into
 BRANCH cells, each cell again, until a cell stands for about LEAF vectors of
 the whole table; there are at most MAX_LEAVES leaves. The tree is sent to the
 workers (MAX_LEAVES x dimensions numbers at most); every vector is indexed by
@@ -21,7 +21,8 @@ numbers in double precision.
 Cases. Vectors that are null, zero, hold null or non-finite numbers, or have
 another length than most do not take part; nor do rows without an id. A row
 that occurs twice counts once; an id with several vectors has several rows,
-none of which is a candidate for its own id. With fewer candidates than k all
+none of which is a candidate for its own id, so such queries are compared on
+their own, without the vectors that only their id has. With fewer candidates than k all
 are returned. Ties go to the smaller id. An empty table gives an empty result;
 other columns are ignored.
 """
@@ -46,6 +47,7 @@ LEAF = 256
 BRANCH = 16
 MAX_LEAVES = 16384
 SAMPLE = 65536
+SAMPLE_NUMBERS = 1 << 24
 CALIBRATE = 64
 TARGET = 0.97
 BLOCK = 4096
@@ -167,8 +169,8 @@ def search(vectors: DataFrame, is_query: Column, vector: str = "embedding", k: i
     n = entries.count()
     if not n:
         return empty, {}
-    share = min(1.0, SAMPLE / n)
-    chosen = entries.filter(hash_share("entry", 5, share)).orderBy("entry").limit(SAMPLE).select("v").toPandas()["v"]
+    size = max(1, min(SAMPLE, SAMPLE_NUMBERS // entries.select(F.size("v")).first()[0]))
+    chosen = entries.filter(hash_share("entry", 5, min(1.0, 2 * size / n))).orderBy("entry").limit(size).select("v").toPandas()["v"]
     sample = np.array(chosen.tolist(), dtype=float) if len(chosen) else np.array(entries.select("v").limit(1).toPandas()["v"].tolist())
     tree = grow(sample, n)
     sent = spark.sparkContext.broadcast(tuple(tree))
@@ -180,8 +182,11 @@ def search(vectors: DataFrame, is_query: Column, vector: str = "embedding", k: i
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], names=["v", "ids", "entry", "leaf"])
 
     index = cut(entries.select("v", "ids", "entry").mapInArrow(placed, "v array<double>, ids array<long>, entry long, leaf long"))
-    asked = cut(rows.filter(is_query).select("id", "v").distinct().withColumn("q", F.xxhash64("v")))
-    different = cut(asked.groupBy("v", "q").agg(F.count("*").alias("n")).select("q", "v"))
+    # ids with one vector share a query by vector; an id with several has queries of its own, that leave it out
+    several = rows.filter(is_query).select("id", "v").distinct().groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id", F.col("id").alias("own"))
+    asked = rows.filter(is_query).select("id", "v").distinct().join(several, "id", "left")
+    asked = cut(asked.withColumn("q", F.when(F.col("own").isNull(), F.xxhash64("v")).otherwise(F.xxhash64("v", "own"))))
+    different = cut(asked.groupBy("v", "q", "own").agg(F.count("*").alias("n")).select("q", "v", "own"))
     visits, recall = _calibrated(index, different, tree, k)
     found = _searched(index, different, sent, visits, k)
     return _ranked(found, asked, k), {"entries": n, "leaves": tree.leaves(), "visits": visits, "recall": recall}
@@ -189,7 +194,7 @@ def search(vectors: DataFrame, is_query: Column, vector: str = "embedding", k: i
 
 def _calibrated(index: DataFrame, queries: DataFrame, tree: Tree, k: int) -> tuple[int, float]:
     """Visits that find TARGET of the true neighbours of a few queries, which are compared with every entry."""
-    some = queries.orderBy(F.xxhash64(F.lit(3), "q")).limit(CALIBRATE).toPandas()
+    some = queries.select("q", "v").orderBy(F.xxhash64(F.lit(3), "q")).limit(CALIBRATE).toPandas()
     if not len(some):
         return 1, 1.0
     asked = np.array(some["v"].tolist(), dtype=float)
@@ -236,9 +241,9 @@ def _searched(index: DataFrame, queries: DataFrame, sent, visits: int, k: int) -
                 which += [i] * len(found)
                 leaves += found
             taken = batch.take(pa.array(which, type=pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(leaves, type=pa.int64())], names=["q", "v", "leaf"])
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(leaves, type=pa.int64())], names=["q", "v", "own", "leaf"])
 
-    probes = queries.select("q", "v").mapInArrow(to_leaves, "q long, v array<double>, leaf long")
+    probes = queries.select("q", "v", "own").mapInArrow(to_leaves, "q long, v array<double>, own long, leaf long")
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int")
     sizes = (
         index.groupBy("leaf").agg(F.count("*").alias("rows"))
@@ -249,16 +254,22 @@ def _searched(index: DataFrame, queries: DataFrame, sent, visits: int, k: int) -
     part = lambda key, n: F.pmod(F.xxhash64(F.lit(7), key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = index.join(sizes, "leaf").select("leaf", part("entry", "row_blocks").alias("rb"), every("probe_blocks").alias("pb"), "v", "ids")
-    right = probes.join(sizes, "leaf").select("leaf", every("row_blocks").alias("rb"), part("q", "probe_blocks").alias("pb"), "q", "v")
+    right = probes.join(sizes, "leaf").select("leaf", every("row_blocks").alias("rb"), part("q", "probe_blocks").alias("pb"), "q", "v", "own")
 
     def compare(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         out = {"q": [], "d": [], "ids": []}
         if len(x) and len(q):
-            names, ids = q["q"].to_numpy(), x["ids"].tolist()
-            for i, near, exact in _best(np.array(q["v"].tolist(), dtype=float), np.array(x["v"].tolist(), dtype=float), k + 1):
-                out["q"] += [names[i]] * len(near)
-                out["d"] += exact.tolist()
-                out["ids"] += [ids[j] for j in near]
+            ids, vectors = x["ids"].tolist(), np.array(x["v"].tolist(), dtype=float)
+            only = np.array([int(i[0]) if len(i) == 1 else None for i in ids], dtype=object)
+            for own, part in q.groupby("own", dropna=False):
+                rest = np.arange(len(ids)) if pd.isna(own) else np.flatnonzero(only != int(own))
+                names = part["q"].to_numpy()
+                if not len(rest):
+                    continue
+                for i, near, exact in _best(np.array(part["v"].tolist(), dtype=float), vectors[rest], k + 1):
+                    out["q"] += [names[i]] * len(near)
+                    out["d"] += exact.tolist()
+                    out["ids"] += [ids[j] for j in rest[near]]
         return pd.DataFrame(out)
 
     keys = ["leaf", "rb", "pb"]
@@ -268,7 +279,9 @@ def _searched(index: DataFrame, queries: DataFrame, sent, visits: int, k: int) -
 def _ranked(found: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """The k nearest of each query row from the entries found for its vector; its own id is no candidate."""
     each = found.select("q", "d", F.explode("ids").alias("vec_id"))
-    # one more than k per different vector: only the query's own id can drop out
+    owned = asked.filter("own is not null").select("q", "own").distinct()
+    each = each.join(owned, "q", "left").filter("own is null or vec_id <> own").drop("own")
+    # one more than k per different vector: only the query's own id can drop out, once as it has one vector
     nearest = each.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("d", "vec_id"))).filter(F.col("place") <= k + 1)
     lists = nearest.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("d", "vec_id"))).alias("near"))
     own = asked.select("id", "q").join(cut(lists), "q")

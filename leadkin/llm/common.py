@@ -68,8 +68,11 @@ class Kept(dict):
 
 
 def hash_share(column: str, seed: int, rate: float) -> Column:
-    """True for about `rate` of the keys, always the same ones."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(column)), F.lit(1_000_000)) < int(round(rate * 1_000_000))
+    """True for about `rate` of the keys, always the same ones; rates may be as small as 2^-63."""
+    if rate >= 1:
+        return F.lit(True)
+    hashed = F.xxhash64(F.lit(seed), F.col(column)).bitwiseAND(F.lit((1 << 63) - 1))
+    return hashed < F.lit(max(1, int(rate * (1 << 63))))
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:

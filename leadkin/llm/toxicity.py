@@ -98,14 +98,17 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, max_train: int = M
         return Model(np.empty(0, dtype=np.int64), np.empty(0))
     # at most max_train rows by the choice, so small enough to be sent to the workers
     chosen = told.filter(hash_share("doc_id", 17, min(1.0, max_train / n))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    kept = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("places", pa.list_(pa.int32()))])
+    sample = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id", "text").alias("row"))
+    # an id may have many texts, so the rows are bounded once more
+    found = sample.select("row").distinct().count()
+    sample = sample.filter(hash_share("row", 19, min(1.0, max_train / max(found, 1))))
+    kept = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("toxic", pa.int32()), ("places", pa.list_(pa.int32()))])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Features()
         for batch in batches:
             found = [tool(t or "").astype(np.int32) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, type=pa.list_(pa.int32()))], schema=kept)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(2), pa.array(found, type=pa.list_(pa.int32()))], schema=kept)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -122,7 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, max_train: int = M
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(weights[at])], names=["place", "weight"])
 
     ordered = (
-        sample.mapInArrow(features, "doc_id long, toxic int, places array<int>")
+        sample.mapInArrow(features, "doc_id long, row long, toxic int, places array<int>")
+        .dropDuplicates(["doc_id", "row"])
         .repartition(1)
         .sortWithinPartitions(F.xxhash64(F.lit(23), "doc_id"), "doc_id", "places")
     )

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from leadkin.llm import ann, bpe, decontamination, graph, language_id, line_dedup, pii, queries, quotes, simhash, token_counts, toxicity, vocab
-from leadkin.llm.common import crc_mod
+from leadkin.llm.common import crc_mod, hash_share
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, TEXT2 string, print string, places string, a string"
@@ -348,10 +348,41 @@ def test_neighbours(spark):
     assert info["visits"] < info["leaves"]
     few = ann.search(spark.createDataFrame(rows[:4] + rows[:1], table.schema), F.lit(True))[0].collect()
     assert collections.Counter(f.query_id for f in few) == {0: 3, 1: 3, 2: 3, 3: 3}
+    twin = [(0, [float(i), 1.0]) for i in range(12)] + [(i, [100.0 + i, 1.0]) for i in range(1, 40)] + [(5, [3.0, 1.0])]
+    near = ann.search(spark.createDataFrame(twin, table.schema), F.col("vec_id").isin(0, 7))[0].collect()
+    want = collections.Counter()
+    for q, v in [t for t in twin if t[0] in (0, 7)]:
+        order = sorted({(abs(w[0] - v[0]), i) for i, w in twin if i != q})[:10]
+        want.update((q, r, i, d) for r, (d, i) in enumerate(order, 1))
+    assert collections.Counter(tuple(r) for r in near) == want
     assert ann.search(table.limit(0), F.lit(True))[0].count() == 0
     assert ann.search(spark.createDataFrame(bad[:3], table.schema), F.lit(True))[0].count() == 0
 
 
+def test_tiny_shares_find_rows(spark):
+    """4,000 of nine thousand million: the share is not rounded away, and is met on a table of its own size."""
+    keys = spark.range(3_000_000).withColumnRenamed("id", "k")
+    for rate, least, most in ((4_000 / 9e9 * 1000, 400, 3000), (1e-6, 0, 20), (0.5, 1_490_000, 1_510_000), (1.0, 3_000_000, 3_000_000)):
+        n = keys.filter(hash_share("k", 11, rate)).count()
+        assert least <= n <= most, (rate, n)
+    literal = hash_share("k", 11, 4_000 / 9e9)._jc.toString()
+    assert "< 0" not in literal
+
+
+def test_toxicity_rows_are_bounded(spark, documents):
+    """One id with very many texts does not bring more rows than the bound into the training task."""
+    docs = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"))
+    docs = docs.unionByName(docs).unionByName(documents.select("doc_id", "text").filter("doc_id <> 1"))
+    labels = spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int").unionByName(spark.read.parquet(f"{SF}/labels.parquet").filter("doc_id <> 1"))
+    whole, toxicity.EPOCHS = toxicity.EPOCHS, 1
+    try:
+        model = toxicity.train(docs, labels, F.lit(True), max_train=200)
+    finally:
+        toxicity.EPOCHS = whole
+    assert len(model.places)
+    assert 0 <= toxicity.score(docs, model).agg(F.max("score")).first()[0] <= 1
+
+
 def test_quotations(spark):
     turns = [
         (1, 0, "user", "How do I bake bread?\n\nAnd how long?"),

@@ -18,7 +18,7 @@ from leadkin.plans.weekly import email_count, minimum_rows, summary_row
 from leadkin.session import scratch_path
 from leadkin.sources import history_store
 from leadkin.sources.landed import fields, lead_rows
-from leadkin.sources.tables import latest_run, read_leads, read_table, write_csv, write_run
+from leadkin.sources.tables import Files, latest_run, read_leads, read_table, write_csv, write_run
 from leadkin.streaming.history import ingest
 
 NOW = datetime(2024, 1, 31, tzinfo=timezone.utc)
@@ -266,14 +266,14 @@ def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = ingest(contacts, root, f"{root}-progress", now=NOW, run_id="stream")
     query.awaitTermination()
     history_store.compact(spark, root)
-    if not history_store.folded(spark, root)[0]:
+    if [c.level for c in history_store.commits(spark, root)] != [1]:
         raise RuntimeError("the history was not compacted")
     return history_store.read(spark, root).select("developed_at", "company_key", "status")
 
 
 @check(STREAM_SQL.replace("k AS (SELECT DISTINCT developed_at,", "k AS (SELECT DISTINCT CASE WHEN developed_at = 'soon' THEN '2024-01-31T00:00:00+00:00' ELSE developed_at END AS developed_at,"))
 def history_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One history from an append, a stream, a base, the stream gone on, and another append: no row is lost."""
+    """One history from an append, a stream, a merge, the stream gone on, another append, and a new stream whose checkpoint lies where the first one's was: no row is lost."""
     root = scratch_path(spark, "history")
     arrivals = f"{root}-arrivals"
     events = table(spark, sf_dir, "events").select(
@@ -282,11 +282,11 @@ def history_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(STATUS).alias("status"),
         F.col("event_id").alias(fixed.ROW_ORD),
     )
-    part = lambda n: events.filter(F.col(fixed.ROW_ORD) % 4 == n)
+    part = lambda n: events.filter(F.col(fixed.ROW_ORD) % 5 == n)
 
-    def arrive(n: int) -> None:
-        part(n).write.mode("append").parquet(arrivals)
-        stream = spark.readStream.schema(events.schema).parquet(arrivals)
+    def arrive(n: int, place: str = arrivals) -> None:
+        part(n).write.mode("append").parquet(place)
+        stream = spark.readStream.schema(events.schema).parquet(place)
         ingest(stream, root, f"{root}-progress", now=NOW, run_id="stream").awaitTermination()
 
     history_store.add(part(0), root, now=NOW, run_id="first")
@@ -294,6 +294,9 @@ def history_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     history_store.compact(spark, root)
     arrive(2)
     history_store.add(part(3), root, now=NOW, run_id="last")
+    history_store.compact(spark, root)
+    Files(spark).delete(f"{root}-progress", whole=True)
+    arrive(4, f"{root}-later")
     return history_store.read(spark, root).select("developed_at", "company_key", "status")
 
 

@@ -9,9 +9,54 @@ from leadkin import fixed
 from leadkin.session import cut
 
 
+class Files:
+    """Small files and listings in whatever store Spark reads; `calls` counts the requests."""
+
+    calls = 0
+
+    def __init__(self, spark: SparkSession):
+        self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _at(self, path: str):
+        Files.calls += 1
+        hadoop = self.jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop.getFileSystem(self.conf), hadoop
+
+    def exists(self, path: str) -> bool:
+        files, at = self._at(path)
+        return files.exists(at)
+
+    def names(self, path: str) -> list[str]:
+        """What a folder holds, by one listing; nothing if it is not there."""
+        if not self.exists(path):
+            return []
+        files, at = self._at(path)
+        return [s.getPath().getName() for s in files.listStatus(at)]
+
+    def write(self, path: str, text: str) -> None:
+        files, at = self._at(path)
+        out = files.create(at, False)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+
+    def read(self, path: str) -> str:
+        files, at = self._at(path)
+        into = files.open(at)
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(into, "UTF-8")
+        finally:
+            into.close()
+
+    def delete(self, path: str, whole: bool = False) -> None:
+        """Takes away a file; a folder with all it holds only if `whole`."""
+        files, at = self._at(path)
+        files.delete(at, whole)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    return Files(spark).exists(path)
 
 
 def subfolders(spark: SparkSession, path: str, done_only: bool = True) -> list[str]:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
+import json
 from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from leadkin.sources import history_store
+from leadkin.sources.tables import Files
 
 
 def ingest(
@@ -20,19 +21,19 @@ def ingest(
     trigger: dict | None = None,
     **defaults,
 ) -> StreamingQuery:
-    """Add every micro-batch of contact rows; a repeated micro-batch replaces itself.
+    """Add every micro-batch of contact rows; a repeated micro-batch is added once.
 
-    The checkpoint folder names the stream: its rows never meet those of
-    appends or of other streams into the same history.
+    A stream is named by the id that Spark keeps in its checkpoint, so its rows never
+    meet those of appends, of other streams into the same history, or of an
+    earlier stream whose checkpoint was at the same place.
     `now` fills in rows without a time of their own; left out, it is the time
     of the micro-batch.
     """
 
-    writer = hashlib.md5(checkpoint.encode()).hexdigest()
-
     def write(rows: DataFrame, epoch: int) -> None:
         moment = now or datetime.now().astimezone()
-        history_store.add(rows, path, now=moment, key=f"stream-{writer}-{epoch}", **defaults)
+        stream = json.loads(Files(rows.sparkSession).read(f"{checkpoint}/metadata"))["id"]
+        history_store.add(rows, path, now=moment, key=history_store.stream_key(stream, epoch), **defaults)
 
     return (
         events.writeStream.foreachBatch(write)

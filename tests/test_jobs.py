@@ -12,7 +12,7 @@ from leadkin.plans import weekly
 from leadkin.plans.enrich import enrich_emails
 from leadkin.session import scratch_path
 from leadkin.sources import history_store
-from leadkin.sources.tables import read_table
+from leadkin.sources.tables import Files, read_table
 from leadkin.sources.landed import payload_records, posted_number, posting_rows, registry_rows
 from leadkin.streaming.history import ingest
 
@@ -83,9 +83,70 @@ def test_appends_and_streams_share_a_history(spark):
     assert history_store.append(row(4), path, now=NOW).count() == 4
     history_store.compact(spark, path)
     assert go() == 4
-    # two writers at once never share a folder
-    base, held = history_store.folded(spark, path)
-    assert base and len(held) == 4
+    assert [(c.level > 0, c.rows) for c in history_store.commits(spark, path)] == [(True, 4)]
+
+
+def test_a_new_checkpoint_at_an_old_place_loses_nothing(spark):
+    path = scratch_path(spark, "history")
+    row = lambda i: contacts(spark, [(f"2024-06-{i:02d}", f"c{i}", str(i), "", "")])
+
+    def go(i, merge):
+        source = scratch_path(spark, "in")
+        row(i).write.parquet(source)
+        ingest(spark.readStream.schema(row(i).schema).parquet(source), path, f"{path}-progress", now=NOW, run_id="r").awaitTermination()
+        if merge:
+            history_store.compact(spark, path)
+        Files(spark).delete(f"{path}-progress", whole=True)
+        return sorted(r.company_name for r in history_store.read(spark, path).collect())
+
+    assert go(1, False) == ["c1"] and go(2, True) == ["c1", "c2"] and go(3, False) == ["c1", "c2", "c3"]
+
+
+def test_keys_hold_their_rows(spark):
+    path = scratch_path(spark, "history")
+    row = lambda *names: contacts(spark, [("2024-06-01", n, n, "", "") for n in names])
+    history_store.add(row("a", "b"), path, now=NOW, key="k")
+    for _ in range(2):
+        history_store.add(row("b", "a"), path, now=NOW, key="k")
+        with pytest.raises(ValueError, match="taken"):
+            history_store.add(row("c", "d"), path, now=NOW, key="k")
+        history_store.compact(spark, path)
+    history_store.add(row("e"), path, now=NOW, key=history_store.stream_key("s", 3))
+    history_store.compact(spark, path)
+    history_store.add(row("e"), path, now=NOW, key=history_store.stream_key("s", 3))
+    history_store.add(row("f"), path, now=NOW, key=history_store.stream_key("s", 4))
+    history_store.add(row("g"), path, now=NOW, key=history_store.stream_key("t", 3))
+    assert sorted(r.company_name for r in history_store.read(spark, path).collect()) == ["a", "b", "e", "f", "g"]
+
+
+def test_a_writer_that_dies_before_its_commit_leaves_nothing(spark, monkeypatch):
+    path = scratch_path(spark, "history")
+    row = contacts(spark, [("2024-06-01", "a", "1", "", "")])
+
+    def dies(*_):
+        raise OSError("gone")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(history_store, "_commit", dies)
+        with pytest.raises(OSError):
+            history_store.add(row, path, now=NOW, key="k")
+    assert history_store.read(spark, path).count() == 0
+    assert history_store.append(row, path, now=NOW, key="k").count() == 1
+
+
+def test_requests_for_a_batch_do_not_grow(spark, monkeypatch):
+    monkeypatch.setattr(history_store, "FAN", 4)
+    path, spent, longest = scratch_path(spark, "history"), [], 0
+    for i in range(36):
+        before = Files.calls
+        history_store.add(contacts(spark, [(f"2024-06-{1 + i % 28:02d}", f"c{i}", str(i), "", "")]), path, now=NOW, key=history_store.stream_key("s", i))
+        spent.append(Files.calls - before)
+        longest = max(longest, len(history_store.commits(spark, path)))
+    assert history_store.read(spark, path).count() == 36
+    assert longest <= 3 * 4
+    assert max(spent[18:]) <= max(spent[:18]) + 8 and sum(spent[18:]) <= 1.5 * sum(spent[:18])
+    levels = [c.level for c in history_store.commits(spark, path)]
+    assert sum(4**level for level in levels) == 36
 
 
 def test_csv_history_is_taken_over(spark):

@@ -6,11 +6,14 @@ potential leave a task. There are two ways to bring the sides together:
 
 * The customers' features are measured, and if they are small they are sent to
   every worker once. The potentials then stay where they are: no shuffle.
-* Otherwise Spark cuts both sides into blocks of a fixed number of rows and
-  shuffles one potential block and one customer block to each task. Blocks are
-  cut by a hash of the unique row number, so no company, text or gram can make
-  one of them large. The best values of several customer blocks are merged in
-  levels, each of which sees a bounded number of values.
+* Otherwise Spark cuts both sides into blocks and shuffles one potential block
+  and one customer block to each task. A row weighs what its features take, or
+  its share of the most rows a block may have; weights are summed up on Spark,
+  and a block is a range of the running sum. So no text makes a block
+  larger than the limit and that one text, and blocks weigh the same. For two
+  sides of P and C bytes in blocks of p and c, P * C / c + C * P / p bytes are copied, which is
+  least for equal blocks: both sides have the same limit. The best values of
+  several customer blocks are merged in levels, each of which sees a bounded number of values.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +33,7 @@ from leadkin.session import cut, parallelism
 COMPONENTS = list(fixed.COMPONENT_WEIGHTS)
 CUSTOMER_BLOCK = 2048
 POTENTIAL_BLOCK = 8192
+BLOCK_BYTES = 32 * 1024 * 1024
 BROADCAST_BYTES = 64 * 1024 * 1024
 MERGE_FAN_IN = 64
 _CELLS = 2_000_000
@@ -216,11 +221,57 @@ def _schema(components: list[str]) -> str:
     return ", ".join(fields)
 
 
+def _row_bytes(columns: list[str]) -> Column:
+    """Rough size of a row's features in a worker: two numbers per gram and a fixed part."""
+    grams = [F.size(n) for n in columns if n.startswith("g_")]
+    return sum(grams[1:], grams[0]) * 16 + 512
+
+
 def _feature_bytes(customers: DataFrame) -> int:
-    """Rough size of the features in a worker: two numbers per gram and a fixed part per row."""
-    grams = [F.size(n) for n in customers.columns if n.startswith("g_")]
-    size = F.sum(sum(grams[1:], grams[0]) * 16 + 512)
-    return int(customers.agg(F.coalesce(size, F.lit(0))).first()[0])
+    return int(customers.agg(F.coalesce(F.sum(_row_bytes(customers.columns)), F.lit(0))).first()[0])
+
+
+def dealt(df: DataFrame, rows: int, size: int, least: int, name: str) -> tuple[DataFrame, int]:
+    """Adds the number of a row's block: at most about `rows` rows and `size` bytes, and at least `least` blocks if there are rows.
+
+    Blocks follow the running sum of the weights. Only the sum of each
+    partition of the stored rows visits the driver.
+    """
+    weight = F.greatest(_row_bytes(df.columns) / F.lit(float(size)), F.lit(1.0 / rows))
+    stored = cut(df.withColumns({"_weight": weight, "_part": F.spark_partition_id()}))
+    sums = sorted((r["_part"], r["w"]) for r in stored.groupBy("_part").agg(F.sum("_weight").alias("w")).collect())
+    total = sum(w for _, w in sums)
+    blocks = max(1, least, math.ceil(total))
+    before, at = {}, 0.0
+    for part, w in sums:
+        before[part], at = at, at + w
+    kinds, names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), [*df.columns, name]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if done is None:
+                done = before[batch.column("_part")[0].as_py()]
+            through = done + np.cumsum(batch.column("_weight").to_numpy())
+            middle = (np.concatenate([[done], through[:-1]]) + through) / 2
+            block = np.minimum((middle / total * blocks).astype(np.int32), blocks - 1)
+            done = through[-1]
+            columns = [c for c, f in zip(batch.columns, batch.schema) if f.name not in ("_weight", "_part")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(block)], names=names)
+
+    return stored.mapInArrow(number, f"{kinds}, {name} int"), blocks
+
+
+def _crossed(potentials: DataFrame, customers: DataFrame, rows: int, blocks: tuple[int, int], block_bytes: int) -> tuple[DataFrame, DataFrame, int]:
+    """Both sides with (pb, cb), so that every potential block meets every customer block once; and the number of customer blocks."""
+    right, c_blocks = dealt(customers, blocks[1], block_bytes, 1, "cb")
+    # enough blocks to give every core something to do, but none without rows
+    wanted = min(math.ceil(2 * parallelism(potentials.sparkSession) / c_blocks), max(rows, 1))
+    left, p_blocks = dealt(potentials, blocks[0], block_bytes, wanted, "pb")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    return left.withColumn("cb", every(c_blocks)), right.withColumn("pb", every(p_blocks)), c_blocks
 
 
 def compared(
@@ -232,10 +283,11 @@ def compared(
     sizes: tuple[int, int],
     blocks: tuple[int, int] = (POTENTIAL_BLOCK, CUSTOMER_BLOCK),
     broadcast_bytes: int = BROADCAST_BYTES,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Run `kernel` on all potentials and customers and keep the best values per potential.
 
-    `sizes` are the two row counts, `blocks` the rows of a block on either side.
+    `sizes` are the two row counts, `blocks` the most rows of a block on either side.
     """
     schema = _schema(components)
     names = [f.split(" ")[0] for f in schema.split(", ")]
@@ -252,14 +304,7 @@ def compared(
 
         return potentials.select(*columns).mapInPandas(local, schema)
 
-    n_p, n_c = sizes
-    c_blocks = max(1, math.ceil(n_c / blocks[1]))
-    wanted = math.ceil(2 * parallelism(potentials.sparkSession) / c_blocks)
-    p_blocks = max(1, math.ceil(n_p / blocks[0]), min(wanted, n_p))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = potentials.select(block(p_blocks).alias("pb"), every(c_blocks).alias("cb"), *columns)
-    right = customers.select(every(p_blocks).alias("pb"), block(c_blocks).alias("cb"), *columns)
+    left, right, c_blocks = _crossed(potentials.select(*columns), customers, sizes[0], blocks, block_bytes)
 
     def shuffled(key: tuple, p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         return _scored(p, [indexed(c)], kernel, names).assign(cb=key[1])

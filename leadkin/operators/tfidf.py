@@ -1,16 +1,31 @@
-"""Weighted character grams of two sets of texts."""
+"""Weighted character grams of two sets of texts.
+
+Grams are counted inside each row. How many documents have a gram is summed up
+inside each task first, so what is shuffled grows with the grams a task sees and not with
+its texts. A vocabulary of up to SENT_ROWS grams is sent to the workers, where
+a row's weights come straight from its text: nothing else is shuffled, and no
+gram ever is a row. Beyond that size grams are rows and look their weights up in a join.
+"""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadkin import fixed
-from leadkin.functions.udfs import gram_counts
+from leadkin.functions.udfs import gram_counts, grams_of
 from leadkin.operators.lookup import BROADCAST_ROWS, heavy_light_lookup
 from leadkin.session import cut
 
 CUSTOMER, POTENTIAL = "c", "p"
+SENT_ROWS = 400_000
+_HELD = 200_000  # grams a task sums up before it hands them on
+_TEXTS = 256
 
 
 def gram_rows(docs: DataFrame, fields: list[str]) -> DataFrame:
@@ -21,19 +36,53 @@ def gram_rows(docs: DataFrame, fields: list[str]) -> DataFrame:
     return counted.select("id", "field", "g.gram", "g.tf")
 
 
+def _prepared(name: str) -> Column:
+    return F.lower(F.regexp_replace(F.col(name), r"(?U)\s\s+", " "))
+
+
 def _field(number: int, name: str) -> Column:
-    text = F.lower(F.regexp_replace(F.col(name), r"(?U)\s\s+", " "))
-    return F.struct(F.lit(number).alias("field"), text.alias("text"))
+    return F.struct(F.lit(number).alias("field"), _prepared(name).alias("text"))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few texts at a time, as their grams take many times their size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _TEXTS):
+            yield batch.slice(at, _TEXTS)
+
 
+def document_counts(docs: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, gram, df): in how many texts of a task a gram is; a gram may come several times."""
 
-def vocabulary(grams: DataFrame, documents: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [Counter() for _ in fields]
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for i, counts in enumerate(held):
+                if counts:
+                    columns = [pa.array(np.full(len(counts), i, dtype=np.int32)), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["field", "gram", "df"])
+                    counts.clear()
+
+        for batch in _pieces(batches):
+            for i, counts in enumerate(held):
+                for text in batch.column(i).to_pylist():
+                    counts.update(grams_of(text or "")[0])
+            if sum(map(len, held)) > _HELD:
+                yield from out()
+        yield from out()
+
+    return docs.select(*[_prepared(f).alias(f"f{i}") for i, f in enumerate(fields)]).mapInArrow(run, "field int, gram string, df long")
+
+
+def vocabulary(counts: DataFrame, documents: int) -> DataFrame:
     """One row per field and gram that is in at most 95 % of all documents, with a stable number.
 
-    Counting combines on the map side, so a gram found in every document costs
-    one row per task. The result is stored: its numbers must not change later.
+    A gram found in every document costs a few rows per task. The result is
+    stored: its numbers must not change later.
     """
-    counted = grams.groupBy("field", "gram").agg(
-        F.count("*").alias("df"), F.count_if(F.col("side") == CUSTOMER).alias("df_customers")
+    counted = counts.groupBy("field", "gram").agg(
+        F.sum("df").alias("df"), F.sum(F.when(F.col("side") == CUSTOMER, F.col("df")).otherwise(0)).alias("df_customers")
     )
     kept = counted.filter(F.col("df") <= fixed.MAX_DOCUMENT_SHARE * documents)
     idf = F.log((1.0 + documents) / (1.0 + F.col("df"))) + 1.0
@@ -42,10 +91,58 @@ def vocabulary(grams: DataFrame, documents: int) -> DataFrame:
 
 def vocabulary_of(potentials: DataFrame, customers: DataFrame, fields: list[str], documents: int) -> DataFrame:
     sides = ((POTENTIAL, potentials), (CUSTOMER, customers))
-    rows = [gram_rows(docs, fields).withColumn("side", F.lit(side)) for side, docs in sides]
+    rows = [document_counts(docs, fields).withColumn("side", F.lit(side)) for side, docs in sides]
     return vocabulary(rows[0].unionByName(rows[1]), documents)
 
 
+def with_vectors(docs: DataFrame, fields: list[str], words: DataFrame, sent_rows: int = SENT_ROWS) -> DataFrame:
+    """`docs` with (g_<field>, w_<field>) in the place of its text fields; both are empty where no gram counts."""
+    if words.count() <= sent_rows:
+        return _weighted_in_place(docs, fields, words)
+    kinds = [(f"{kind}_{f}", item) for f in fields for kind, item in (("g", "bigint"), ("w", "double"))]
+    joined = docs.drop(*fields).join(unit_vectors(docs.select("id", *fields), fields, words), "id", "left")
+    return joined.withColumns({name: F.coalesce(name, F.expr(f"cast(array() as array<{item}>)")) for name, item in kinds})
+
+
+def _weighted_in_place(docs: DataFrame, fields: list[str], words: DataFrame) -> DataFrame:
+    """Vectors worked out in each row's task from the vocabulary, of which every worker has a copy."""
+    known = words.orderBy("gid").toPandas()
+    tables = []
+    for i in range(len(fields)):
+        part = known[known["field"] == i]
+        columns = part["gid"].to_numpy(dtype=np.int64), part["idf"].to_numpy(dtype=float), part["df_customers"].to_numpy() > 0
+        tables.append((part["gram"].tolist(), *columns))
+    sent = docs.sparkSession.sparkContext.broadcast(tables)
+    opened: dict[int, dict[str, int]] = {}
+
+    def vectors(number: int):
+        def weigh(texts: pa.Array) -> pa.Array:
+            grams, gid, idf, shared = sent.value[number]
+            places = opened.get(number)
+            if places is None:
+                places = opened[number] = {g: i for i, g in enumerate(grams)}
+            ids, weights, ends = [], [], [0]
+            for text in texts.to_pylist():
+                names, counts = grams_of(text or "")
+                at = np.fromiter((places.get(g, -1) for g in names), dtype=np.int64, count=len(names))
+                counts, at = counts[at >= 0], at[at >= 0]
+                w = (1.0 + np.log(counts)) * idf[at]
+                keep = shared[at]
+                ids.append(gid[at[keep]])
+                weights.append(w[keep] / np.sqrt((w * w).sum()) if len(w) else w)
+                ends.append(ends[-1] + int(keep.sum()))
+            flat = lambda parts, kind: pa.array(np.concatenate([np.empty(0), *parts]).astype(kind))
+            offsets = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, flat(ids, np.int64)), pa.ListArray.from_arrays(offsets, flat(weights, float))]
+            return pa.StructArray.from_arrays(lists, names=["g", "w"])
+
+        return F.arrow_udf(weigh, "struct<g: array<bigint>, w: array<double>>").asNondeterministic()
+
+    found = docs.withColumns({f"_v{i}": vectors(i)(_prepared(f)) for i, f in enumerate(fields)})
+    parts = {f"{kind}_{f}": F.col(f"_v{i}.{kind}") for i, f in enumerate(fields) for kind in "gw"}
+    return found.withColumns(parts).drop(*fields, *[f"_v{i}" for i in range(len(fields))])
+
+
 def unit_vectors(docs: DataFrame, fields: list[str], words: DataFrame) -> DataFrame:
     """(id, g_<field>, w_<field>): the grams any customer has, weights of unit length.
 

@@ -19,23 +19,15 @@ COMPONENT_COLUMNS = {k: f"{k}_similarity_component" for k in pairs.COMPONENTS}
 def vectors_for(potentials: DataFrame, customers: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
     """Both sides with their unit gram vectors, and the two row counts."""
     sizes = (potentials.count(), customers.count())
-    docs = [df.select("id", *fields) for df in (potentials, customers)]
-    words = tfidf.vocabulary_of(*docs, fields, sum(sizes))
-    empty = {
-        f"{kind}_{f}": F.coalesce(f"{kind}_{f}", F.expr(f"cast(array() as array<{item}>)"))
-        for f in fields
-        for kind, item in (("g", "bigint"), ("w", "double"))
-    }
-    joined = [
-        df.drop(*fields).join(tfidf.unit_vectors(d, fields, words), "id", "left").withColumns(empty)
-        for df, d in zip((potentials, customers), docs)
-    ]
-    return joined[0], joined[1], sizes
+    words = tfidf.vocabulary_of(*[df.select("id", *fields) for df in (potentials, customers)], fields, sum(sizes))
+    p, c = (tfidf.with_vectors(df, fields, words) for df in (potentials, customers))
+    return p, c, sizes
 
 
 def text_scores(potentials: DataFrame, customers: DataFrame, **options) -> DataFrame:
     """Best text matches of (id, company, text) rows: (id, v_total, b_*)."""
-    p, c, sizes = vectors_for(fill_cores(potentials, "id"), fill_cores(customers, "id"), ["text"])
+    # stored, as the counts, the vocabulary and the vectors all read the prepared texts
+    p, c, sizes = vectors_for(*[cut(fill_cores(df, "id")) for df in (potentials, customers)], ["text"])
     return pairs.score_texts(p, c, sizes, **options)
 
 

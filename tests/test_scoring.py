@@ -128,8 +128,28 @@ def test_top_mix(spark):
     assert [round(r[0], 9) for r in row] == [0.705, 0.0]
 
 
+def test_blocks_weigh_the_same(spark):
+    """One text of 15,000 grams among short ones: no block is much over the limit in bytes, and rows and pairs stay whole."""
+    grams = F.sequence(F.lit(1), F.when(F.col("id") == 77, 15_000).otherwise(20 + F.col("id") % 60)).cast("array<bigint>")
+    rows = spark.range(3000).repartition(7).select("id", grams.alias("g_text")).withColumn("w_text", F.transform("g_text", lambda g: g.cast("double")))
+    limit = 120_000
+    found, n = pairs.dealt(rows, 500, limit, 1, "b")
+    weight = F.sum(pairs._row_bytes(["g_text"]))
+    blocks = {r.b: (r.rows, r.weight) for r in found.groupBy("b").agg(F.count("*").alias("rows"), weight.alias("weight")).collect()}
+    weights = sorted(w for _, w in blocks.values())
+    assert len(blocks) == n and sum(k for k, _ in blocks.values()) == 3000
+    heaviest = 15_000 * 16 + 512
+    assert weights[-1] <= heaviest + limit and weights[-2] <= 2 * weights[len(weights) // 2]
+    few, n = pairs.dealt(rows, 50, 1 << 30, 1, "b")
+    assert max(r[1] for r in few.groupBy("b").count().collect()) <= 51 and n == 60
+    left, right, c_blocks = pairs._crossed(rows, rows, 3000, (500, 300), limit)
+    met = left.groupBy("pb", "cb").count().join(right.groupBy("pb", "cb").agg(F.count("*").alias("m")), ["pb", "cb"])
+    assert met.agg(F.sum(F.col("count") * F.col("m"))).first()[0] == 3000 * 3000
+
+
 def test_large_vocabulary_takes_the_shuffle_join(samples, ranked, monkeypatch):
     monkeypatch.setattr(tfidf, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(tfidf.with_vectors, "__defaults__", (0,))
     again, _ = score(*samples)
     assert sorted(again.collect()) == sorted(ranked[0].collect())
 

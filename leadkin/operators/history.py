@@ -12,6 +12,7 @@ from leadkin.functions import text
 from leadkin.operators.columns import col, compact_leads, conform, fixed_layout
 from leadkin.operators.dedupe import keep_last
 from leadkin.operators.lookup import left_lookup
+from leadkin.session import cut
 
 # Order in which rows came into the history.
 ORDER = ["batch", "row_ord"]
@@ -75,46 +76,50 @@ def merged(history: DataFrame, new: DataFrame) -> DataFrame:
     return keep_last(layout(history).unionByName(layout(new)), fixed.HISTORY_DEDUPE_KEYS, ORDER)
 
 
-def recent(history: DataFrame, now: datetime, days: int, whole_words: bool = False) -> DataFrame:
-    """Rows contacted within the window or won for good; a date that cannot be read is not recent."""
+def is_recent(now: datetime, days: int, whole_words: bool = False) -> Column:
+    """Contacted within the window or won for good; a date that cannot be read is not recent."""
     in_window = text.instant(F.col("developed_at")) >= F.lit(now) - F.make_interval(days=F.lit(days))
     won = text.is_won(F.col("status"), F.col("outcome"), F.col("source"), whole_words=whole_words)
-    return history.filter(F.coalesce(in_window, F.lit(False)) | won)
+    return F.coalesce(in_window, F.lit(False)) | won
+
+
+def recent(history: DataFrame, now: datetime, days: int, whole_words: bool = False) -> DataFrame:
+    return history.filter(is_recent(now, days, whole_words))
+
+
+def summary(history: DataFrame, now: datetime, days: int) -> DataFrame:
+    """kind ('name' or 'number'), key, at, recent: what is known of every key, from one pass over the history.
+
+    `at` is the latest readable contact, of which the earlier row wins a tie.
+    Each row gives its name keys and its number; the aggregate combines on the
+    map side, so a key with a third of all rows costs a row per task.
+    """
+    order = F.struct(text.instant(F.col("developed_at")).alias("ts"), -F.col("batch"), -F.col("row_ord"))
+    names = F.array_distinct(F.array(text.clean(F.col("company_key")), text.company_key(F.col("company_name"))))
+    key = lambda kind: lambda value: F.struct(F.lit(kind).alias("kind"), value.alias("key"))
+    keys = F.concat(F.transform(names, key("name")), F.array(key("number")(text.clean(col(fixed.CUST_NO)))))
+    rows = history.select(keys.alias("keys"), text.clean(F.col("developed_at")).alias("at"), order.alias("order"), is_recent(now, days).alias("recent"))
+    each = rows.select(F.explode("keys").alias("k"), "at", "order", "recent").filter("k.key <> ''")
+    readable = F.when(F.col("order.ts").isNotNull(), F.col("order"))
+    return each.groupBy("k.kind", "k.key").agg(F.max_by("at", readable).alias("at"), F.bool_or("recent").alias("recent"))
+
+
+def _of(found: DataFrame, kind: str, name: str) -> DataFrame:
+    return found.filter(F.col("kind") == kind).select(F.col("key").alias(name), "at", "recent")
 
 
 def recent_keys(history: DataFrame, now: datetime, days: int) -> tuple[DataFrame, DataFrame]:
     """(company_key, recent) and (cust_no, recent), one row per key."""
-    rows = recent(history, now, days)
-    names = rows.select(F.explode(F.array(text.clean(F.col("company_key")), text.company_key(F.col("company_name")))).alias("company_key"))
-    numbers = rows.select(text.clean(col(fixed.CUST_NO)).alias("cust_no"))
-    mark = lambda df, key: df.filter(F.col(key) != "").distinct().withColumn("recent", F.lit(True))
-    return mark(names, "company_key"), mark(numbers, "cust_no")
-
-
-def latest(history: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(company_key, at) and (cust_no, at): the latest readable contact; the earlier row wins a tie."""
-    rows = history.select(
-        text.clean(col(fixed.CUST_NO)).alias("cust_no"),
-        F.array_distinct(F.array(text.clean(F.col("company_key")), text.company_key(F.col("company_name")))).alias("keys"),
-        text.clean(F.col("developed_at")).alias("at"),
-        F.struct(text.instant(F.col("developed_at")).alias("ts"), -F.col("batch"), -F.col("row_ord")).alias("order"),
-    ).filter(F.col("order.ts").isNotNull())
-    pick = F.max_by("at", "order").alias("at")
-    names = rows.select(F.explode("keys").alias("company_key"), "at", "order").filter("company_key <> ''")
-    return names.groupBy("company_key").agg(pick), rows.filter("cust_no <> ''").groupBy("cust_no").agg(pick)
+    found = cut(summary(history, now, days).filter("recent"))
+    return _of(found, "name", "company_key").drop("at"), _of(found, "number", "cust_no").drop("at")
 
 
 def with_history(ranking: DataFrame, history: DataFrame, now: datetime, days: int) -> DataFrame:
     """Ranking plus company_key, last_developed_at and recently_developed."""
-    recent_names, recent_numbers = recent_keys(history, now, days)
-    last_names, last_numbers = latest(history)
     number = text.clean(col(fixed.CUST_NO)) if fixed.CUST_NO in ranking.columns else F.lit("")
-    names = recent_names.join(last_names.withColumnRenamed("at", "_name_at"), "company_key", "full").withColumnRenamed(
-        "recent", "_name_recent"
-    )
-    numbers = recent_numbers.join(last_numbers.withColumnRenamed("at", "_number_at"), "cust_no", "full").withColumnRenamed(
-        "recent", "_number_recent"
-    )
+    found = cut(summary(history, now, days))
+    names = _of(found, "name", "company_key").withColumnsRenamed({"at": "_name_at", "recent": "_name_recent"})
+    numbers = _of(found, "number", "cust_no").withColumnsRenamed({"at": "_number_at", "recent": "_number_recent"})
     spread = F.col(fixed.ROW_ORD)
     out = ranking.withColumn("company_key", text.company_key(col(fixed.NAME))).withColumn("cust_no", number)
     out = left_lookup(out, names, ["company_key"], spread)

@@ -240,18 +240,60 @@ def test_payload_fields(spark):
     assert (r[fixed.SIGNAL], r["104_employee_count_number"], r["104_capital_ntd"], r[fixed.CITY], r[fixed.DISTRICT], r[fixed.WEBSITE]) == (True, 80.0, 1e8, "台北市", "信義區", None)
 
 
-def test_keep_in_turn_against_a_loop(spark):
+def in_turn(rows):
+    barred, want = set(), []
+    for i, own, matched in rows:
+        if (own or None) not in barred and (matched or None) not in barred:
+            want.append(i)
+            if matched:
+                barred.add(matched)
+    return want
+
+
+@pytest.mark.parametrize("at_once", [200_000, 5, 0])
+def test_keep_in_turn_against_a_loop(spark, at_once):
+    """All at once, by components, and round by round."""
     import random
 
     rng = random.Random(5)
     rows = [(i, rng.choice("abcdefgh"), rng.choice("abcdefgh")) for i in range(60)] + [(100 + i, f"k{i - 1}", f"k{i}") for i in range(6)]
-    barred, want = set(), []
-    for i, own, matched in rows:
-        if own not in barred and matched not in barred:
-            want.append(i)
-            barred.add(matched)
-    got = keep_in_turn(spark.createDataFrame(rows, "o long, own string, matched string"), "o", "own", "matched")
-    assert sorted(r.o for r in got.collect()) == want
+    rows += [(200 + i, rng.choice(["", None, "x", "k1"]), rng.choice(["", None, "x", "y"])) for i in range(20)]
+    rows += [(300 + i, f"s{i}", f"s{i // 2}") for i in range(20)]
+    got = keep_in_turn(spark.createDataFrame(rows, "o long, own string, matched string"), "o", "own", "matched", at_once)
+    assert sorted(r.o for r in got.collect()) == in_turn(rows)
+
+
+def test_a_long_chain_takes_a_fixed_number_of_jobs(spark):
+    """Ten thousand links, each row barred or not by the one before it, among rows that are not linked."""
+    rows = [(i, f"k{i - 1}", f"k{i}") for i in range(10_000)] + [(20_000 + i, f"a{i % 700}", f"a{i % 700}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "o long, own string, matched string")
+    jobs = []
+    for part in (df.filter("o < 100 or o >= 20000"), df):
+        spark.sparkContext.setJobGroup(f"turn{len(jobs)}", "")
+        got = sorted(r.o for r in keep_in_turn(part, "o", "own", "matched").collect())
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"turn{len(jobs)}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == in_turn(rows)
+    assert jobs[1] <= jobs[0] + 2
+
+
+def test_history_is_read_once(spark):
+    """The summary has one scan of the history, and equals latest contact and recent flag worked out one by one."""
+    path = scratch_path(spark, "rows")
+    days = lambda n: (NOW - timedelta(days=n)).isoformat()
+    rows = [(days(i % 30) if i % 7 else "soon", f"c{i % 13}股份有限公司", str(i % 11) if i % 3 else "", "won" if i % 29 == 0 else "", "") for i in range(400)]
+    rules.records(contacts(spark, rows), now=NOW, run_id="r").write.parquet(path)
+    found = rules.summary(spark.read.parquet(path), NOW, 7)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan
+    got = {(r.kind, r.key): (r.at, r.recent) for r in found.collect()}
+    assert {k for k, _ in got} == {"name", "number"} and len(got) == 13 + 11
+    stored = spark.read.parquet(path).collect()
+    for (kind, key), (at, recent) in got.items():
+        mine = [r for r in stored if (r.company_key == key if kind == "name" else r["104_custNo"] == key)]
+        dated = [r for r in mine if r.developed_at != "soon"]
+        assert at == max(r.developed_at for r in dated)
+        assert recent == any(r.status == "won" or r.developed_at != "soon" and datetime.fromisoformat(r.developed_at) >= NOW - timedelta(days=7) for r in mine)
 
 
 REGISTRY = [

@@ -283,3 +283,32 @@ def profile_build(spark: SparkSession, sf_dir: str) -> DataFrame:
         col(fixed.CAPITAL).alias("capital"),
         col(fixed.INDUSTRY).alias("industry"),
     )
+
+
+_LIMITED = f"""WITH RECURSIVE {_resolved_sql(_NAMED, duck(REGISTRY))},
+size AS (SELECT count(*) AS n FROM customer),
+all_rows AS (SELECT t.id, {_SQUEEZED.format('t.posted')} AS own, {_SQUEEZED.format('r.Company_Name')} AS matched, r.Company_Name AS name,
+    b.id IS NOT NULL AND (r.reg_ord % 2 = 0 OR r.reg_ord % 5 <> 4) AS usable, row_number() OVER (ORDER BY t.id) AS i
+  FROM t LEFT JOIN (SELECT * FROM best WHERE r = 1) b ON b.id = t.id LEFT JOIN reg r ON r.reg_ord = b.reg_ord),
+turn AS (SELECT part, 0::BIGINT AS i, []::VARCHAR[] AS barred, 0::BIGINT AS looked, 0::BIGINT AS held, false AS kept, false AS counts,
+    CASE part WHEN 'target' THEN n // 6 ELSE n END AS target, CASE part WHEN 'checked' THEN n // 3 ELSE n END AS most FROM size, (VALUES ('target'), ('checked')) v(part)
+  UNION ALL
+  SELECT part, x.i, CASE WHEN keep THEN list_append(barred, matched) ELSE barred END, looked + counts::BIGINT, held + keep::BIGINT, keep, x.counts, target, most
+  FROM (SELECT turn.part, rows.i, turn.barred, turn.looked, turn.held, turn.target, turn.most, rows.matched,
+      NOT list_contains(turn.barred, rows.own) AND turn.looked < turn.most AND turn.held < turn.target AS counts,
+      NOT list_contains(turn.barred, rows.own) AND turn.looked < turn.most AND turn.held < turn.target AND rows.usable AND NOT list_contains(turn.barred, rows.matched) AS keep
+    FROM turn JOIN all_rows rows ON rows.i = turn.i + 1) x)
+SELECT part, r.id AS cand, r.name FROM turn JOIN all_rows r USING (i) WHERE kept"""
+
+
+@check(_LIMITED)
+def profile_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles until a sixth of the companies is kept, and until a third of them is looked at; batches from 50 on."""
+    raw, n = landed(spark, sf_dir), table(spark, sf_dir, "customer").count()
+    parts = [
+        build_profiles(raw, target=target, max_candidates=most, fuzzy=False, first_batch=50).select(
+            F.lit(part).alias("part"), F.regexp_replace(col(fixed.CUST_NO), "^k", "").cast("long").alias("cand"), col(fixed.NAME).alias("name")
+        )
+        for part, target, most in (("target", n // 6, n), ("checked", n, n // 3))
+    ]
+    return parts[0].unionByName(parts[1])

@@ -78,15 +78,20 @@ def containing(words: DataFrame, names: DataFrame) -> DataFrame:
     return rarest.join(of_names, "gram").filter(F.contains("name", "keyword")).select("keyword", "name")
 
 
-def resolve(targets: DataFrame, registry: DataFrame, id: str, names: list[str], fuzzy: bool = True) -> DataFrame:
-    """Best registry row per target: (id, reg_ord, match_tier).
+def prepared(registry: DataFrame) -> DataFrame:
+    """Each usable name once with its first row and its spellings; stored, as every step of `resolve` reads it."""
+    known = usable(registry).groupBy(text.blank(F.col("Company_Name")).alias("name")).agg(F.min("reg_ord").alias("reg_ord"))
+    return cut(text.with_spellings(known, "name", "").drop("words"))
+
+
+def resolve(targets: DataFrame, registry: DataFrame | None, id: str, names: list[str], fuzzy: bool = True, known: DataFrame | None = None) -> DataFrame:
+    """Best registry row per target: (id, reg_ord, match_tier). `known`, if given, is the prepared registry.
 
     Order of preference: keyword, equality before containment, tier of the
     first spelling that matches, order of the registry. `registry` needs a
     unique `reg_ord`. Equal targets are resolved once.
     """
-    known = usable(registry).groupBy(text.blank(F.col("Company_Name")).alias("name")).agg(F.min("reg_ord").alias("reg_ord"))
-    known = cut(text.with_spellings(known, "name", "").drop("words"))  # read by every step below
+    known = prepared(registry) if known is None else known
     spelled = targets.select(id, *[text.blank(F.col(n)).alias(f"_n{i}") for i, n in enumerate(names)])
     spellings = [f"_n{i}" for i in range(len(names))]
     wanted = spelled.select(*spellings).distinct().withColumn("tid", F.monotonically_increasing_id())

@@ -12,7 +12,7 @@ from leadkin import fixed
 from leadkin.operators import history as rules
 from leadkin.plans.scoring import score
 from leadkin.sources import history_store
-from leadkin.sources.tables import read_table, write_csv, write_run
+from leadkin.sources.tables import exists, read_table, write_csv, write_run
 
 
 @dataclass(frozen=True)
@@ -81,6 +81,7 @@ def run(spark: SparkSession, options: Options, raw=None, pages: DataFrame | None
             excluded_numbers=numbers.select("cust_no"),
             target=options.target_leads,
             max_candidates=options.max_candidates or max(5 * options.target_leads, options.target_leads),
+            store=f"{out}/building/{run_id}",
         )
         potentials_path = write_run(built, f"{out}/profiles", run_id)
     customers, potentials = read_table(spark, options.customers), read_table(spark, potentials_path)
@@ -100,7 +101,7 @@ def run(spark: SparkSession, options: Options, raw=None, pages: DataFrame | None
         leads = enrich_emails(leads, pages, payloads)
     leads_path = write_run(leads, f"{out}/top_leads", run_id)
     leads = spark.read.parquet(leads_path)
-    write_csv(leads.orderBy("outreach_rank").coalesce(1), f"{out}/top_leads_csv")
+    csv = {name: write_csv(df, f"{out}/{name}_csv") for name, df in (("ranking", ranking.orderBy("rank")), ("top_matches", matches), ("top_leads", leads.orderBy("outreach_rank").coalesce(1)))}
 
     history_rows = None
     if options.mark_top_n:
@@ -110,16 +111,47 @@ def run(spark: SparkSession, options: Options, raw=None, pages: DataFrame | None
     totals = summary_row(ranking).first().asDict()
     return {
         "run_id": run_id,
+        "built_before_score": options.build_potentials,
+        "customers": options.customers,
+        "potentials": potentials_path,
+        "output": out,
+        "history": options.history,
+        **{f"{name}_csv": path for name, path in csv.items()},
         "ranking": ranking_path,
         "top_matches": matches_path,
         "top_leads": leads_path,
         **totals,
         "top_leads_count": leads.count(),
+        "email_enrichment": options.enrich_emails,
         "email_found_count": email_count(leads).first()[0] if options.enrich_emails else None,
         "history_rows": history_rows,
     }
 
 
+def mark_run(
+    spark: SparkSession,
+    output: str,
+    run_id: str,
+    history: str,
+    *,
+    now: datetime,
+    top_n: int | None = None,
+    status: str = "developed",
+    source: str = "n8n",
+    outcome: str | None = None,
+    outcome_at: str | None = None,
+) -> dict:
+    """Put the first leads of a stored run into the history; all of them without `top_n`."""
+    path = f"{output}/top_leads/run_id={run_id}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        raise FileNotFoundError(path)
+    leads = spark.read.parquet(path)
+    if top_n is not None:
+        leads = leads.orderBy("outreach_rank").limit(max(0, top_n))
+    rows = history_store.append(leads, history, now=now, run_id=run_id, status=status, source=source, outcome=outcome, outcome_at=outcome_at).count()
+    return {"run_id": run_id, "marked_count": leads.count(), "history": history, "history_rows": rows}
+
+
 def print_summary(ranking: DataFrame) -> None:
     row = summary_row(ranking).first()
     print(f"companies {row['potential_count']}, score {row['score_min']:.4f} to {row['score_max']:.4f}, mean {row['score_mean']:.4f}")

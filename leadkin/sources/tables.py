@@ -33,6 +33,12 @@ class Files:
         files, at = self._at(path)
         return [s.getPath().getName() for s in files.listStatus(at)]
 
+    def stamp(self, path: str) -> str:
+        """Place, size and time of a file."""
+        files, at = self._at(path)
+        status = files.getFileStatus(at)
+        return f"{path} {status.getLen()} {status.getModificationTime()}"
+
     def write(self, path: str, text: str) -> None:
         files, at = self._at(path)
         out = files.create(at, False)

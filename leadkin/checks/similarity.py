@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ from leadkin.operators import pairs
 from leadkin.operators.companies import companies as company_columns
 from leadkin.operators.dedupe import duplicate_counts
 from leadkin.operators.ranking import first_rows, number_rows, with_percentile
-from leadkin.session import cut
+from leadkin.plans import weekly
+from leadkin.session import cut, scratch_path
 from leadkin.plans.scoring import COMPONENT_COLUMNS, company_scores, match_rows, rank_companies, score, text_scores
 
 TEXTS = "SELECT doc_id AS id, CAST(doc_id AS STRING) AS company, text FROM {documents}"
@@ -251,6 +254,20 @@ def feature_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(company_columns(companies(spark, sf_dir, roles.GEO_POTENTIALS), "x").select("id", "coverage"))
 
 
+# Every part of the coverage is there or not by itself.
+COVERED = """SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 'about' ELSE ' ' END AS profile,
+  CASE WHEN c_custkey % 3 = 0 THEN 'food' ELSE '' END AS w1, CASE WHEN c_custkey % 5 = 0 THEN 'trade' END AS industry,
+  CASE WHEN c_custkey % 7 = 0 THEN CAST(c_custkey AS DOUBLE) END AS employees, CASE WHEN c_custkey % 11 = 0 THEN 'X' ELSE '' END AS city FROM {customer}"""
+
+
+@check("SELECT c_custkey AS id, round((" + " + ".join(f"(c_custkey % {n} = 0)::INT" for n in (2, 3, 5, 7, 11)) + ") / 5e0, 6) AS coverage FROM customer")
+def coverage_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of companies that lack any of the five parts, as the ranking carries it."""
+    rows = cut(companies(spark, sf_dir, COVERED))
+    ranking, _ = score(rows.filter(F.col(fixed.ROW_ORD) <= 20), rows)
+    return rounded(ranking.select(F.col(fixed.ROW_ORD).alias("id"), F.col("feature_coverage").alias("coverage")))
+
+
 @check(
     """WITH b AS (SELECT c_custkey AS id, floor(c_acctbal / 100) AS bucket FROM customer)
 SELECT id, row_number() OVER (ORDER BY bucket DESC, id) AS rank,
@@ -284,3 +301,24 @@ def text_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
         text.joined_text(F.concat(F.lit(" "), F.col("p_name")), brand, F.col("p_type")).alias("combined"),
         text.joined_values(tags).alias("tags"),
     )
+
+
+@check(
+    f"""WITH ranking AS ({_ranking_sql()}), fit AS (SELECT *, row_number() OVER (ORDER BY rank) AS n FROM ranking WHERE NOT is_duplicate)
+SELECT id, n - {fixed.TOP_LEADS} AS outreach_rank, rank, score, n - {fixed.TOP_LEADS} <= {fixed.LETTER_RANK_LIMIT} AS letter FROM fit
+WHERE n > {fixed.TOP_LEADS} AND n <= 2 * {fixed.TOP_LEADS}"""
+)
+def weekly_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job twice: the leads of the first run are marked in the history, so the second one gets the next best."""
+    root = scratch_path(spark, "weekly")
+    for side, role in (("customers", roles.CUSTOMERS), ("potentials", roles.POTENTIALS)):
+        companies(spark, sf_dir, role).write.parquet(f"{root}/{side}")
+    options = dict(customers=f"{root}/customers", potentials=f"{root}/potentials", output=f"{root}/out", history=f"{root}/history")
+    monday = datetime(2024, 6, 10, tzinfo=timezone.utc)
+    first = weekly.run(spark, weekly.Options(**options, now=monday))
+    weekly.mark_run(spark, first["output"], first["run_id"], first["history"], now=monday)
+    second = weekly.run(spark, weekly.Options(**options, now=monday + timedelta(days=1)))
+    leads = spark.read.parquet(second["top_leads"])
+    return rounded(
+        leads.select(F.col(fixed.ROW_ORD).alias("id"), "outreach_rank", "rank", F.col("similarity_score").alias("score"), F.col("manual_physical_letter").alias("letter"))
+    )

@@ -36,7 +36,7 @@ def company_scores(potentials: DataFrame, customers: DataFrame, **options) -> Da
     # stored, as the vocabulary, the vectors and the scores all read them
     sides = [cut(companies(fill_cores(df, fixed.ROW_ORD), label)) for df, label in ((potentials, "potentials"), (customers, "customers"))]
     p, c, sizes = vectors_for(*sides, pairs.TEXT_FIELDS)
-    return cut(pairs.score_companies(p, c, sizes, **options))
+    return cut(pairs.score_companies(p, c, sizes, **options).join(sides[0].select("id", "coverage"), "id"))
 
 
 def rank_companies(potentials: DataFrame, scored: DataFrame) -> DataFrame:
@@ -52,18 +52,14 @@ def rank_companies(potentials: DataFrame, scored: DataFrame) -> DataFrame:
         F.array_join(F.transform("b_total", lambda x: F.format_number(x, 4)), " | ").alias("top_existing_customer_scores"),
         F.coalesce(F.get("b_total", F.lit(0)), F.lit(0.0)).alias("top_existing_customer_score"),
         F.col("duplicate").alias("is_existing_customer_duplicate"),
+        F.col("coverage").alias("feature_coverage"),
     )
     order = [F.col(c).desc() for c in ("similarity_score", COMPONENT_COLUMNS["welfare"], COMPONENT_COLUMNS["industry"])]
     ranked, total = number_rows(scores, [*order, F.col("id").asc()], "rank")
     ranked = with_percentile(ranked, "similarity_score", "rank", total, "score_percentile")
     names = _clean_names(ranked)
-    coverage = companies(potentials, "potentials").select("id", F.col("coverage").alias("feature_coverage"))
-    wide = (
-        potentials.withColumn("id", F.col(fixed.ROW_ORD).cast("long"))
-        .join(names, "id")
-        .join(coverage, "id")
-    )
-    tail = [c for c in names.columns if c not in ("id", "rank", "score_percentile")]
+    wide = potentials.withColumn("id", F.col(fixed.ROW_ORD).cast("long")).join(names, "id")
+    tail = [c for c in names.columns if c not in ("id", "rank", "feature_coverage", "score_percentile")]
     return wide.select(
         "rank", *[col(c) for c in potentials.columns], *tail, "feature_coverage", "score_percentile"
     )

@@ -138,8 +138,6 @@ RECENT_DAYS = 7
 MIN_SUCCESS_RATIO = 0.5
 LETTER_RANK_LIMIT = 10
 PAGES_PER_SITE = 4
-HISTORY_PAGE = 100
-BUSINESS_ROWS = 10
 
 # Spellings that count as true.
 TRUE_WORDS = ["true", "1", "yes", "y", "是", "有", "t"]

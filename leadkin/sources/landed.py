@@ -141,9 +141,15 @@ def flat_payload(values: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def lead_rows(payloads: DataFrame, payload: str, schema: str) -> DataFrame:
-    """Leads given as a JSON list or as an object with a `leads` list."""
+def lead_rows(payloads: DataFrame, payload: str, schema: str, order: str | None = None) -> DataFrame:
+    """Leads given as a JSON list or as an object with a `leads` list.
+
+    `row_ord` follows the place in the payload, and across payloads the unique whole
+    numbers (below 2^31) in column `order`; one payload needs none.
+    """
     json = F.col(payload)
     found = F.coalesce(members(json), members(fields(json)["leads"]))
-    rows = payloads.select(F.posexplode(found).alias(fixed.ROW_ORD, "json")).filter(is_object(F.col("json")))
-    return rows.select(fixed.ROW_ORD, F.from_json("json", schema).alias("lead")).select(fixed.ROW_ORD, "lead.*")
+    before = F.lit(0).cast("long") if order is None else F.shiftleft(F.col(order).cast("long"), 32)
+    rows = payloads.select(before.alias("_before"), F.posexplode(found).alias("_place", "json")).filter(is_object(F.col("json")))
+    number = (F.col("_before") + F.col("_place")).alias(fixed.ROW_ORD)
+    return rows.select(number, F.from_json("json", schema).alias("lead")).select(fixed.ROW_ORD, "lead.*")

@@ -13,7 +13,7 @@ from leadkin.plans.enrich import enrich_emails
 from leadkin.session import scratch_path
 from leadkin.sources import history_store
 from leadkin.sources.tables import Files, read_table
-from leadkin.sources.landed import payload_records, posted_number, posting_rows, registry_rows
+from leadkin.sources.landed import lead_rows, payload_records, posted_number, posting_rows, registry_rows
 from leadkin.streaming.history import ingest
 
 NOW = datetime(2024, 6, 10, 12, 0, tzinfo=timezone.utc)
@@ -361,3 +361,11 @@ def test_pages_are_found_by_host_path_and_query(spark):
     got = enrich_emails(leads, pages).orderBy(fixed.ROW_ORD).collect()
     assert [r["Email"] for r in got] == ["first@a.com"] * 3 + ["sales@a.com", "", ""]
     assert [r["email_status"] for r in got] == ["found"] * 4 + ["homepage_request_failed"] * 2
+
+
+def test_leads_of_several_payloads_have_numbers_of_their_own(spark):
+    payloads = [(2, '{"leads": [{"company_name": "c"}, 5, {"company_name": "d"}]}'), (1, '[{"company_name": "a"}, {"company_name": "b"}]'), (3, "none")]
+    rows = lead_rows(spark.createDataFrame(payloads, "o long, p string").repartition(3), "p", "company_name string", "o")
+    found = rows.orderBy(fixed.ROW_ORD).collect()
+    assert [r.company_name for r in found] == ["a", "b", "c", "d"]
+    assert len({r[fixed.ROW_ORD] for r in found}) == 4

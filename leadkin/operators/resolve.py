@@ -1,13 +1,18 @@
 """Which registry company a name stands for.
 
 Names are looked up in two steps: keywords equal to a registry name, then
-keywords contained in one. A keyword is compared only with names that share its
-rarest character gram, never with the whole registry, and only keywords that
-could still beat the result of the first step take part in the second.
+keywords contained in one. Only keywords that could still beat the result of the
+first step take part in the second. There they are dealt into blocks of bounded
+size, each made into one automaton that finds all its keywords in one pass over
+a name, so a name costs the same however many keywords there are in a block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +21,11 @@ from leadkin.functions import text
 from leadkin.functions.udfs import name_ratio
 from leadkin.session import cut
 
+# Letters of keywords in one automaton (about a hundred bytes each), and of names read past it by one task.
+BLOCK_CHARS = 1 << 20
+PART_CHARS = 1 << 20
+PAIRS_AT_ONCE = 20_000
+
 
 def usable(registry: DataFrame) -> DataFrame:
     """Registered, approved companies with a name and a number."""
@@ -56,26 +66,48 @@ def keywords(*words: Column) -> Column:
     return F.array_distinct(F.transform(usable, lambda w: w.k))
 
 
-def _grams(value: Column, size: int) -> Column:
-    starts = F.when(F.length(value) >= size, F.sequence(F.lit(1), F.length(value) - size + 1))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(value, i, F.lit(size))))
-
-
-def containing(words: DataFrame, names: DataFrame) -> DataFrame:
-    """(keyword, name) where the name contains the keyword; both inputs are distinct."""
-    sizes = (1, 2, 3)
-    parts = [names.select("name", F.explode(_grams(F.col("name"), n)).alias("gram")) for n in sizes]
-    of_names = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    size = F.least(F.length("keyword"), F.lit(max(sizes)))
-    starts = F.sequence(F.lit(1), F.length("keyword") - size + 1)
-    of_words = words.select("keyword", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("keyword"), i, size)))).alias("gram"))
-    often = of_names.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = (
-        of_words.join(often, "gram", "left")
-        .groupBy("keyword")
-        .agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    )
-    return rarest.join(of_names, "gram").filter(F.contains("name", "keyword")).select("keyword", "name")
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by block and part, keywords before names; a group may go over several batches."""
+    group, tree, ready, found = None, None, False, []
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, type=pa.string()) for c in zip(*found)], names=["keyword", "name"])
+
+    for batch in batches:
+        for block, part, is_name, value in zip(*[c.to_pylist() for c in batch.columns]):
+            if (block, part) != group:
+                group, tree, ready = (block, part), ahocorasick.Automaton(), False
+            if not is_name:
+                tree.add_word(value, value)
+                continue
+            if not ready:
+                tree.make_automaton()
+                ready = True
+            if len(tree):
+                found += [(word, value) for word in {word for _, word in tree.iter(value)}]
+            if len(found) >= PAIRS_AT_ONCE:
+                yield out()
+                found = []
+    if found:
+        yield out()
+
+
+def containing(words: DataFrame, names: DataFrame, block_chars: int = BLOCK_CHARS, part_chars: int = PART_CHARS) -> DataFrame:
+    """(keyword, name) where the name contains the keyword; both inputs are distinct.
+
+    A task holds one block of keywords and reads its part of the names past it
+    row by row. Names are sent once for each block, keywords once for each part.
+    An empty keyword or name is in no pair.
+    """
+    words, names = words.filter("keyword <> ''"), names.filter("name <> ''")
+    chars = lambda df, c: df.agg(F.sum(F.length(c))).first()[0] or 0
+    blocks, parts = -(-chars(words, "keyword") // block_chars), -(-chars(names, "name") // part_chars)
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(max(n, 1)))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n, 1) - 1).cast("long")))
+    left = words.select(dealt("keyword", blocks).alias("block"), every(parts).alias("part"), F.lit(False).alias("is_name"), F.col("keyword").alias("value"))
+    right = names.select(every(blocks).alias("block"), dealt("name", parts).alias("part"), F.lit(True).alias("is_name"), F.col("name").alias("value"))
+    sorted_rows = left.unionByName(right).repartition("block", "part").sortWithinPartitions("block", "part", "is_name")
+    return sorted_rows.mapInArrow(_matched, "keyword string, name string")
 
 
 def prepared(registry: DataFrame) -> DataFrame:
@@ -110,7 +142,7 @@ def resolve(targets: DataFrame, registry: DataFrame | None, id: str, names: list
     open_words = asked.join(equal, "tid", "left").filter(F.col("best").isNull() | (F.col("kw_ord") < F.col("best.kw_ord"))).select(
         "tid", "kw_ord", "keyword"
     )
-    found = containing(open_words.select("keyword").distinct(), known.select("name"))
+    found = containing(cut(open_words.select("keyword").distinct()), known.select("name"))
     like = judged(open_words.join(found, "keyword").join(known, "name").select("tid", "kw_ord", "reg_ord", "plain", "core"), 1)
     best = equal.unionByName(like).groupBy("tid").agg(F.min("best").alias("best"))
     by_name = wanted.select("tid", *spellings).join(best, "tid")

@@ -19,6 +19,7 @@ from leadkin.session import scratch_path
 from leadkin.sources import history_store
 from leadkin.sources.landed import fields, lead_rows
 from leadkin.sources.tables import Files, latest_run, read_leads, read_table, write_csv, write_run
+from leadkin.streaming import latest as latest_stream
 from leadkin.streaming.history import ingest
 
 NOW = datetime(2024, 1, 31, tzinfo=timezone.utc)
@@ -314,3 +315,23 @@ def read_parquet_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     if fixed.ROW_ORD not in rows.columns:
         raise ValueError(rows.columns)
     return rows.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+
+
+@check(LATEST_SQL + " SELECT id, company_key, last_developed_at, recently_developed FROM flagged")
+def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest contact and recent flag from what a stream keeps of every key: late and repeated rows, a merge in between, a second stream."""
+    root = scratch_path(spark, "latest")
+    rows = history(spark, sf_dir)
+
+    def arrive(n: int, stream: int) -> None:
+        place = f"{root}-arrivals-{stream}"
+        rows.filter(F.col("row_ord") % 3 == n).write.mode("append").parquet(place)
+        events = spark.readStream.schema(rows.schema).parquet(place)
+        latest_stream.ingest(events, root, f"{root}-progress-{stream}").awaitTermination()
+
+    for n, stream in ((1, 0), (0, 0), (1, 0)):
+        arrive(n, stream)
+    latest_stream.compact(spark, root)
+    arrive(2, 1)
+    out = rules.with_history(people(spark, sf_dir), None, NOW, 7, known=latest_stream.read(spark, root))
+    return out.select(F.col(fixed.ROW_ORD).alias("id"), "company_key", "last_developed_at", "recently_developed")

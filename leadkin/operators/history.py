@@ -87,21 +87,42 @@ def recent(history: DataFrame, now: datetime, days: int, whole_words: bool = Fal
     return history.filter(is_recent(now, days, whole_words))
 
 
-def summary(history: DataFrame, now: datetime, days: int) -> DataFrame:
-    """kind ('name' or 'number'), key, at, recent: what is known of every key, from one pass over the history.
+CONTACTS = "kind string, key string, latest struct<ts: timestamp, batch_down: bigint, row_down: bigint, at: string>, won boolean"
+
+
+def contacts(history: DataFrame) -> DataFrame:
+    """kind ('name' or 'number'), key, latest, won: what is known of every key, from one pass over the history.
 
-    `at` is the latest readable contact, of which the earlier row wins a tie.
-    Each row gives its name keys and its number; the aggregate combines on the
-    map side, so a key with a third of all rows costs a row per task.
+    `latest` is the latest readable contact, of which the earlier row wins a tie; `won` says
+    whether any contact was won for good. Each row gives its name keys and its number; the
+    aggregate combines on the map side, so a key with a third of all rows costs a row per task.
     """
-    order = F.struct(text.instant(F.col("developed_at")).alias("ts"), -F.col("batch"), -F.col("row_ord"))
+    latest = F.struct(
+        text.instant(F.col("developed_at")).alias("ts"), (-F.col("batch")).alias("batch_down"), (-F.col("row_ord")).alias("row_down"),
+        text.clean(F.col("developed_at")).alias("at"),
+    )
     names = F.array_distinct(F.array(text.clean(F.col("company_key")), text.company_key(F.col("company_name"))))
     key = lambda kind: lambda value: F.struct(F.lit(kind).alias("kind"), value.alias("key"))
     keys = F.concat(F.transform(names, key("name")), F.array(key("number")(text.clean(col(fixed.CUST_NO)))))
-    rows = history.select(keys.alias("keys"), text.clean(F.col("developed_at")).alias("at"), order.alias("order"), is_recent(now, days).alias("recent"))
-    each = rows.select(F.explode("keys").alias("k"), "at", "order", "recent").filter("k.key <> ''")
-    readable = F.when(F.col("order.ts").isNotNull(), F.col("order"))
-    return each.groupBy("k.kind", "k.key").agg(F.max_by("at", readable).alias("at"), F.bool_or("recent").alias("recent"))
+    won = F.coalesce(text.is_won(F.col("status"), F.col("outcome"), F.col("source")), F.lit(False))
+    rows = history.select(keys.alias("keys"), latest.alias("latest"), won.alias("won"))
+    each = rows.select(F.explode("keys").alias("k"), F.when(F.col("latest.ts").isNotNull(), F.col("latest")).alias("latest"), "won")
+    return folded(each.filter("k.key <> ''").select("k.kind", "k.key", "latest", "won"))
+
+
+def folded(found: DataFrame) -> DataFrame:
+    """One row per key of contacts, or of earlier results of this; order and repetition do not matter."""
+    return found.groupBy("kind", "key").agg(F.max("latest").alias("latest"), F.bool_or("won").alias("won"))
+
+
+def as_of(found: DataFrame, now: datetime, days: int) -> DataFrame:
+    """kind, key, at, recent: the latest contact as text, and whether the key was contacted within the window or won for good."""
+    in_window = F.col("latest.ts") >= F.lit(now) - F.make_interval(days=F.lit(days))
+    return found.select("kind", "key", F.col("latest.at").alias("at"), (F.coalesce(in_window, F.lit(False)) | F.col("won")).alias("recent"))
+
+
+def summary(history: DataFrame, now: datetime, days: int) -> DataFrame:
+    return as_of(contacts(history), now, days)
 
 
 def _of(found: DataFrame, kind: str, name: str) -> DataFrame:
@@ -114,10 +135,13 @@ def recent_keys(history: DataFrame, now: datetime, days: int) -> tuple[DataFrame
     return _of(found, "name", "company_key").drop("at"), _of(found, "number", "cust_no").drop("at")
 
 
-def with_history(ranking: DataFrame, history: DataFrame, now: datetime, days: int) -> DataFrame:
-    """Ranking plus company_key, last_developed_at and recently_developed."""
+def with_history(ranking: DataFrame, history: DataFrame | None, now: datetime, days: int, known: DataFrame | None = None) -> DataFrame:
+    """Ranking plus company_key, last_developed_at and recently_developed.
+
+    `known`, if given, is what a stream keeps of every key; the history is not read then.
+    """
     number = text.clean(col(fixed.CUST_NO)) if fixed.CUST_NO in ranking.columns else F.lit("")
-    found = cut(summary(history, now, days))
+    found = cut(as_of(contacts(history) if known is None else known, now, days))
     names = _of(found, "name", "company_key").withColumnsRenamed({"at": "_name_at", "recent": "_name_recent"})
     numbers = _of(found, "number", "cust_no").withColumnsRenamed({"at": "_number_at", "recent": "_number_recent"})
     spread = F.col(fixed.ROW_ORD)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 HEAVY_SHARE = 2000
 BROADCAST_ROWS = 1_000_000
 SCATTER = 1_000_000
+FILTER_BITS = 1 << 26
+_BUCKET = 1 << 15  # bits in one row of a bitmap
 
 
 def _scattered(to_look_up: Column, spread: Column) -> Column:
@@ -60,3 +62,23 @@ def heavy_light_lookup(
     )
     found = F.coalesce("_heavy", "_light")
     return joined.select(*probe.columns, *[found[v].alias(v) for v in values])
+
+
+def may_match(rows: DataFrame, wanted: DataFrame, on: list[str], bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose key is in `wanted`, and few others; null keys are left out.
+
+    Hashes of the wanted keys set bits in a bitmap that is sent to the workers,
+    so rows with long values are dropped before a join moves them. It is never
+    larger than `bits` (8 MB), however many keys are wanted; with more keys it
+    lets more rows through, up to all of them.
+    """
+    place = F.pmod(F.xxhash64(*on), F.lit(bits))
+    bucket, bit = F.floor(place / _BUCKET).cast("long"), F.pmod(place, F.lit(_BUCKET))
+    maps = wanted.select(bucket.alias("_bucket"), bit.alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    known = F.lit(True)
+    for key in on:
+        known = known & F.col(key).isNotNull()
+    probe = rows.filter(known).withColumns({"_bucket": bucket, "_bit": bit})
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, F.pmod(F.col("_bit"), F.lit(8)).cast("int")) == 1
+    return probe.join(F.broadcast(maps), "_bucket").filter(hit).select(*rows.columns)

@@ -9,7 +9,7 @@ from leadkin import fixed
 from leadkin.functions import text
 from leadkin.operators.columns import col, conform
 from leadkin.operators.emails import bare_host, best_email, emails_in, existing_email, page_key, page_links, pages_to_read, website
-from leadkin.operators.lookup import left_lookup
+from leadkin.operators.lookup import left_lookup, may_match
 from leadkin.session import cut
 
 
@@ -17,14 +17,17 @@ def pages_at(urls: DataFrame, pages: DataFrame) -> DataFrame:
     """(key, url, html) of the corpus for the wanted addresses, the first page of each.
 
     Addresses are compared by host, path and query: scheme, `www.`, a last
-    slash and what follows # do not decide which page a site returns.
+    slash and what follows # do not decide which page a site returns. Pages
+    without a page_id are not read.
     """
-    # chosen by the narrow columns, so that the texts are read once and only where wanted
-    keyed = pages.withColumn("key", page_key(F.col("url")))
+    # chosen by the narrow columns, so that the texts are read once; pages nobody asks for are dropped
+    # by a bitmap on the workers, so neither their names nor their texts are moved
+    keyed = pages.filter("page_id is not null").withColumn("key", page_key(F.col("url")))
     wanted = urls.select(page_key(F.col("url")).alias("key")).distinct()
-    first = keyed.join(wanted, "key", "left_semi").groupBy("key").agg(F.min_by(F.struct("page_id", "url"), F.struct("page_id", "url")).alias("page"))
+    first = may_match(keyed, wanted, ["key"]).join(wanted, "key", "left_semi").groupBy("key").agg(F.min_by(F.struct("page_id", "url"), F.struct("page_id", "url")).alias("page"))
     first = first.select("key", "page.page_id", "page.url")
-    return keyed.join(first, ["key", "page_id", "url"]).select("key", "url", "html")
+    first = cut(first)
+    return may_match(keyed, first, ["key", "page_id", "url"]).join(first, ["key", "page_id", "url"]).select("key", "url", "html")
 
 
 def site_emails(sites: DataFrame, pages: DataFrame, max_pages: int = fixed.PAGES_PER_SITE, gmail_only: bool = False) -> DataFrame:

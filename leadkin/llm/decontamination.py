@@ -11,9 +11,11 @@ A window is WINDOW consecutive words of an item, or the whole item if it is
 shorter. Documents never leave their task, so a passage that a third of all
 documents share is no more work than any other.
 
-The benchmark is read in blocks of at most BLOCK_BYTES, each sent to the
-workers by itself, compressed. A task opens one block at a time, so beyond one
-block it takes more time, but only the compressed texts more memory.
+The benchmark is read in blocks of at most BLOCK_WORDS words and BLOCK_BYTES (one
+item may be more), counted on Spark, each sent to the workers by itself, compressed; the driver
+holds one block. A task has one block open at a time, about 250 bytes a word. With several
+blocks it gathers up to ROUND_BYTES of documents and takes them through one
+block after the other, so a block is compiled once for a round, not for every shard.
 
 Cases. Null text has no words; items without an id or without words take no
 part; an item id that occurs several times counts once. Repeated documents
@@ -32,11 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadkin.llm.common import keep_where, texts
+from leadkin.llm.common import texts
 
 WINDOW = 10
 SHARD_WORDS = 1 << 19
 BLOCK_BYTES = 32 << 20
+BLOCK_WORDS = 1 << 20
+ROUND_BYTES = 64 << 20
+_STEP = 1 << 16
 _PAIRS = 1 << 20
 
 _WORD_BYTES = bytes(
@@ -57,18 +62,26 @@ class Windows:
 
     def __init__(self, items: list[np.ndarray], n: int, window: int):
         of = [i for i, x in enumerate(items) if min(window, len(x)) == n]
-        rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(items[i], n) for i in of]).astype(">u4")
+        rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(items[i].astype(">u4"), n) for i in of], dtype=">u4")
         keys = np.ascontiguousarray(rows).view(f"S{4 * n}").ravel()
         owner = np.repeat(of, [len(items[i]) - n + 1 for i in of])
         order = np.argsort(keys, kind="stable")  # items stay in order within a window
         keys, owner = keys[order], owner[order]
         new_key = np.append(True, keys[1:] != keys[:-1])
         new = new_key | np.append(True, owner[1:] != owner[:-1])
-        self.n, self.keys, self.items = n, keys[new_key], owner[new]
+        self.n, self.window, self.keys, self.items = n, window, keys[new_key], owner[new]
         self.offsets = np.append(np.flatnonzero(new_key[new]), new.sum())
-        last = np.full((len(self.keys), 4 * window), 0xFF, dtype=np.uint8)
-        last[:, : 4 * n] = self.keys.view(np.uint8).reshape(-1, 4 * n)
-        self.last = last.view(f"S{4 * window}").ravel()  # beyond every suffix that begins with the window
+
+    def within(self, suffixes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(window, first, end) for every window that some of these sorted suffixes begin with."""
+        for at in range(0, len(self.keys), _STEP):
+            part = self.keys[at : at + _STEP]
+            last = np.full((len(part), 4 * self.window), 0xFF, dtype=np.uint8)  # beyond every suffix that begins with the window
+            last[:, : 4 * self.n] = part.view(np.uint8).reshape(-1, 4 * self.n)
+            low = np.searchsorted(suffixes, part, side="left")
+            high = np.searchsorted(suffixes, last.view(f"S{4 * self.window}").ravel(), side="right")
+            for k in np.flatnonzero(high > low):
+                yield at + k, low[k], high[k]
 
 
 class Benchmark:
@@ -141,10 +154,8 @@ class Shard:
         n_items = max(1, len(self.benchmark.items))
         found, waiting = [np.empty(0, dtype=np.int64)], 0
         for windows in self.benchmark.windows.values() if len(self.suffixes) else ():
-            low = np.searchsorted(self.keys, windows.keys, side="left")
-            high = np.searchsorted(self.keys, windows.last, side="right")
-            for k in np.flatnonzero(high > low):
-                at = self.suffixes[low[k] : high[k]]
+            for k, low, high in windows.within(self.keys):
+                at = self.suffixes[low:high]
                 change[at] += 1  # the places of one window are all different
                 change[at + windows.n] -= 1
                 document = np.unique(np.searchsorted(self.starts, at, side="right") - 1)
@@ -172,18 +183,22 @@ class Shard:
                     yield document, int(at - self.starts[document]), i, k, int(differs[0]) if len(differs) else len(here)
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list:
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, block_words: int = BLOCK_WORDS) -> list:
     """Broadcasts of the items, block by block; the driver holds one block at a time."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).filter("item_id is not null and text is not null")
     send = lambda block: spark.sparkContext.broadcast(zlib.compress(pickle.dumps(block)))
-    out, block, size = [], [], 0
-    for item_id, text in items.toLocalIterator():
-        if block and size + len(text) > block_bytes:
+    out, block, size, count = [], [], 0, 0
+    for item_id, text, n in items.withColumn("n", F.regexp_count("text", F.lit(_WORD))).toLocalIterator():
+        if block and (size + len(text) > block_bytes or count + n > block_words):
             out.append(send(block))
-            block, size = [], 0
+            block, size, count = [], 0, 0
         block.append((item_id, text))
         size += len(text) + 64
+        count += n
     return [*out, send(block)]
 
 
@@ -195,55 +210,74 @@ class _Opened:
 
     def __iter__(self) -> Iterator[Benchmark]:
         for block in self.blocks:
-            made = self.single or Benchmark(pickle.loads(zlib.decompress(block.value)), self.window)
             if len(self.blocks) == 1:
-                self.single = made
-            yield made
+                self.single = self.single or self._compiled(block)
+                yield self.single
+            else:
+                yield self._compiled(block)
 
+    def _compiled(self, block) -> Benchmark:
+        return Benchmark(pickle.loads(zlib.decompress(block.value)), self.window)
 
-def _shards(documents: Iterator[list[bytes]]) -> Iterator[list[list[bytes]]]:
+    def rounds(self, batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.Table]:
+        """The batches, several together if there are several blocks. `text` is the number of the column of texts."""
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.column(text).nbytes
+            if len(self.blocks) == 1 or size >= ROUND_BYTES:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+        if held:
+            yield pa.Table.from_batches(held)
+
+
+def _shards(documents: Iterator[str | None]) -> Iterator[list[bytes]]:
+    """Documents as bytes in which only words and spaces are left, about SHARD_WORDS words together."""
     shard, n = [], 0
-    for d in documents:
-        if shard and n + len(d) > SHARD_WORDS:
+    for text in documents:
+        d = (text or "").encode().translate(_WORD_BYTES)
+        size = len(d) // 2 + 1 if len(d) < SHARD_WORDS else len(d.split())
+        if shard and n + size > SHARD_WORDS:
             yield shard
             shard, n = [], 0
         shard.append(d)
-        n += len(d)
+        n += size
     if shard:
         yield shard
 
 
-def _searched(batch: list[str | None], benchmarks: _Opened) -> Iterator[tuple[int, int, set[str]]]:
-    """(words, hit words, items) of every text."""
-    for shard in _shards(words(t or "") for t in batch):
-        hit, items = None, [set() for _ in shard]
-        for b in benchmarks:
-            found = Shard(shard, b)
-            mask, pairs = found.hits()
-            hit = mask if hit is None else hit | mask
+def _searched(texts: list[str | None], benchmarks: _Opened) -> Iterator[tuple[int, int, set[str]]]:
+    """(words, hit words, items) of every text; each block is opened once."""
+    shards = list(_shards(texts))
+    hits: list[np.ndarray | None] = [None] * len(shards)
+    items = [[set() for _ in shard] for shard in shards]
+    for b in benchmarks:
+        for s, shard in enumerate(shards):
+            mask, pairs = Shard([d.split() for d in shard], b).hits()
+            hits[s] = mask if hits[s] is None else hits[s] | mask
             for d, i in pairs.tolist():
-                items[d].add(b.names[i])
+                items[s][d].add(b.names[i])
+    for shard, hit, found in zip(shards, hits, items):
         before = np.concatenate([[0], np.cumsum(hit)])
         at = 0
-        for d, names in zip(shard, items):
-            yield len(d), int(before[at + len(d)] - before[at]), names
-            at += len(d) + 1
+        for d, names in zip(shard, found):
+            n = len(d.split())
+            yield n, int(before[at + n] - before[at]), names
+            at += n + 1
 
 
-def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document: n_words, n_hit, items (sorted as strings), contaminated."""
-    blocks = _blocks(benchmark, block_bytes)
+    blocks = _blocks(benchmark, block_bytes, block_words)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("contaminated", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = _Opened(blocks, window)
-        for batch in batches:
-            found = list(_searched(batch.column(1).to_pylist(), opened))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, type=f.type) for c, f in zip(
-                    [[n for n, _, _ in found], [h for _, h, _ in found], [sorted(i) for _, _, i in found], [h > 0 for _, h, _ in found]], list(schema)[1:])]],
-                schema=schema,
-            )
+        for some in opened.rounds(batches, 1):
+            found = list(_searched(some.column(1).to_pylist(), opened))
+            values = [[n for n, _, _ in found], [h for _, h, _ in found], [sorted(i) for _, _, i in found], [h > 0 for _, h, _ in found]]
+            yield from pa.table([some.column(0), *[pa.array(c, type=f.type) for c, f in zip(values, list(schema)[1:])]], schema=schema).to_batches()
 
     return texts(docs).mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>, contaminated boolean")
 
@@ -258,31 +292,35 @@ def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Longest verbatim matches and where they are: doc_id, doc_word, item_id, item_word, n_words."""
-    blocks = _blocks(benchmark, BLOCK_BYTES)
+    blocks = _blocks(benchmark)
     schema = pa.schema([("doc_id", pa.int64()), ("doc_word", pa.int64()), ("item_id", pa.string()), ("item_word", pa.int64()), ("n_words", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = _Opened(blocks, window)
-        for batch in batches:
-            ids, first = batch.column(0).to_pylist(), 0
-            for shard in _shards(words(t or "") for t in batch.column(1).to_pylist()):
-                for b in opened:
-                    rows = [(ids[first + d], w, b.names[i], k, n) for d, w, i, k, n in Shard(shard, b).longest()]
+        for some in opened.rounds(batches, 1):
+            ids, shards = some.column(0).to_pylist(), list(_shards(some.column(1).to_pylist()))
+            for b in opened:
+                first = 0
+                for shard in shards:
+                    rows = [(ids[first + d], w, b.names[i], k, n) for d, w, i, k, n in Shard([d.split() for d in shard], b).longest()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)
-                first += len(shard)
+                    first += len(shard)
 
     return texts(docs).mapInArrow(run, "doc_id long, doc_word long, item_id string, item_word long, n_words long")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents without any hit, with all their columns."""
-    blocks = _blocks(benchmark, BLOCK_BYTES)
+    blocks = _blocks(benchmark, block_words=block_words)
+    at = docs.columns.index("text")
 
-    def rows():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = _Opened(blocks, window)
-        return lambda batch: [hit == 0 for _, hit, _ in _searched(batch, opened)]
+        for some in opened.rounds(batches, at):
+            kept = [hit == 0 for _, hit, _ in _searched(some.column(at).to_pylist(), opened)]
+            yield from some.filter(pa.array(kept, type=pa.bool_())).to_batches()
 
-    return keep_where(docs, rows)
+    return docs.mapInArrow(run, docs.schema)
 
 
 _SQL_WORDS = (

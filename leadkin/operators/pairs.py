@@ -36,11 +36,16 @@ POTENTIAL_BLOCK = 8192
 BLOCK_BYTES = 32 * 1024 * 1024
 BROADCAST_BYTES = 64 * 1024 * 1024
 MERGE_FAN_IN = 64
+DENSE = 8
 _CELLS = 2_000_000
 
 
 class GramIndex:
-    """The rows of one text field of a customer block, by gram."""
+    """The rows of one text field of a customer block, by gram.
+
+    A gram that at least one in DENSE rows has is a row of a full matrix, which takes at most DENSE
+    times the room of its entries; products with it are matrix products. All others are lists of rows.
+    """
 
     def __init__(self, grams: list, weights: list):
         lengths = np.array([len(g) for g in grams], dtype=np.int64)
@@ -52,6 +57,21 @@ class GramIndex:
             self.row = np.repeat(np.arange(self.rows), lengths)[order]
             self.weight = np.concatenate(weights).astype(float)[order]
             self.known, self.start, self.count = np.unique(flat[order], return_index=True, return_counts=True)
+            often = np.flatnonzero(self.count * DENSE >= self.rows)
+            self.line = np.full(len(self.known), -1)
+            self.line[often] = np.arange(len(often))
+            lines = np.repeat(self.line, self.count)
+            self.full = np.zeros((len(often), self.rows))
+            self.full[lines[lines >= 0], self.row[lines >= 0]] = self.weight[lines >= 0]
+
+    def _often(self, out: np.ndarray, row: np.ndarray, line: np.ndarray, weight: np.ndarray) -> None:
+        """Adds the products with the full matrix, a bounded number of given rows at a time; `row` ascends."""
+        step = max(1, _CELLS // len(self.full))
+        for at in range(0, len(out), step):
+            lo, hi = np.searchsorted(row, [at, at + step])
+            part = np.zeros((min(step, len(out) - at), len(self.full)))
+            part[row[lo:hi] - at, line[lo:hi]] = weight[lo:hi]
+            out[at : at + step] += part @ self.full
 
     def products(self, grams: list, weights: list) -> np.ndarray:
         """Dense (given rows x rows of the block) products."""
@@ -64,7 +84,13 @@ class GramIndex:
         hit = self.known[place] == flat
         row = np.repeat(np.arange(len(grams)), lengths)[hit]
         weight = np.concatenate(weights).astype(float)[hit]
-        first, meets = self.start[place[hit]], self.count[place[hit]]
+        place = place[hit]
+        line = self.line[place]
+        if (line >= 0).any():
+            full, rest = line >= 0, line < 0
+            self._often(out.reshape(len(grams), self.rows), row[full], line[full], weight[full])
+            place, row, weight = place[rest], row[rest], weight[rest]
+        first, meets = self.start[place], self.count[place]
         ends = np.cumsum(meets)
         lo, done = 0, 0
         while lo < len(meets):
@@ -174,7 +200,8 @@ def _best(c: pd.DataFrame, total: np.ndarray, parts: dict[str, np.ndarray]) -> B
     out = {"v_total": top_values(total), "b_total": total[rows, best], "b_id": order[best]}
     out["b_company"] = c["company"].to_numpy(dtype=object)[best]
     for k, scores in parts.items():
-        out[f"v_{k}"] = top_values(np.round(scores, 12))
+        scores = np.round(scores, 12)
+        out[f"v_{k}"] = top_values(scores)
         out[f"b_{k}"] = scores[rows, best]
     return out
 

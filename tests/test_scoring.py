@@ -112,6 +112,20 @@ def test_kernel_against_plain_loops():
         assert list(best[i]) == sorted(range(n_c), key=lambda j: (-total[i, j], -order[j]))[:5]
 
 
+@pytest.mark.parametrize("dense", [0, 3, 1000])
+@pytest.mark.parametrize("cells", [5, 2_000_000])
+def test_common_and_rare_grams(monkeypatch, dense, cells):
+    """Full lines and lists give the same products, for rows without grams and a gram all rows have too."""
+    monkeypatch.setattr(pairs, "DENSE", dense)
+    monkeypatch.setattr(pairs, "_CELLS", cells)
+    rng = np.random.default_rng(3)
+    side = lambda n: [np.unique(np.concatenate([[7], (rng.zipf(1.3, 12) % 60)])) if i % 5 else np.empty(0, dtype=int) for i in range(n)]
+    pg, cg = side(17), side(11)
+    pw, cw = ([rng.random(len(g)) for g in grams] for grams in (pg, cg))
+    want = [[sum(a * dict(zip(h, v)).get(g, 0.0) for g, a in zip(k, w)) for h, v in zip(cg, cw)] for k, w in zip(pg, pw)]
+    assert np.allclose(pairs.GramIndex(cg, cw).products(pg, pw), want)
+
+
 def test_closeness():
     nan = np.nan
     p, c = np.array([[99.0, nan], [99.0, 5.0], [nan, nan], [-1.0, nan]]), np.array([[99.0, 5.0]])

@@ -13,7 +13,12 @@ Chunks. A text is cut into chunks of a fixed size. White space leads every
 state back to the start, so the map from the state before a chunk to the state
 and count after it is given by the letters before its first white space, the
 count between, and the letters after its last. Such maps compose, and a
-parallel prefix scan (a tree of doublings) gives the count up to every chunk.
+parallel prefix scan (a tree of doublings) gives the count up to every chunk:
+the last one is the count of the text, and a search among them says how many
+whole chunks fit the limit. Where unusual characters have to be prepared by the
+library, chunks are runs of whole words of the same size, which begin and end in the start
+state; a special token is a chunk of its own that adds one. All chunks of a
+text go through one scan.
 
 Cases. Null text is empty: no bytes, no tokens. Special tokens inside a text
 count one each. Repeated rows give repeated results, an empty table an empty
@@ -22,7 +27,9 @@ one; other columns are ignored. Everything stays in the map task of the row.
 
 from __future__ import annotations
 
+import bisect
 import functools
+from collections.abc import Iterator
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -141,17 +148,43 @@ class Counter:
     def total(self, m: Map) -> int:
         return (self.parts[m.head] if m.head else 0) + (m.count or 0) + (self.parts[m.tail] if m.tail else 0)
 
-    def count(self, text: str) -> int:
-        v, total = self.vocabulary, 0
+    def maps(self, text: str) -> list[Map]:
+        """The maps of all chunks of a text, in order."""
+        v, out = self.vocabulary, []
         for segment in v.segments(text):
             if segment in v.special:
-                total += 1
+                out.append(Map("", 1, ""))
             elif (plain := v.lowered(segment)) is not None:
-                maps = [self.map_of(plain[i : i + self.chunk]) for i in range(0, len(plain), self.chunk)]
-                total += self.total(self.scan(maps)[-1]) if maps else 0
+                out += [self.map_of(plain[i : i + self.chunk]) for i in range(0, len(plain), self.chunk)]
             else:
-                total += sum(map(self.words.__getitem__, v.library_words(segment)))
-        return total
+                out += self.maps_of_words(v.library_words(segment))
+        return out
+
+    def maps_of_words(self, words: list[str]) -> Iterator[Map]:
+        """Chunks of whole words, each of the fixed size or longer by a part of its last word."""
+        count = size = 0
+        for word in words:
+            count += self.words[word]
+            size += len(word)
+            if size >= self.chunk:
+                yield Map("", count, "")
+                count = size = 0
+        if size:
+            yield Map("", count, "")
+
+    def ended(self, m: Map) -> int:
+        """Tokens without those of an open end; never falls from one prefix to the next."""
+        return 0 if m.count is None else m.count + (self.parts[m.head] if m.head else 0)
+
+    def counted(self, text: str, limit: int) -> tuple[int, int, int]:
+        """Tokens, chunks, and how many chunks from the first on have at most `limit` tokens together."""
+        through = self.scan(self.maps(text))
+        total = self.total(through[-1]) if through else 0
+        within = len(through) if total <= limit else bisect.bisect_right(through, limit, hi=len(through) - 1, key=self.ended)
+        return total, len(through), within
+
+    def count(self, text: str) -> int:
+        return self.counted(text, TOKEN_LIMIT)[0]
 
 
 @functools.lru_cache(maxsize=2)
@@ -160,16 +193,20 @@ def counter(raw: bytes) -> Counter:
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for every whole text."""
+    """doc_id, n_bytes, n_tokens, over_limit, n_chunks, chunks_within for every whole text.
+
+    `chunks_within` chunks from the first on have at most `limit` tokens; what is still
+    open at the end of a chunk counts when it has ended.
+    """
     file = sent(docs.sparkSession, path)
 
     def rows():
         tool = counter(file.value)
 
         def each(text: str) -> tuple:
-            n = tool.count(text)
-            return len(text.encode()), n, n > limit
+            n, chunks, within = tool.counted(text, limit)
+            return len(text.encode()), n, n > limit, chunks, within
 
         return each
 
-    return per_text(texts(docs), "doc_id long, n_bytes long, n_tokens long, over_limit boolean", rows)
+    return per_text(texts(docs), "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_chunks long, chunks_within long", rows)

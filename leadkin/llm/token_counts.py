@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -161,16 +162,13 @@ class Counter:
         return out
 
     def maps_of_words(self, words: list[str]) -> Iterator[Map]:
-        """Chunks of whole words, each of the fixed size or longer by a part of its last word."""
-        count = size = 0
-        for word in words:
-            count += self.words[word]
-            size += len(word)
-            if size >= self.chunk:
-                yield Map("", count, "")
-                count = size = 0
-        if size:
-            yield Map("", count, "")
+        """Chunks of whole words; a word belongs to the chunk of the fixed size in which it ends."""
+        through = list(itertools.accumulate(map(len, words)))
+        at = 0
+        while at < len(words):
+            end = len(words) if through[-1] <= self.chunk else bisect.bisect_right(through, ((through[at] - 1) // self.chunk + 1) * self.chunk, at)
+            yield Map("", sum(map(self.words.__getitem__, words[at:end])), "")
+            at = end
 
     def ended(self, m: Map) -> int:
         """Tokens without those of an open end; never falls from one prefix to the next."""

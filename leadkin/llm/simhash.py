@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadkin.llm.common import per_text, texts
-from leadkin.llm.graph import components
+from leadkin.llm.graph import components, least_by
 from leadkin.operators.lookup import heavy_light_lookup
 from leadkin.session import cut
 
@@ -167,7 +167,7 @@ def groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     different = prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     roots = components(links(different)).select(F.col("node").alias("print"), "root")
     linked = roots.join(different, "print")
-    smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    smallest = least_by(linked, "root", "first").withColumnRenamed("least", "component_id")
     named = linked.select("print", "root").join(smallest, "root").select("print", "component_id")
     named = cut(different.join(named, "print", "left").select("print", F.coalesce("component_id", "first").alias("component_id"), "n"))
     total = named.agg(F.sum("n")).first()[0] or 0

@@ -32,14 +32,14 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def least_by(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, least): the smallest value of every key, also where one key has most of the rows.
+    """(key, least, n): smallest value and number of rows of every key, also where one key has most of the rows.
 
     A key's rows are dealt to STEPS places by their value first, so no task gets them all, however
     small the partitions are in which they lie; the second step sees at most STEPS rows of a key.
     """
     place = F.pmod(F.xxhash64(value), F.lit(STEPS))
-    parts = rows.groupBy(key, place.alias("_place")).agg(F.min(value).alias("least"))
-    return parts.groupBy(key).agg(F.min("least").alias("least"))
+    parts = rows.groupBy(key, place.alias("_place")).agg(F.min(value).alias("least"), F.count("*").alias("n"))
+    return parts.groupBy(key).agg(F.min("least").alias("least"), F.sum("n").alias("n"))
 
 
 def _large(links: DataFrame) -> DataFrame:

@@ -39,7 +39,8 @@ def test_no_task_gets_all_rows_of_a_key(spark):
     """One key has 3,000 of 3,300 rows, each in a partition that has few of them."""
     rows = spark.range(3300).select(F.when(F.col("id") < 3000, 1).otherwise(F.col("id")).alias("k"), (F.col("id") + 7).alias("v"))
     spread = rows.repartition(400)
-    assert {r.k: r.least for r in c.least_by(spread, "k", "v").collect()} == {1: 7, **{i: i + 7 for i in range(3000, 3300)}}
+    found = {r.k: (r.least, r.n) for r in c.least_by(spread, "k", "v").collect()}
+    assert found == {1: (7, 3000), **{i: (i + 7, 1) for i in range(3000, 3300)}}
     place = F.pmod(F.xxhash64("v"), F.lit(c.STEPS))
     dealt = spread.repartition(200, "k", place).groupBy(F.spark_partition_id()).count()
     assert dealt.agg(F.max("count")).first()[0] < 600

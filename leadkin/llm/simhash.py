@@ -166,9 +166,11 @@ def groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     prints = cut(per_text(texts(docs), "doc_id long, print long", lambda: lambda text: (fingerprint(text, size),)))
     different = prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     roots = components(links(different)).select(F.col("node").alias("print"), "root")
-    linked = roots.join(different, "print")
-    smallest = least_by(linked, "root", "first").withColumnRenamed("least", "component_id")
-    named = linked.select("print", "root").join(smallest, "root").select("print", "component_id")
+    linked = cut(roots.join(different, "print").select("print", "root", "first"))
+    smallest = cut(least_by(linked, "root", "first").withColumnRenamed("least", "component_id"))
+    # a root that many different fingerprints have is sent to the workers, so its rows stay where they are
+    among = smallest.agg(F.sum("n")).first()[0] or 0
+    named = heavy_light_lookup(linked.select("print", "root"), smallest, ["root"], "n", among, F.col("print")).select("print", "component_id")
     named = cut(different.join(named, "print", "left").select("print", F.coalesce("component_id", "first").alias("component_id"), "n"))
     total = named.agg(F.sum("n")).first()[0] or 0
     # the few fingerprints that a large share of all rows can have are sent to the workers, so no task gets all rows of one

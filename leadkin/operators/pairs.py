@@ -2,10 +2,13 @@
 
 Every component but the texts is dense, so each potential has to meet each
 customer. The pairs are never rows of a DataFrame; only the best values per
-potential leave a task. There are two ways to bring the sides together:
+potential leave a task. Companies are compared as `nearest` says: components by
+their different values, totals and sizes in tiles that bounds rule out. There are
+two ways to bring the sides together:
 
 * The customers' features are measured, and if they are small they are sent to
-  every worker once. The potentials then stay where they are: no shuffle.
+  every worker once. The potentials then stay where they are: no shuffle. Of
+  companies, equal vectors of a part of the rows are sent once, and so measured.
 * Otherwise Spark cuts both sides into blocks and shuffles one potential block
   and one customer block to each task. A row weighs what its features take, or
   its share of the most rows a block may have; weights are summed up on Spark,
@@ -19,6 +22,7 @@ potential leave a task. There are two ways to bring the sides together:
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadkin import fixed
+from leadkin.operators import nearest
 from leadkin.session import cut, parallelism
 
 COMPONENTS = list(fixed.COMPONENT_WEIGHTS)
@@ -37,6 +42,7 @@ BLOCK_BYTES = 32 * 1024 * 1024
 BROADCAST_BYTES = 64 * 1024 * 1024
 MERGE_FAN_IN = 64
 DENSE = 8
+PACKED_ROWS = 2048
 _CELLS = 2_000_000
 
 
@@ -106,10 +112,12 @@ class GramIndex:
         return out.reshape(len(grams), self.rows)
 
 
-def indexed(c: pd.DataFrame) -> tuple[pd.DataFrame, dict[str, GramIndex]]:
-    """A customer block with its text fields indexed once for all potentials."""
-    fields = [n[2:] for n in c.columns if n.startswith("g_")]
-    return c, {f: GramIndex(c[f"g_{f}"].tolist(), c[f"w_{f}"].tolist()) for f in fields}
+class Texts:
+    """A customer block of texts, indexed once for all potentials."""
+
+    def __init__(self, c: pd.DataFrame):
+        self.rows, self.index = c, GramIndex(c["g_text"].tolist(), c["w_text"].tolist())
+        self.step = max(1, _CELLS // max(len(c), 1))
 
 
 def top_values(scores: np.ndarray, k: int = fixed.TOP_VALUES) -> np.ndarray:
@@ -165,24 +173,6 @@ def signal(p: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.where(p[:, None], with_customer, without)
 
 
-def component_scores(p: pd.DataFrame, c: pd.DataFrame, index: dict[str, GramIndex]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """The six component matrices of one block pair and the same-company mask."""
-    text = {f: i.products(p[f"g_{f}"].tolist(), p[f"w_{f}"].tolist()) for f, i in index.items()}
-    numbers = ["employees", "capital"]
-    scores = {
-        "profile": text["profile"],
-        "welfare": text["welfare"],
-        "industry": fixed.INDUSTRY_MIX["jaccard"] * jaccard(p["flags"].to_numpy(), c["flags"].to_numpy())
-        + fixed.INDUSTRY_MIX["text"] * text["industry"],
-        "size": closeness(p[numbers].to_numpy(dtype=float), c[numbers].to_numpy(dtype=float)),
-        "location": fixed.LOCATION_MIX["city"] * same(p["city"], c["city"])
-        + fixed.LOCATION_MIX["district"] * same(p["district"], c["district"]),
-        "snack_signal": signal(p["signal"].to_numpy(dtype=bool), c["signal"].to_numpy(dtype=bool)),
-    }
-    duplicate = same(p["name_key"], c["name_key"]) | same(p["cust_no"], c["cust_no"])
-    return {k: np.where(duplicate, 0.0, v) for k, v in scores.items()}, duplicate
-
-
 TEXT_FIELDS = ["profile", "welfare", "industry"]
 BLOCK_COLUMNS = [
     "id", "company", "name_key", "cust_no", "flags", "employees", "capital", "city", "district", "signal",
@@ -193,28 +183,200 @@ BLOCK_COLUMNS = [
 Block = dict[str, np.ndarray]
 
 
-def _best(c: pd.DataFrame, total: np.ndarray, parts: dict[str, np.ndarray]) -> Block:
-    order = c["id"].to_numpy(dtype=np.int64)
-    best = best_columns(total, order)
-    rows = np.arange(len(total))[:, None]
-    out = {"v_total": top_values(total), "b_total": total[rows, best], "b_id": order[best]}
-    out["b_company"] = c["company"].to_numpy(dtype=object)[best]
-    for k, scores in parts.items():
-        scores = np.round(scores, 12)
-        out[f"v_{k}"] = top_values(scores)
-        out[f"b_{k}"] = scores[rows, best]
+class Packed:
+    """Rows of companies, each with the numbers of its text vectors; every different vector is there once."""
+
+    def __init__(self, rows: pd.DataFrame, code: dict[str, np.ndarray], vectors: dict[str, tuple[list, list]]):
+        self.rows, self.code, self.vectors = rows, code, vectors
+
+    def plain(self) -> tuple:
+        """To be sent: instances of classes of this package may not be, where tasks bring their own copy of it."""
+        return self.rows, self.code, self.vectors
+
+    def part(self, at: slice) -> Packed:
+        code, vectors = {}, {}
+        for f, (grams, weights) in self.vectors.items():
+            used, code[f] = np.unique(self.code[f][at], return_inverse=True)
+            vectors[f] = [grams[i] for i in used], [weights[i] for i in used]
+        return Packed(self.rows.iloc[at], code, vectors)
+
+
+def packed(df: pd.DataFrame) -> Packed:
+    plain = df[[c for c in df.columns if c[:2] not in ("g_", "w_")]].reset_index(drop=True)
+    code, vectors = {}, {}
+    for f in TEXT_FIELDS:
+        grams, weights = df[f"g_{f}"].tolist(), df[f"w_{f}"].tolist()
+        code[f], vectors[f] = _different(grams, weights)
+    return Packed(plain, code, vectors)
+
+
+def _different(grams: list, weights: list) -> tuple[np.ndarray, tuple[list, list]]:
+    known: dict[tuple[bytes, bytes], int] = {}
+    code = [known.setdefault((g.tobytes(), w.tobytes()), len(known)) for g, w in zip(grams, weights)]
+    first = np.unique(code, return_index=True)[1]
+    return np.array(code, dtype=np.int64), ([grams[i] for i in first], [weights[i] for i in first])
+
+
+def merged(parts: list[Packed]) -> Packed:
+    code, vectors = {}, {}
+    for f in TEXT_FIELDS:
+        lists = [sum((p.vectors[f][i] for p in parts), []) for i in (0, 1)]
+        number, vectors[f] = _different(*lists)
+        before = np.cumsum([0, *[len(p.vectors[f][0]) for p in parts]])
+        code[f] = np.concatenate([number[b + p.code[f]] for b, p in zip(before, parts)])
+    return Packed(pd.concat([p.rows for p in parts], ignore_index=True), code, vectors)
+
+
+def _numbers(values: pd.Series) -> np.ndarray:
+    return pd.factorize(values.replace("", None))[0] + 1
+
+
+def _values_of(side: Packed) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """For each component but size: the number of each row's value, and a row that has it, by number."""
+    rows = side.rows
+    return {
+        "profile": nearest.numbered(side.code["profile"]),
+        "welfare": nearest.numbered(side.code["welfare"]),
+        "industry": nearest.numbered(rows["flags"].to_numpy(dtype=np.int64), side.code["industry"]),
+        "location": nearest.numbered(_numbers(rows["city"]), _numbers(rows["district"])),
+        "snack_signal": nearest.numbered(rows["signal"].to_numpy(dtype=np.int64)),
+    }
+
+
+class Companies:
+    """A customer block of companies, arranged once for all potentials."""
+
+    def __init__(self, c: Packed):
+        self.rows, self.step = c.rows, None
+        self.ids = c.rows["id"].to_numpy(dtype=np.int64)
+        if not len(self.ids):
+            return
+        self.company = c.rows["company"].to_numpy(dtype=object)
+        self.side, self.values = c, _values_of(c)
+        self.index = {f: GramIndex(*c.vectors[f]) for f in TEXT_FIELDS}
+        self.same = nearest.Same(c.rows, ["name_key", "cust_no"])
+        self.logs = _logs(c.rows[SIZES].to_numpy(dtype=float))
+        self.place = np.empty(len(self.ids), dtype=np.int64)
+        self.place[np.argsort(self.ids, kind="stable")] = np.arange(len(self.ids))
+        has, far = np.isfinite(self.logs), np.where(np.isfinite(self.logs), self.logs, 0.0)
+        kind = has[:, 0] * 2 + has[:, 1]
+        # strips of the second number, by the first one within a strip
+        strip = np.argsort(np.argsort(far[:, 1], kind="stable"), kind="stable") // max(1, math.isqrt(len(far) * nearest.TILE))
+        by_size = [-self.place, far[:, 0], np.where(has[:, 1], strip, 0), kind]
+        self.by_size = nearest.Tiles(np.lexsort(by_size), kind, np.zeros_like(self.place))
+        codes = [self.values[k][0] for k in ("snack_signal", "location", "industry", "profile", "welfare")]
+        self.by_total = nearest.Tiles(np.lexsort([*by_size, *codes]), np.zeros_like(self.place), self.place)
+        self.sizes = {t: nearest.Ranges(self.logs, t.members, fixed.SIZE_SCALE) for t in (self.by_size, self.by_total)}
+
+    def scores(self, p: Packed, values: dict) -> dict[str, np.ndarray]:
+        """For each component but size: the scores of all different values of both sides."""
+        text = {f: i.products(*p.vectors[f]) for f, i in self.index.items()}
+        left = lambda k, column: p.rows[column].iloc[values[k][1]].reset_index(drop=True)
+        right = lambda k, column: self.rows[column].iloc[self.values[k][1]].reset_index(drop=True)
+        here, there = p.code["industry"][values["industry"][1]], self.side.code["industry"][self.values["industry"][1]]
+        place = {c: same(left("location", c), right("location", c)) for c in ("city", "district")}
+        return {
+            "profile": text["profile"],
+            "welfare": text["welfare"],
+            "industry": fixed.INDUSTRY_MIX["jaccard"] * jaccard(left("industry", "flags").to_numpy(), right("industry", "flags").to_numpy())
+            + fixed.INDUSTRY_MIX["text"] * text["industry"][here][:, there],
+            "location": fixed.LOCATION_MIX["city"] * place["city"] + fixed.LOCATION_MIX["district"] * place["district"],
+            "snack_signal": signal(left("snack_signal", "signal").to_numpy(dtype=bool), right("snack_signal", "signal").to_numpy(dtype=bool)),
+        }
+
+
+SIZES = ["employees", "capital"]
+
+
+def _total(part: Callable[[str], np.ndarray]) -> np.ndarray:
+    total = sum(fixed.COMPONENT_WEIGHTS[k] * part(k) for k in COMPONENTS) / sum(fixed.COMPONENT_WEIGHTS.values())
+    return np.round(total, 12)
+
+
+def _company_block(p: pd.DataFrame, c: Companies) -> Block:
+    if not len(c.ids):
+        empty = {f"v_{k}": np.empty((len(p), 0)) for k in ("total", *COMPONENTS)}
+        best = {f"b_{k}": np.empty((len(p), 0)) for k in ("total", "id", "company", *COMPONENTS)}
+        return {"duplicate": np.zeros(len(p), dtype=bool), **empty, **best}
+    blocks, rest = [], [packed(p)]
+    while rest:
+        part = rest.pop()
+        values = _values_of(part)
+        cells = max(len(values[k][1]) * len(c.values[k][1]) for k in values)
+        if cells > 2 * _CELLS and len(part.rows) > 1:
+            half = len(part.rows) // 2
+            rest += [part.part(slice(half, None)), part.part(slice(0, half))]
+        else:
+            blocks.append(_companies(part, values, c))
+    return {k: np.concatenate([b[k] for b in blocks]) for k in blocks[0]}
+
+
+def _companies(p: Packed, values: dict, c: Companies) -> Block:
+    n, logs = len(p.rows), _logs(p.rows[SIZES].to_numpy(dtype=float))
+    k, m = min(fixed.TOP_VALUES, len(c.ids)), min(fixed.TOP_MATCHES, len(c.ids))
+    scores = c.scores(p, values)
+    bounds = {i: c.by_total.bounds(s, c.values[i][0]) for i, s in scores.items()}
+    codes = c.same.codes(p.rows)
+
+    def near(row: np.ndarray, customer: np.ndarray) -> np.ndarray:
+        gap = np.exp(np.abs(logs[row] - c.logs[customer]) / -fixed.SIZE_SCALE)
+        return np.nansum(gap, axis=1) / np.maximum(np.isfinite(gap).sum(axis=1), 1.0)
+
+    def part(row: np.ndarray, customer: np.ndarray) -> Callable[[str], np.ndarray]:
+        of = lambda i: near(row, customer) if i == "size" else scores[i][values[i][0][row], c.values[i][0][customer]]
+        return lambda i: np.where(duplicate, 0.0, of(i)) if (duplicate := c.same.of(codes, row, customer)).any() else of(i)
+
+    def bound(row: np.ndarray) -> np.ndarray:
+        return _total(lambda i: c.sizes[c.by_total].bounds(logs[row]) if i == "size" else bounds[i][values[i][0][row]])
+
+    total, who = nearest.best(n, c.by_total, c.place, bound, lambda r, o: _total(part(r, o)), max(k, m))
+    size, _ = nearest.best(
+        n, c.by_size, np.zeros_like(c.place), lambda r: np.round(c.sizes[c.by_size].bounds(logs[r]), 12),
+        lambda r, o: np.round(part(r, o)("size"), 12), k,
+    )
+    matches = c.same.matches(codes)
+    out = {"duplicate": matches > 0, "v_total": total[:, :k], "b_total": total[:, :m], "b_id": c.ids[who[:, :m]], "b_company": c.company[who[:, :m]]}
+    few = c.same.pairs(codes, np.flatnonzero((matches > 0) & (matches <= nearest.FEW)))
+    row, customer = np.repeat(np.arange(n), m), who[:, :m].ravel()
+    shown = part(row, customer)
+    for i in COMPONENTS:
+        out[f"b_{i}"] = np.round(shown(i), 12).reshape(n, m)
+        out[f"v_{i}"] = size if i == "size" else _top(np.round(scores[i], 12), values[i][0], c.values[i][0], few, k)
+    for r in np.flatnonzero(matches > nearest.FEW):
+        every = part(np.full(len(c.ids), r), np.arange(len(c.ids)))
+        for i in scores:
+            out[f"v_{i}"][r] = top_values(np.round(every(i), 12)[None, :], k)[0]
     return out
 
 
-def _company_block(p: pd.DataFrame, c: pd.DataFrame, index: dict[str, GramIndex]) -> Block:
-    parts, duplicate = component_scores(p, c, index)
-    total = sum(fixed.COMPONENT_WEIGHTS[k] * parts[k] for k in COMPONENTS) / sum(fixed.COMPONENT_WEIGHTS.values())
-    return {"duplicate": duplicate.any(axis=1), **_best(c, np.round(total, 12), parts)}
+def _top(scores: np.ndarray, of_row: np.ndarray, of_customer: np.ndarray, zero: tuple[np.ndarray, np.ndarray], k: int) -> np.ndarray:
+    """The k largest scores of each row over all customers; the pairs in `zero`, at most FEW of a row, count as zero."""
+    counts = np.bincount(of_customer, minlength=scores.shape[1])
+    out = nearest.largest(scores, counts, k)[of_row]
+    row, customer = zero
+    if len(row):
+        rows, start, line, times = np.unique(row, return_index=True, return_inverse=True, return_counts=True)
+        used, of_line = np.unique(of_row[rows], return_inverse=True)
+        lists = nearest.largest(scores[used], counts, min(k + nearest.FEW, len(of_customer)))[of_line]
+        turn = np.arange(len(row)) - start[line]
+        for j in range(times.max()):
+            now = turn == j
+            hit = lists[line[now]] == scores[of_row[row[now]], of_customer[customer[now]]][:, None]
+            found = hit.any(axis=1)
+            lists[line[now][found], hit.argmax(axis=1)[found]] = 0.0
+        out[rows] = -np.sort(-lists, axis=1)[:, :k]
+    return out
 
 
-def _text_block(p: pd.DataFrame, c: pd.DataFrame, index: dict[str, GramIndex]) -> Block:
-    total = index["text"].products(p["g_text"].tolist(), p["w_text"].tolist())
-    return {"duplicate": np.zeros(len(p), dtype=bool), **_best(c, np.round(total, 12), {})}
+def _text_block(p: pd.DataFrame, c: Texts) -> Block:
+    total = np.round(c.index.products(p["g_text"].tolist(), p["w_text"].tolist()), 12)
+    order = c.rows["id"].to_numpy(dtype=np.int64)
+    best = best_columns(total, order)
+    rows = np.arange(len(total))[:, None]
+    return {
+        "duplicate": np.zeros(len(p), dtype=bool), "v_total": top_values(total), "b_total": total[rows, best],
+        "b_id": order[best], "b_company": c.rows["company"].to_numpy(dtype=object)[best],
+    }
 
 
 def _joined(blocks: list[Block]) -> Block:
@@ -228,13 +390,12 @@ def _joined(blocks: list[Block]) -> Block:
 
 
 def _scored(p: pd.DataFrame, customers: list, kernel: Callable, names: list[str]) -> pd.DataFrame:
-    """All potentials of a batch against some indexed customer blocks, in steps of bounded size."""
-    widest = max(len(c) for c, _ in customers)
-    step = max(1, _CELLS // max(widest, 1))
+    """All potentials of a batch against some prepared customer blocks, in steps of bounded size."""
+    step = min((c.step for c in customers if c.step), default=max(len(p), 1))
     frames = [pd.DataFrame(columns=names)] if not len(p) else []
     for at in range(0, len(p), step):
         part = p.iloc[at : at + step]
-        block = _joined([kernel(part, c, index) for c, index in customers])
+        block = _joined([kernel(part, c) for c in customers])
         values = {k: list(v) if v.ndim == 2 else v for k, v in block.items()}
         frames.append(pd.DataFrame({"id": part["id"].to_numpy(), **values})[names])
     return pd.concat(frames, ignore_index=True)
@@ -258,6 +419,29 @@ def _feature_bytes(customers: DataFrame) -> int:
     return int(customers.agg(F.coalesce(F.sum(_row_bytes(customers.columns)), F.lit(0))).first()[0])
 
 
+def _sent_texts(customers: DataFrame, rows: int, limit: int) -> list[pd.DataFrame] | None:
+    """All customers in blocks, if they are small."""
+    if _feature_bytes(customers) > limit:
+        return None
+    table = customers.toPandas()
+    return [table.iloc[i : i + rows].reset_index(drop=True) for i in range(0, max(len(table), 1), rows)]
+
+
+def _sent_companies(customers: DataFrame, limit: int) -> list[tuple] | None:
+    """All customers in one block, if they are small once equal vectors are there once."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), PACKED_ROWS):
+                yield pd.DataFrame({"part": [pickle.dumps(packed(batch.iloc[at : at + PACKED_ROWS]).plain())]})
+
+    stored = cut(customers.mapInPandas(pack, "part binary"))
+    if stored.agg(F.coalesce(F.sum(F.length("part")), F.lit(0))).first()[0] > limit:
+        return None
+    parts = [Packed(*pickle.loads(r["part"])) for r in stored.collect()]
+    return [(merged(parts) if parts else packed(customers.limit(0).toPandas())).plain()]
+
+
 def dealt(df: DataFrame, rows: int, size: int, least: int, name: str) -> tuple[DataFrame, int]:
     """Adds the number of a row's block: at most about `rows` rows and `size` bytes, and at least `least` blocks if there are rows.
 
@@ -306,7 +490,8 @@ def compared(
     customers: DataFrame,
     columns: list[str],
     components: list[str],
-    kernel: Callable[[pd.DataFrame, pd.DataFrame, dict], Block],
+    prepare: Callable[[pd.DataFrame], Texts | Companies],
+    kernel: Callable[[pd.DataFrame, Texts | Companies], Block],
     sizes: tuple[int, int],
     blocks: tuple[int, int] = (POTENTIAL_BLOCK, CUSTOMER_BLOCK),
     broadcast_bytes: int = BROADCAST_BYTES,
@@ -319,13 +504,12 @@ def compared(
     schema = _schema(components)
     names = [f.split(" ")[0] for f in schema.split(", ")]
     customers = cut(customers.select(*columns))
-    if _feature_bytes(customers) <= broadcast_bytes:
-        table = customers.toPandas()
-        parts = [table.iloc[i : i + blocks[1]].reset_index(drop=True) for i in range(0, max(len(table), 1), blocks[1])]
+    parts = _sent_texts(customers, blocks[1], broadcast_bytes) if prepare is Texts else _sent_companies(customers, broadcast_bytes)
+    if parts is not None:
         sent = potentials.sparkSession.sparkContext.broadcast(parts)
 
         def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known = [indexed(c) for c in sent.value]
+            known = [prepare(Packed(*c) if prepare is Companies else c) for c in sent.value]
             for batch in batches:
                 yield _scored(batch, known, kernel, names)
 
@@ -334,7 +518,7 @@ def compared(
     left, right, c_blocks = _crossed(potentials.select(*columns), customers, sizes[0], blocks, block_bytes)
 
     def shuffled(key: tuple, p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        return _scored(p, [indexed(c)], kernel, names).assign(cb=key[1])
+        return _scored(p, [prepare(packed(c) if prepare is Companies else c)], kernel, names).assign(cb=key[1])
 
     grouped = left.groupBy("pb", "cb").cogroup(right.groupBy("pb", "cb"))
     scored = grouped.applyInPandas(shuffled, schema + ", cb int")
@@ -365,11 +549,11 @@ def _largest(values: Column, k: int) -> Column:
 
 
 def score_companies(potentials: DataFrame, customers: DataFrame, sizes: tuple[int, int], **options) -> DataFrame:
-    return compared(potentials, customers, BLOCK_COLUMNS, COMPONENTS, _company_block, sizes, **options)
+    return compared(potentials, customers, BLOCK_COLUMNS, COMPONENTS, Companies, _company_block, sizes, **options)
 
 
 def score_texts(potentials: DataFrame, customers: DataFrame, sizes: tuple[int, int], **options) -> DataFrame:
-    return compared(potentials, customers, ["id", "company", "g_text", "w_text"], [], _text_block, sizes, **options)
+    return compared(potentials, customers, ["id", "company", "g_text", "w_text"], [], Texts, _text_block, sizes, **options)
 
 
 def mean_of_top(values: str, k: int) -> Column:

@@ -44,6 +44,7 @@ MERGE_FAN_IN = 64
 DENSE = 8
 PACKED_ROWS = 2048
 _CELLS = 2_000_000
+_GRAMS = 500_000
 
 
 class GramIndex:
@@ -120,6 +121,18 @@ class Texts:
         self.step = max(1, _CELLS // max(len(c), 1))
 
 
+def pieces(p: pd.DataFrame, customers: list) -> Iterator[pd.DataFrame]:
+    """Potentials that are scored at once. Of texts, products take many times the room of their grams, so these count too."""
+    step = min((c.step for c in customers if c.step), default=max(len(p), 1))
+    sizes = p["g_text"].map(len).to_numpy(dtype=np.int64) if "g_text" in p.columns else np.zeros(len(p), dtype=np.int64)
+    through, at = np.cumsum(sizes), 0
+    while at < len(p):
+        limit = (through[at - 1] if at else 0) + _GRAMS
+        end = min(at + step, max(int(np.searchsorted(through, limit, side="right")), at + 1))
+        yield p.iloc[at:end]
+        at = end
+
+
 def top_values(scores: np.ndarray, k: int = fixed.TOP_VALUES) -> np.ndarray:
     if scores.shape[1] > k:
         scores = -np.partition(-scores, k - 1, axis=1)[:, :k]
@@ -391,10 +404,8 @@ def _joined(blocks: list[Block]) -> Block:
 
 def _scored(p: pd.DataFrame, customers: list, kernel: Callable, names: list[str]) -> pd.DataFrame:
     """All potentials of a batch against some prepared customer blocks, in steps of bounded size."""
-    step = min((c.step for c in customers if c.step), default=max(len(p), 1))
     frames = [pd.DataFrame(columns=names)] if not len(p) else []
-    for at in range(0, len(p), step):
-        part = p.iloc[at : at + step]
+    for part in pieces(p, customers):
         block = _joined([kernel(part, c) for c in customers])
         values = {k: list(v) if v.ndim == 2 else v for k, v in block.items()}
         frames.append(pd.DataFrame({"id": part["id"].to_numpy(), **values})[names])

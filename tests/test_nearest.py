@@ -1,5 +1,7 @@
 """Exact search in tiles against plain scores of all pairs."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -82,3 +84,16 @@ def test_equal_totals_go_by_the_highest_id():
         c[f"g_{f}"], c[f"w_{f}"] = [np.empty(0, dtype=np.int64)] * len(c), [np.empty(0)] * len(c)
     block = pairs._company_block(p, pairs.Companies(pairs.packed(c)))
     assert block["b_id"].tolist() == [[4999, 4998, 4997, 4996, 4995]] * len(p)
+
+
+def test_room_of_products_follows_their_grams():
+    """Potentials with many grams are scored a few at a time: before, a whole batch was, whatever its grams."""
+    rng = np.random.default_rng(7)
+    texts = lambda n: pd.DataFrame({"id": np.arange(n), "company": "x", "g_text": [np.arange(700)] * n, "w_text": [rng.random(700)] * n})
+    known, p = pairs.Texts(texts(200)), texts(4000)
+    tracemalloc.start()
+    got = pairs._scored(p, [known], pairs._text_block, ["id", "duplicate", "v_total", "b_total", "b_id", "b_company"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["id"].tolist() == list(range(4000))
+    assert peak < 100 * 2**20, peak

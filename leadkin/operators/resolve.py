@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from leadkin import fixed
 from leadkin.functions import text
 from leadkin.functions.udfs import name_ratio
-from leadkin.session import cut
+from leadkin.session import cut, parallelism
 
 # Letters of keywords in one automaton (about a hundred bytes each), and of names read past it by one task.
 BLOCK_CHARS = 1 << 20
@@ -110,10 +110,18 @@ def containing(words: DataFrame, names: DataFrame, block_chars: int = BLOCK_CHAR
     return sorted_rows.mapInArrow(_matched, "keyword string, name string")
 
 
+def spread(names: DataFrame, *keys: str) -> DataFrame:
+    """Different names over all cores. Names are short, so adaptive execution would leave few tasks to work out their spellings.
+
+    By a hash of the keys, as Spark takes out a shuffle by keys that rows are dealt by already.
+    """
+    return names.repartition(parallelism(names.sparkSession), F.xxhash64(*keys))
+
+
 def prepared(registry: DataFrame) -> DataFrame:
     """Each usable name once with its first row and its spellings; stored, as every step of `resolve` reads it."""
     known = usable(registry).groupBy(text.blank(F.col("Company_Name")).alias("name")).agg(F.min("reg_ord").alias("reg_ord"))
-    return cut(text.with_spellings(known, "name", "").drop("words"))
+    return cut(text.with_spellings(spread(known, "name"), "name", "").drop("words"))
 
 
 def resolve(targets: DataFrame, registry: DataFrame | None, id: str, names: list[str], fuzzy: bool = True, known: DataFrame | None = None) -> DataFrame:
@@ -126,7 +134,7 @@ def resolve(targets: DataFrame, registry: DataFrame | None, id: str, names: list
     known = prepared(registry) if known is None else known
     spelled = targets.select(id, *[text.blank(F.col(n)).alias(f"_n{i}") for i, n in enumerate(names)])
     spellings = [f"_n{i}" for i in range(len(names))]
-    wanted = spelled.select(*spellings).distinct().withColumn("tid", F.monotonically_increasing_id())
+    wanted = spread(spelled.select(*spellings).distinct(), *spellings).withColumn("tid", F.monotonically_increasing_id())
     for c in spellings:
         wanted = text.with_spellings(wanted, c, f"{c}_")
     wanted = cut(wanted.withColumn("keywords", keywords(*[F.col(f"{c}_words") for c in spellings])).drop(*[f"{c}_words" for c in spellings]))

@@ -7,7 +7,8 @@ from how many customers have each value.
 Totals, and sizes, which hardly repeat, are searched in tiles: a tile is a few customers that are
 alike. The largest score of each component within a tile bounds the totals in it. Bounds go through the same
 operations in the same order as totals do, so a bound is never less than a total of its
-tile, ties included. Tiles are opened best first, until no closed one can change the best customers.
+tile, ties included. Neighbouring tiles make a group with bounds of its own; a row looks at the tiles of the
+groups that may count only. Tiles are opened best first, until no closed one can change the best customers.
 Where bounds rule nothing out all pairs are scored, a bounded number at a time.
 """
 
@@ -19,8 +20,10 @@ import numpy as np
 import pandas as pd
 
 TILE = 32
+GROUP = 8  # tiles
+GROUPS = 8  # groups of which a row sees the tiles before any tile is opened
 ROUNDS = (2, 8)  # tiles opened at once, before all others that may count
-CELLS = 2_000_000
+CELLS = 500_000
 FEW = 16  # customers of the same company that are taken out of a list one by one
 
 
@@ -99,6 +102,11 @@ class Tiles:
         self.highest = highest[by]
         at = first[by, None] + np.arange(TILE)
         self.members = np.where(np.arange(TILE) < length[by, None], order[np.minimum(at, len(order) - 1)], -1)
+        # tiles that follow each other in the given order, by number; the last group may be filled up with -1
+        number = np.argsort(by)
+        fill = -len(number) % GROUP
+        self.groups = np.concatenate([number, np.full(fill, -1)]).reshape(-1, GROUP)
+        self.group_members = np.where(self.groups[:, :, None] >= 0, self.members[self.groups], -1).reshape(len(self.groups), -1)
 
     def values(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The different values of each tile, one tile after the other, and where each begins."""
@@ -114,9 +122,14 @@ class Tiles:
         parts = [np.maximum.reduceat(scores[i : i + step][:, value], start, axis=1) for i in range(0, len(scores), step)]
         return np.concatenate(parts)
 
+    def group_bounds(self, bounds: np.ndarray) -> np.ndarray:
+        """The largest bound of every group, for each row of bounds of all tiles."""
+        flat = np.where(self.groups >= 0, self.groups, self.groups[:, :1])
+        return np.stack([bounds[:, tiles].max(axis=1) for tiles in flat], axis=1)
+
 
 class Ranges:
-    """Least and largest number of each tile, to bound the closeness of sizes."""
+    """Least and largest number of each tile or group, to bound the closeness of sizes."""
 
     def __init__(self, logs: np.ndarray, members: np.ndarray, scale: float):
         here = np.where((members >= 0)[:, :, None], logs[members], np.nan)
@@ -127,14 +140,16 @@ class Ranges:
         self.all = (has.all(axis=2) | (members < 0)).all(axis=1)
         self.scale = scale
 
-    def bounds(self, logs: np.ndarray) -> np.ndarray:
-        near, has = [], np.isfinite(logs)
+    def bounds(self, logs: np.ndarray, tile: np.ndarray | None = None) -> np.ndarray:
+        """Of all tiles for each row, or of the given tiles, some for each row."""
+        here = lambda known: known[None] if tile is None else known[tile]
+        every, near, has = here(self.all), [], np.isfinite(logs)
         for i in range(logs.shape[1]):
             x = np.where(has[:, i], logs[:, i], 0.0)[:, None]
-            gap = np.maximum(np.maximum(self.low[None, :, i] - x, x - self.high[None, :, i]), 0.0)
+            gap = np.maximum(np.maximum(here(self.low[:, i]) - x, x - here(self.high[:, i])), 0.0)
             # a little more, as exp need not be monotone to the last bit
-            near.append(np.where(has[:, i, None] & self.some[None, :, i], np.exp(gap / -self.scale) * (1 + 1e-15), 0.0))
-        both = has.all(axis=1)[:, None] & self.all[None, :]
+            near.append(np.where(has[:, i, None] & here(self.some[:, i]), np.exp(gap / -self.scale) * (1 + 1e-15), 0.0))
+        both = has.all(axis=1)[:, None] & every
         return np.where(both, sum(near) / len(near), np.maximum.reduce(near))
 
 
@@ -142,14 +157,14 @@ def best(
     rows: int,
     tiles: Tiles,
     place: np.ndarray,
-    bound: Callable[[np.ndarray], np.ndarray],
+    bound: Callable[[np.ndarray, np.ndarray | None], np.ndarray],
     score: Callable[[np.ndarray, np.ndarray], np.ndarray],
     k: int,
 ) -> tuple[np.ndarray, np.ndarray]:
     """(scores, customers) of the k best customers of each row, the higher place first among equals.
 
-    `bound` gives the bounds of all tiles for some rows, `score` the scores of some pairs; none is
-    below zero. With fewer than k customers the last scores are -1.
+    `bound` gives the bounds of all groups for some rows, or those of some tiles for each; `score` the scores
+    of some pairs; none is below zero. With fewer than k customers the last scores are -1.
     """
     step = max(1, CELLS // max(len(tiles.members), TILE * sum(ROUNDS)))
     parts = [_best(np.arange(at, min(at + step, rows)), tiles, place, bound, score, k) for at in range(0, rows, step)]
@@ -160,24 +175,40 @@ def best(
 def _best(row: np.ndarray, tiles: Tiles, place: np.ndarray, bound: Callable, score: Callable, k: int) -> tuple[np.ndarray, np.ndarray]:
     n, line = len(row), np.arange(len(row))[:, None]
     total, who = np.full((n, k), -1.0), np.full((n, k), -1)
-    limit = bound(row)
+    limit, wide = np.full((n, len(tiles.members) + 1), -2.0), bound(row, None)  # a last column for what groups are filled up with
+
+    def look(at: np.ndarray, group: np.ndarray) -> None:
+        step = max(1, CELLS // GROUP)
+        for i in range(0, len(at), step):
+            here, tile = at[i : i + step], tiles.groups[group[i : i + step]]
+            limit[here[:, None], tile] = bound(row[here], tile)
+        limit[:, -1] = -2.0
+        wide[at, group] = -2.0
+
+    first = min(GROUPS, wide.shape[1])
+    look(np.repeat(line[:, 0], first), np.argpartition(-wide, first - 1, axis=1)[:, :first].ravel())
     open_now = 0
     for tiles_now in ROUNDS:
-        tiles_now = min(tiles_now, limit.shape[1] - open_now)
+        tiles_now = min(tiles_now, len(tiles.members) - open_now)
         if tiles_now <= 0:
             break
         open_now += tiles_now
-        chosen = np.empty((n, tiles_now), dtype=np.int64)
+        chosen, seen = np.empty((n, tiles_now), dtype=np.int64), np.empty((n, tiles_now), dtype=bool)
         for j in range(tiles_now):
             chosen[:, j] = limit.argmax(axis=1)  # the first of equals, which has the highest place
+            seen[:, j] = limit[line[:, 0], chosen[:, j]] >= 0
             limit[line[:, 0], chosen[:, j]] = -2.0
         found = tiles.members[chosen].reshape(n, -1)
         value = np.full(found.shape, -1.0)
-        real = found >= 0
+        real = (found >= 0) & np.repeat(seen, TILE, axis=1)
         value[real] = score(np.broadcast_to(row[:, None], found.shape)[real], found[real])
+        found = np.where(real, found, -1)
         total, who = _kept(np.concatenate([total, value], axis=1), np.concatenate([who, found], axis=1), place, k)
     last, last_place = total[:, -1:], np.where(who[:, -1:] >= 0, place[who[:, -1:]], -1)
-    at, tile = np.nonzero((limit > last) | ((limit == last) & (tiles.highest > last_place)))
+    look(*np.nonzero(wide >= last))
+    at, tile = np.nonzero(limit[:, :-1] >= last)
+    may = (limit[at, tile] > last[at, 0]) | (tiles.highest[tile] > last_place[at, 0])
+    at, tile = at[may], tile[may]
     step = max(1, CELLS // TILE)
     late: list[tuple[np.ndarray, ...]] = []
     for i in range(0, len(at), step):

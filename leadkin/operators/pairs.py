@@ -279,7 +279,12 @@ class Companies:
         self.by_size = nearest.Tiles(np.lexsort(by_size), kind, np.zeros_like(self.place))
         codes = [self.values[k][0] for k in ("snack_signal", "location", "industry", "profile", "welfare")]
         self.by_total = nearest.Tiles(np.lexsort([*by_size, *codes]), np.zeros_like(self.place), self.place)
-        self.sizes = {t: nearest.Ranges(self.logs, t.members, fixed.SIZE_SCALE) for t in (self.by_size, self.by_total)}
+        self.sizes = {t: [nearest.Ranges(self.logs, m, fixed.SIZE_SCALE) for m in (t.members, t.group_members)] for t in (self.by_size, self.by_total)}
+        self.kind, self.far = kind, np.where(has, self.logs, -np.inf).T.copy()
+
+    def size_bounds(self, tiles: nearest.Tiles, logs: np.ndarray, tile: np.ndarray | None) -> np.ndarray:
+        narrow, wide = self.sizes[tiles]
+        return wide.bounds(logs) if tile is None else narrow.bounds(logs, tile)
 
     def scores(self, p: Packed, values: dict) -> dict[str, np.ndarray]:
         """For each component but size: the scores of all different values of both sides."""
@@ -329,25 +334,38 @@ def _companies(p: Packed, values: dict, c: Companies) -> Block:
     k, m = min(fixed.TOP_VALUES, len(c.ids)), min(fixed.TOP_MATCHES, len(c.ids))
     scores = c.scores(p, values)
     bounds = {i: c.by_total.bounds(s, c.values[i][0]) for i, s in scores.items()}
+    wide = {i: c.by_total.group_bounds(b) for i, b in bounds.items()}
     codes = c.same.codes(p.rows)
+    matches = c.same.matches(codes)
+    has = np.isfinite(logs)
+    kind, far = has[:, 0] * 2 + has[:, 1], np.where(has, logs, np.inf).T.copy()
+    columns = np.array([1.0, 1.0, 1.0, 2.0])  # numbers both have by kind of both; at least one, to divide by
 
     def near(row: np.ndarray, customer: np.ndarray) -> np.ndarray:
-        gap = np.exp(np.abs(logs[row] - c.logs[customer]) / -fixed.SIZE_SCALE)
-        return np.nansum(gap, axis=1) / np.maximum(np.isfinite(gap).sum(axis=1), 1.0)
+        # a number that is absent is infinitely far, which is no closeness
+        gap = sum(np.exp(np.abs(a[row] - b[customer]) / -fixed.SIZE_SCALE) for a, b in zip(far, c.far))
+        return gap / columns[kind[row] & c.kind[customer]]
 
     def part(row: np.ndarray, customer: np.ndarray) -> Callable[[str], np.ndarray]:
-        of = lambda i: near(row, customer) if i == "size" else scores[i][values[i][0][row], c.values[i][0][customer]]
-        return lambda i: np.where(duplicate, 0.0, of(i)) if (duplicate := c.same.of(codes, row, customer)).any() else of(i)
+        duplicate = np.flatnonzero(matches[row])
+        duplicate = duplicate[c.same.of(codes, row[duplicate], customer[duplicate])]
+
+        def of(i: str) -> np.ndarray:
+            found = near(row, customer) if i == "size" else scores[i].ravel()[values[i][0][row] * scores[i].shape[1] + c.values[i][0][customer]]
+            found[duplicate] = 0.0
+            return found
+
+        return of
 
-    def bound(row: np.ndarray) -> np.ndarray:
-        return _total(lambda i: c.sizes[c.by_total].bounds(logs[row]) if i == "size" else bounds[i][values[i][0][row]])
+    def bound(row: np.ndarray, tile: np.ndarray | None) -> np.ndarray:
+        of = lambda i: wide[i][values[i][0][row]] if tile is None else bounds[i][values[i][0][row][:, None], tile]
+        return _total(lambda i: c.size_bounds(c.by_total, logs[row], tile) if i == "size" else of(i))
 
     total, who = nearest.best(n, c.by_total, c.place, bound, lambda r, o: _total(part(r, o)), max(k, m))
     size, _ = nearest.best(
-        n, c.by_size, np.zeros_like(c.place), lambda r: np.round(c.sizes[c.by_size].bounds(logs[r]), 12),
+        n, c.by_size, np.zeros_like(c.place), lambda r, t: np.round(c.size_bounds(c.by_size, logs[r], t), 12),
         lambda r, o: np.round(part(r, o)("size"), 12), k,
     )
-    matches = c.same.matches(codes)
     out = {"duplicate": matches > 0, "v_total": total[:, :k], "b_total": total[:, :m], "b_id": c.ids[who[:, :m]], "b_company": c.company[who[:, :m]]}
     few = c.same.pairs(codes, np.flatnonzero((matches > 0) & (matches <= nearest.FEW)))
     row, customer = np.repeat(np.arange(n), m), who[:, :m].ravel()
@@ -402,11 +420,27 @@ def _joined(blocks: list[Block]) -> Block:
     return {"duplicate": np.any([b["duplicate"] for b in blocks], axis=0), **out}
 
 
-def _scored(p: pd.DataFrame, customers: list, kernel: Callable, names: list[str]) -> pd.DataFrame:
+def _blocks(p: pd.DataFrame, customers: list, kernel: Callable) -> Iterator[tuple[pd.DataFrame, Block]]:
     """All potentials of a batch against some prepared customer blocks, in steps of bounded size."""
-    frames = [pd.DataFrame(columns=names)] if not len(p) else []
     for part in pieces(p, customers):
-        block = _joined([kernel(part, c) for c in customers])
+        yield part, _joined([kernel(part, c) for c in customers])
+
+
+def _lists(values: np.ndarray, name: str) -> pa.Array:
+    """The rows of a matrix as lists."""
+    n, width = values.shape
+    flat = pa.array(values.ravel().tolist(), pa.string()) if name == "b_company" else pa.array(values.ravel().astype(np.int64 if name == "b_id" else float))
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), flat)
+
+
+def _record(part: pd.DataFrame, block: Block, names: list[str]) -> pa.RecordBatch:
+    values = {"id": pa.array(part["id"].to_numpy(dtype=np.int64)), **{k: _lists(v, k) if v.ndim == 2 else pa.array(v) for k, v in block.items()}}
+    return pa.RecordBatch.from_arrays([values[n] for n in names], names=names)
+
+
+def _scored(p: pd.DataFrame, customers: list, kernel: Callable, names: list[str]) -> pd.DataFrame:
+    frames = [pd.DataFrame(columns=names)] if not len(p) else []
+    for part, block in _blocks(p, customers, kernel):
         values = {k: list(v) if v.ndim == 2 else v for k, v in block.items()}
         frames.append(pd.DataFrame({"id": part["id"].to_numpy(), **values})[names])
     return pd.concat(frames, ignore_index=True)
@@ -519,12 +553,13 @@ def compared(
     if parts is not None:
         sent = potentials.sparkSession.sparkContext.broadcast(parts)
 
-        def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = [prepare(Packed(*c) if prepare is Companies else c) for c in sent.value]
             for batch in batches:
-                yield _scored(batch, known, kernel, names)
+                for part, block in _blocks(batch.to_pandas(), known, kernel):
+                    yield _record(part, block, names)
 
-        return potentials.select(*columns).mapInPandas(local, schema)
+        return potentials.select(*columns).mapInArrow(local, schema)
 
     left, right, c_blocks = _crossed(potentials.select(*columns), customers, sizes[0], blocks, block_bytes)
 

@@ -92,7 +92,7 @@ def run(spark: SparkSession, options: Options, raw=None, pages: DataFrame | None
     ranking = rules.with_history(ranking, known, options.now, options.recent_days)
     ranking_path = write_run(ranking, f"{out}/ranking", run_id)
     matches_path = write_run(matches, f"{out}/top_matches", run_id)
-    ranking = spark.read.parquet(ranking_path)
+    ranking, matches = spark.read.parquet(ranking_path), spark.read.parquet(matches_path)
 
     leads = rules.top_leads(ranking, options.top_n)
     if options.enrich_emails:

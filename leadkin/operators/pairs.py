@@ -206,7 +206,7 @@ class Packed:
         """To be sent: instances of classes of this package may not be, where tasks bring their own copy of it."""
         return self.rows, self.code, self.vectors
 
-    def part(self, at: slice) -> Packed:
+    def part(self, at: slice | np.ndarray) -> Packed:
         code, vectors = {}, {}
         for f, (grams, weights) in self.vectors.items():
             used, code[f] = np.unique(self.code[f][at], return_inverse=True)
@@ -316,7 +316,9 @@ def _company_block(p: pd.DataFrame, c: Companies) -> Block:
         empty = {f"v_{k}": np.empty((len(p), 0)) for k in ("total", *COMPONENTS)}
         best = {f"b_{k}": np.empty((len(p), 0)) for k in ("total", "id", "company", *COMPONENTS)}
         return {"duplicate": np.zeros(len(p), dtype=bool), **empty, **best}
-    blocks, rest = [], [packed(p)]
+    side = packed(p)
+    first, every = _alike(side, c)
+    blocks, rest = [], [side.part(first)]
     while rest:
         part = rest.pop()
         values = _values_of(part)
@@ -326,7 +328,18 @@ def _company_block(p: pd.DataFrame, c: Companies) -> Block:
             rest += [part.part(slice(half, None)), part.part(slice(0, half))]
         else:
             blocks.append(_companies(part, values, c))
-    return {k: np.concatenate([b[k] for b in blocks]) for k in blocks[0]}
+    return {k: np.concatenate([b[k] for b in blocks])[every] for k in blocks[0]}
+
+
+def _alike(p: Packed, c: Companies) -> tuple[np.ndarray, np.ndarray]:
+    """One row of each kind of potentials, and the kind of every row. Potentials that no component tells apart have the same best
+    customers, unless one of these is their own company; so a potential that may be a customer is a kind of its own."""
+    own = np.where(c.same.matches(c.same.codes(p.rows)) > 0, np.arange(1, len(p.rows) + 1), 0)
+    numbers = [pd.factorize(p.rows[n])[0] + 1 for n in SIZES]
+    texts = [_numbers(p.rows[n]) for n in ("city", "district")]
+    bits = [p.rows[n].to_numpy(dtype=np.int64) for n in ("flags", "signal")]
+    every, first = nearest.numbered(own, *p.code.values(), *numbers, *texts, *bits)
+    return first, every
 
 
 def _companies(p: Packed, values: dict, c: Companies) -> Block:

@@ -8,7 +8,8 @@ two ways to bring the sides together:
 
 * The customers' features are measured, and if they are small they are sent to
   every worker once. The potentials then stay where they are: no shuffle. Of
-  companies, equal vectors of a part of the rows are sent once, and so measured.
+  companies, equal vectors of a partition are sent once, and so measured; they may also be
+  sent in up to SENT_BLOCKS such blocks, of which a task holds one at a time.
 * Otherwise Spark cuts both sides into blocks and shuffles one potential block
   and one customer block to each task. A row weighs what its features take, or
   its share of the most rows a block may have; weights are summed up on Spark,
@@ -23,11 +24,12 @@ from __future__ import annotations
 
 import math
 import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,8 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 MERGE_FAN_IN = 64
 DENSE = 8
 PACKED_ROWS = 2048
+PACKED_BYTES = 8 * 1024 * 1024
+SENT_BLOCKS = 64
 _CELLS = 2_000_000
 _GRAMS = 500_000
 
@@ -446,16 +450,16 @@ def _lists(values: np.ndarray, name: str) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), flat)
 
 
-def _record(part: pd.DataFrame, block: Block, names: list[str]) -> pa.RecordBatch:
-    values = {"id": pa.array(part["id"].to_numpy(dtype=np.int64)), **{k: _lists(v, k) if v.ndim == 2 else pa.array(v) for k, v in block.items()}}
+def _record(part: pd.DataFrame, block: Block, names: list[str], kept: Sequence[str] = ()) -> pa.RecordBatch:
+    values = {"id": pa.array(part["id"].to_numpy(dtype=np.int64)), **{c: pa.array(part[c].to_numpy()) for c in kept}, **{k: _lists(v, k) if v.ndim == 2 else pa.array(v) for k, v in block.items()}}
     return pa.RecordBatch.from_arrays([values[n] for n in names], names=names)
 
 
-def _scored(p: pd.DataFrame, customers: list, kernel: Callable, names: list[str]) -> pd.DataFrame:
+def _scored(p: pd.DataFrame, customers: list, kernel: Callable, names: list[str], kept: Sequence[str] = ()) -> pd.DataFrame:
     frames = [pd.DataFrame(columns=names)] if not len(p) else []
     for part, block in _blocks(p, customers, kernel):
         values = {k: list(v) if v.ndim == 2 else v for k, v in block.items()}
-        frames.append(pd.DataFrame({"id": part["id"].to_numpy(), **values})[names])
+        frames.append(pd.DataFrame({"id": part["id"].to_numpy(), **{c: part[c].to_numpy() for c in kept}, **values})[names])
     return pd.concat(frames, ignore_index=True)
 
 
@@ -485,19 +489,44 @@ def _sent_texts(customers: DataFrame, rows: int, limit: int) -> list[pd.DataFram
     return [table.iloc[i : i + rows].reset_index(drop=True) for i in range(0, max(len(table), 1), rows)]
 
 
-def _sent_companies(customers: DataFrame, limit: int) -> list[tuple] | None:
-    """All customers in one block, if they are small once equal vectors are there once."""
+def _sent_companies(customers: DataFrame, limit: int) -> list[Broadcast] | None:
+    """All customers in a few blocks, one if they are small once equal vectors are there once."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
         for batch in batches:
             for at in range(0, len(batch), PACKED_ROWS):
-                yield pd.DataFrame({"part": [pickle.dumps(packed(batch.iloc[at : at + PACKED_ROWS]).plain())]})
+                part = packed(batch.iloc[at : at + PACKED_ROWS])
+                held = merged([held, part]) if held else part
+                data = pickle.dumps(held.plain())
+                if len(data) > PACKED_BYTES:
+                    yield pd.DataFrame({"part": [data]})
+                    held = None
+        if held:
+            yield pd.DataFrame({"part": [pickle.dumps(held.plain())]})
 
     stored = cut(customers.mapInPandas(pack, "part binary"))
-    if stored.agg(F.coalesce(F.sum(F.length("part")), F.lit(0))).first()[0] > limit:
+    if stored.agg(F.coalesce(F.sum(F.length("part")), F.lit(0))).first()[0] > limit * SENT_BLOCKS:
         return None
-    parts = [Packed(*pickle.loads(r["part"])) for r in stored.collect()]
-    return [(merged(parts) if parts else packed(customers.limit(0).toPandas())).plain()]
+    sent, parts, size = [], [], 0
+    send = lambda some: sent.append(customers.sparkSession.sparkContext.broadcast(some.plain()))
+    for row in stored.toLocalIterator():
+        if parts and size + len(row["part"]) > limit:
+            send(merged(parts))
+            parts, size = [], 0
+        parts.append(Packed(*pickle.loads(row["part"])))
+        size += len(row["part"])
+    if parts or not sent:
+        send(merged(parts) if parts else packed(customers.limit(0).toPandas()))
+    return sent
+
+
+def _opened(sent: Broadcast) -> Companies:
+    """A block that was sent; the worker does not keep the form it came in."""
+    block = Companies(Packed(*sent.value))
+    if getattr(sent, "_path", None):
+        vars(sent).pop("_value", None)
+    return block
 
 
 def dealt(df: DataFrame, rows: int, size: int, least: int, name: str) -> tuple[DataFrame, int]:
@@ -554,39 +583,62 @@ def compared(
     blocks: tuple[int, int] = (POTENTIAL_BLOCK, CUSTOMER_BLOCK),
     broadcast_bytes: int = BROADCAST_BYTES,
     block_bytes: int = BLOCK_BYTES,
+    carried: list[str] | None = None,
 ) -> DataFrame:
     """Run `kernel` on all potentials and customers and keep the best values per potential.
 
-    `sizes` are the two row counts, `blocks` the most rows of a block on either side.
+    `sizes` are the two row counts, `blocks` the most rows of a block on either side. Columns of the potentials that are
+    `carried`, with their types, are in the result as they are.
     """
-    schema = _schema(components)
+    schema = ", ".join([_schema(components), *(carried or [])])
     names = [f.split(" ")[0] for f in schema.split(", ")]
+    kept = [c.split(" ")[0] for c in carried or []]
     customers = cut(customers.select(*columns))
-    parts = _sent_texts(customers, blocks[1], broadcast_bytes) if prepare is Texts else _sent_companies(customers, broadcast_bytes)
-    if parts is not None:
-        sent = potentials.sparkSession.sparkContext.broadcast(parts)
-
-        def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = [prepare(Packed(*c) if prepare is Companies else c) for c in sent.value]
-            for batch in batches:
-                for part, block in _blocks(batch.to_pandas(), known, kernel):
-                    yield _record(part, block, names)
-
-        return potentials.select(*columns).mapInArrow(local, schema)
-
-    left, right, c_blocks = _crossed(potentials.select(*columns), customers, sizes[0], blocks, block_bytes)
+    potentials = potentials.select(*columns, *kept)
+    if prepare is Companies:
+        blocks_sent = _sent_companies(customers, broadcast_bytes)
+        if blocks_sent is not None:
+            return potentials.mapInArrow(_against(blocks_sent, kernel, names, kept), schema)
+    else:
+        parts = _sent_texts(customers, blocks[1], broadcast_bytes)
+        if parts is not None:
+            sent = potentials.sparkSession.sparkContext.broadcast(parts)
+
+            def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                known = [prepare(c) for c in sent.value]
+                for batch in batches:
+                    for part, block in _blocks(batch.to_pandas(), known, kernel):
+                        yield _record(part, block, names, kept)
+
+            return potentials.mapInArrow(local, schema)
+
+    left, right, c_blocks = _crossed(potentials, customers, sizes[0], blocks, block_bytes)
 
     def shuffled(key: tuple, p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        return _scored(p, [prepare(packed(c) if prepare is Companies else c)], kernel, names).assign(cb=key[1])
+        return _scored(p, [prepare(packed(c) if prepare is Companies else c)], kernel, names, kept).assign(cb=key[1])
 
     grouped = left.groupBy("pb", "cb").cogroup(right.groupBy("pb", "cb"))
     scored = grouped.applyInPandas(shuffled, schema + ", cb int")
     if c_blocks == 1:
         return scored.drop("cb")
-    return _merged(scored, ["v_total", *[f"v_{k}" for k in components]], [c for c in names if c.startswith("b_")], c_blocks)
+    return _merged(scored, ["v_total", *[f"v_{k}" for k in components]], [c for c in names if c.startswith("b_")], c_blocks, kept)
+
+
+def _against(sent: list[Broadcast], kernel: Callable, names: list[str], kept: list[str]) -> Callable:
+    """Scores batches of potentials with all customers; of several blocks one at a time is open, and the next for a whole batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = _opened(sent[0]) if len(sent) == 1 else None
+        for batch in batches:
+            p = batch.to_pandas()
+            if not len(p):
+                continue
+            yield _record(p, _joined([kernel(p, only or _opened(s)) for s in sent]), names, kept)
+
+    return run
 
 
-def _merged(scored: DataFrame, values: list[str], best: list[str], parts: int) -> DataFrame:
+def _merged(scored: DataFrame, values: list[str], best: list[str], parts: int, kept: list[str]) -> DataFrame:
     """Best values over all customer blocks, at most MERGE_FAN_IN lists at a time."""
     packed = scored.withColumn("_best", F.arrays_zip(*best))
     while parts > 1:
@@ -596,11 +648,12 @@ def _merged(scored: DataFrame, values: list[str], best: list[str], parts: int) -
             .groupBy("id", "cb")
             .agg(
                 F.bool_or("duplicate").alias("duplicate"),
+                *[F.first(c).alias(c) for c in kept],
                 *[_largest(F.flatten(F.collect_list(v)), fixed.TOP_VALUES).alias(v) for v in values],
                 _largest(F.flatten(F.collect_list("_best")), fixed.TOP_MATCHES).alias("_best"),
             )
         )
-    return packed.select("id", "duplicate", *values, *[F.col(f"_best.{n}").alias(n) for n in best])
+    return packed.select("id", "duplicate", *values, *[F.col(f"_best.{n}").alias(n) for n in best], *kept)
 
 
 def _largest(values: Column, k: int) -> Column:

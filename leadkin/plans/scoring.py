@@ -36,7 +36,11 @@ def company_scores(potentials: DataFrame, customers: DataFrame, **options) -> Da
     # stored, as the vocabulary, the vectors and the scores all read them
     sides = [cut(companies(fill_cores(df, fixed.ROW_ORD), label)) for df, label in ((potentials, "potentials"), (customers, "customers"))]
     p, c, sizes = vectors_for(*sides, pairs.TEXT_FIELDS)
-    return cut(pairs.score_companies(p, c, sizes, **options).join(sides[0].select("id", "coverage"), "id"))
+    coverage = sides[0].select("id", "coverage")
+    once = sides[0].agg(F.count("id") == F.count("*")).first()[0] and coverage.groupBy("id").count().filter("count > 1").isEmpty()
+    if once:  # then a row keeps its own coverage, and the scores, which are many times larger, need not be shuffled
+        return cut(pairs.score_companies(p, c, sizes, carried=["coverage double"], **options))
+    return cut(pairs.score_companies(p, c, sizes, **options).join(coverage, "id"))
 
 
 def rank_companies(potentials: DataFrame, scored: DataFrame) -> DataFrame:

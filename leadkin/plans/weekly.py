@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from leadkin import fixed
 from leadkin.operators import history as rules
 from leadkin.plans.scoring import score
+from leadkin.session import freed
 from leadkin.sources import history_store
 from leadkin.sources.tables import exists, read_table, write_csv, write_run
 
@@ -88,10 +89,12 @@ def run(spark: SparkSession, options: Options, raw=None, pages: DataFrame | None
     if options.build_potentials:
         check_count(potentials.count(), options.target_leads, options.min_success_ratio, potentials_path)
 
-    ranking, matches = score(customers, potentials)
-    ranking = rules.with_history(ranking, known, options.now, options.recent_days)
-    ranking_path = write_run(ranking, f"{out}/ranking", run_id)
-    matches_path = write_run(matches, f"{out}/top_matches", run_id)
+    with freed(spark):
+        ranking, matches = score(customers, potentials)
+        ranking = rules.with_history(ranking, known, options.now, options.recent_days)
+        ranking_path = write_run(ranking, f"{out}/ranking", run_id)
+        matches_path = write_run(matches, f"{out}/top_matches", run_id)
+        ranking = matches = None  # so that nothing refers to their shuffles
     ranking, matches = spark.read.parquet(ranking_path), spark.read.parquet(matches_path)
 
     leads = rules.top_leads(ranking, options.top_n)
